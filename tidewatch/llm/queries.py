@@ -3,15 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe
+from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
+from .storage import text_key
+from .toxicity import toxic_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the contract names; a parameter everywhere else."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op3_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxic_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = tokenizer_path(), _table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = bpe.decode(bpe.encode_texts(docs, path), path)
+    digests = texts.select("key", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select("doc_id", text_key().alias("key")).join(digests, "key").drop("key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat")
@@ -21,5 +49,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op7_quality_rules, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
