@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .fingerprints import edit_response
 from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
@@ -45,9 +46,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_response(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op7_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
