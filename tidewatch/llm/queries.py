@@ -11,6 +11,7 @@ from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
 from .storage import text_key
+from .style_tree import main_text
 from .toxicity import toxic_passages
 
 
@@ -25,6 +26,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -54,5 +59,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
