@@ -12,6 +12,7 @@ from .quality_model import quality_scores
 from .repetition import quality_rules
 from .storage import text_key
 from .style_tree import main_text
+from .substrings import without_repeats
 from .toxicity import toxic_passages
 
 
@@ -46,6 +47,12 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text_key().alias("key")).join(digests, "key").drop("key")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = without_repeats(docs).select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", text_key().alias("key")).join(digests, "key").drop("key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat")
@@ -59,5 +66,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
