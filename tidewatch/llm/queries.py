@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .fingerprints import edit_response
+from .jaccard import jaccard_groups
 from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
@@ -53,6 +54,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text_key().alias("key")).join(digests, "key").drop("key")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat")
@@ -66,5 +71,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
