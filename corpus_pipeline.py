@@ -1,15 +1,71 @@
-"""documents to token ids: reject, dedup lines, dedup documents, mix, encode."""
+"""documents to token ids in five stages, each an operator of tidewatch.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+applies them in turn, each written as Parquet in the shared folder and read again, so a lost executor costs no more
+than the stage at hand. SQL can't express the classifier, the fuzzy lines or BPE, so ORACLE_SQL is None; the stages
+are tested against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import bpe
+from tidewatch.llm.jaccard import one_of_each_group
+from tidewatch.llm.lines import without_repeated_lines
+from tidewatch.llm.mixing import mixed
+from tidewatch.llm.quality_model import quality_scores
+from tidewatch.llm.queries import tokenizer_path
+from tidewatch.llm.storage import written
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below its threshold go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(docs, labels, keep=True).filter("predicted = 1").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; so do documents of which they were all. n_chars follows the text."""
+    out = without_repeated_lines(docs)
+    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (shingles of five words, 0.8)."""
+    return one_of_each_group(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a row for each time."""
+    names = docs.columns
+    taken = mixed(docs)
+    return taken.filter("repeats > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids)."""
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path())
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_texts),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

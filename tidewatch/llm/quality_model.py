@@ -119,8 +119,8 @@ def _with_meta(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text"), meta.alias("meta"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", divisor: int = 4, held: int = 2, threshold: float = 0.7, rows_per_class: int = 3000, buckets: int = 1024, rank: int = 8) -> DataFrame:
-    """Per row of docs: id, held_out (crc32 of the id modulo divisor is held), score (1: good), predicted (score >= threshold). Held-out labels are never read."""
+def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", divisor: int = 4, held: int = 2, threshold: float = 0.7, rows_per_class: int = 3000, buckets: int = 1024, rank: int = 8, keep: bool = False) -> DataFrame:
+    """Per row of docs: id (with keep: all columns but those of these names), held_out (crc32 of the id modulo divisor is held), score (1: good), predicted (score >= threshold). Held-out labels are never read."""
     train = remainder("_id", divisor) != held
     source = _with_meta(docs, id_column, text_column)
 
@@ -140,11 +140,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     k = len(STATISTICS) + 1
     machine = fit(x[:, :k], x[:, k:], y, weight, rank)
 
+    if keep:
+        rows = docs.drop("held_out", "score", "predicted").withColumns({"_text": F.col(text_column).cast("string"), "_meta": F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")})
+    else:
+        rows = source.withColumnsRenamed({"text": "_text", "meta": "_meta"})
+    names = [c for c in rows.columns if c not in ("_text", "_meta")]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column("text")):
-                p = machine.score(*raw_features(data, offsets, batch.column("meta").slice(i, j - i).to_numpy(zero_copy_only=False), buckets))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p)], [id_column, "score"])
+            for i, j, data, offsets in slices(batch.column("_text")):
+                p = machine.score(*raw_features(data, offsets, batch.column("_meta").slice(i, j - i).to_numpy(zero_copy_only=False), buckets))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(p)], [*names, "score"])
 
-    out = source.mapInArrow(scored, f"`{id_column}` {source.dtypes[0][1]}, score double")
-    return out.select(id_column, (remainder(id_column, divisor) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = rows.mapInArrow(scored, type(rows.schema)([f for f in rows.schema if f.name in names]).add("score", "double"))
+    return out.select(*names[: None if keep else 1], (remainder(id_column, divisor) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

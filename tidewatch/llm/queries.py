@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .fingerprints import edit_response
 from .jaccard import jaccard_groups
+from .lines import without_repeated_lines
 from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
@@ -71,5 +72,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
