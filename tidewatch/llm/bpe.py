@@ -36,7 +36,14 @@ _SPACE[[9, 10, 13, 32]] = True
 _PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-įı-ɏ]*")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 #: Words whose ids a Python worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1_000_000
+
+
+def _parts(sequence: object, name: str) -> list[str]:
+    """Kinds of the members of a normalizer or pre-tokenizer that is a sequence."""
+    return [x["type"] for x in json.loads(sequence.__getstate__()).get(name, [])] if sequence is not None else []
 
 
 class Encoder:
@@ -51,20 +58,17 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        spec = json.loads(self.whole.to_str())
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        splits = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
-        self.tokens = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
-        self.memory: dict[str, tuple] = {}
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.by_word = _parts(self.whole.normalizer, "normalizers") == ["NFC", "Replace", "Lowercase"] and _parts(self.whole.pre_tokenizer, "pretokenizers") == ["Split", "ByteLevel"]
+        self.memory: dict[str, np.ndarray] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.memory) + len(words) > REMEMBERED:
-            self.memory.clear()
+        """Remembers words, a few at once: the library's encodings are large."""
         new = list(words)
-        for word, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memory[word] = tuple(found.ids)
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            for word, found in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memory[word] = tuple(found.ids)
 
     def encode(self, pieces: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(pieces)
@@ -77,30 +81,43 @@ class Encoder:
             else:
                 hard.append(i)
         missing = words - self.memory.keys()
-        if missing:
-            before = len(self.memory)
-            self.learn(missing)
-            if len(self.memory) < before:  # forgotten to make room
-                missing = words - self.memory.keys()
-                for word, found in zip(list(missing), self.whole.encode_batch_fast(list(missing), add_special_tokens=False), strict=True):
-                    self.memory[word] = tuple(found.ids)
+        if len(self.memory) + len(missing) > REMEMBERED:
+            self.memory.clear()
+            missing = words
+        self.learn(missing)
         for i, split in easy:
             out[i] = np.fromiter(chain.from_iterable(map(self.memory.__getitem__, split)), np.int32)
         for i, found in zip(hard, self.whole.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(found.ids, np.int32)
         return out
 
+
+class Decoder:
+    """Texts of ids. A tokenizer without a decoder joins tokens by spaces, for which their strings are enough."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        self.tokens = [whole.id_to_token(i) for i in range(whole.get_vocab_size(with_added_tokens=True))]
+        self.whole = whole if whole.decoder is not None else None
+
     def decode(self, ids: np.ndarray) -> str:
-        if self.whole.decoder is None:
+        if self.whole is None:
             return " ".join(map(self.tokens.__getitem__, ids.tolist()))
         return self.whole.decode(ids.tolist(), skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def gear(data: np.ndarray) -> np.ndarray:
     """The rolling hash of each byte and the 15 before it, in four doublings."""
     h = _GEAR[data]
@@ -158,27 +175,27 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
     seen = written(docs.select(text_key(text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(cut, "h binary, key binary, n int").distinct())
     shared = seen.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "n")).alias("owner")).filter("times > 1")
     owners = shared.groupBy(F.col("owner.key").alias("key")).agg(F.collect_list("owner.n").alias("own"))  # at most the chunks of one text
-    texts = distinct_texts(docs, text_column)
+    texts = distinct_texts(docs, text_column)  # read twice below, with the same columns: Spark shuffles it once
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
             own = batch.column("own").to_pylist()
-            for i, _, data, offsets in slices(batch.column("text")):
+            for i, _, data, offsets in slices(batch.column("text"), AT_ONCE):
                 raw, spans = data.tobytes(), []
                 for r, found in enumerate(cores(data, offsets, bits, least, most)):
                     spans += [found[n] for n in own[i + r]]
                 ids = code.encode([raw[a:b].decode() for a, b in spans])
                 yield pa.record_batch({"h": pa.array([_core_hash(raw, s) for s in spans], pa.binary()), "core_ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    encoded = texts.join(owners, "key").select("text", "own").mapInArrow(once, "h binary, core_ids array<int>")
+    encoded = texts.join(owners, "key").select("key", "copies", "text", "own").mapInArrow(once, "h binary, core_ids array<int>")
     given = seen.join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("n", "core_ids")).alias("given"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
             given = batch.column("given")
-            for i, j, data, offsets in slices(batch.column("text")):
+            for i, j, data, offsets in slices(batch.column("text"), AT_ONCE):
                 raw, pieces, plan = data.tobytes(), [], []  # plan: of each row, its parts in order: ids, or numbers of pieces
                 for r, found in enumerate(cores(data, offsets, bits, least, most)):
                     have = given[i + r].values
@@ -213,9 +230,9 @@ def decode(frame: DataFrame, path: str, ids_column: str = "ids", out: str = "dec
     at_ids = kept.columns.index(ids_column)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code = decoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 512)
                 column = part.column(at_ids)
                 texts = [None if not x.is_valid else code.decode(x.values.to_numpy()) for x in column]

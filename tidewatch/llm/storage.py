@@ -31,7 +31,7 @@ def written(df: DataFrame) -> DataFrame:
 def text_key(text: str | Column = "text") -> Column:
     """16 bytes that identify a text; null counts as empty."""
     column = F.col(text) if isinstance(text, str) else text
-    return F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary")))
+    return F.coalesce(F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary"))), F.lit(b""))  # never null, so joins add no filter below shared exchanges
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
