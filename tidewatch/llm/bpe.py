@@ -233,7 +233,7 @@ def decode(frame: DataFrame, path: str, ids_column: str = "ids", out: str = "dec
         code = decoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 512)
+                part = batch.slice(at, 256)
                 column = part.column(at_ids)
                 texts = [None if not x.is_valid else code.decode(x.values.to_numpy()) for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=pa.schema([*part.schema, pa.field(out, pa.string())]))
