@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import decisions
+from tidewatch.plans import decisions, evidence_queries, metric_queries, privacy_queries, quality_queries, registry_queries, stream_queries, url_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (decisions,):
-    QUERIES |= _module.QUERIES
-    ORACLE_SQL |= _module.ORACLE_SQL
+for _module in (decisions, url_queries, privacy_queries, quality_queries, evidence_queries, metric_queries, registry_queries, stream_queries):
+    QUERIES |= _module.register.queries
+    ORACLE_SQL |= _module.register.sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
