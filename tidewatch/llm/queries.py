@@ -78,4 +78,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: Where SQL can express a query; the others are tested against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS words FROM documents),
+ k AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+ h AS (SELECT r, i, md5(string_agg(word, ' ') OVER s) AS h, count(*) OVER s AS n FROM k WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+ often AS (SELECT h FROM h WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h WHERE n = 35 AND h IN (SELECT h FROM often)),
+ kept AS (SELECT k.r, string_agg(word, ' ' ORDER BY k.i) AS kept, count(*) AS n FROM k ANTI JOIN gone ON k.r = gone.r AND k.i = gone.i GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.r = kept.r""",
+    "op6_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+ k AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS m FROM w),
+ a AS (SELECT r, i, m, string_agg(word, ' ') OVER s AS shingle, count(*) OVER s AS n FROM k WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+ s AS (SELECT DISTINCT r, shingle FROM a WHERE n = 4 OR (m < 4 AND i = 1)),
+ c AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+ pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY 1, 2),
+ links AS (SELECT a, b FROM pairs JOIN c ca ON ca.r = a JOIN c cb ON cb.r = b WHERE 100 * shared >= 85 * (ca.n + cb.n - shared)),
+ reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ least AS (SELECT reach.a, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
+SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN least ON least.a = w.r LEFT JOIN c ON c.r = w.r""",
+}

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 #: And rows, for very short texts.
 SLICE_ROWS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
