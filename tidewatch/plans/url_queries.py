@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions import features, lexical, urls
+from tidewatch.functions import browser, features, lexical, urls
 from tidewatch.operators import profiles
 from tidewatch.sources.tables import BLOCKED_HOSTS, table
 
@@ -174,3 +174,45 @@ def pages_html_scan(spark, sf_dir):
 def import_scan(spark, sf_dir):
     """Every referenced target, one row each."""
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?:href|src)="([^"]*)"'), F.lit(1))).alias("target"))
+
+
+_KINDS = list(browser.TYPE_FLAGS.values())
+_EVIDENCE = {
+    "domain": "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'xn--p.example.org' ELSE NULL END",
+    "forms": "page_id % 4",
+    "inputs": "page_id % 9",
+    "scripts": "page_id % 5",
+}
+
+
+def _evidence(spark, sf_dir):
+    numbers = F.expr("array(1, 2, 3, 4, 5, 6, 7, 8)")
+    page = F.col("page_id")
+    first = lambda n: F.slice(numbers, F.lit(1), (page % n).cast("int"))
+    kind = lambda k: F.array(F.get(F.array(*map(F.lit, _KINDS)), ((page + k) % 8).cast("int")))
+    form = lambda k: F.struct(((page + k) % 4 == 0).alias("is_cross_domain"), ((page + k) % 3 == 0).alias("has_password"), ((page + k) % 7 == 0).alias("has_otp"), F.array().cast("array<string>").alias("types"))
+    field = lambda k: F.struct(((page + k) % 13 == 0).alias("is_password"), ((page + k) % 17 == 0).alias("is_otp"), kind(k).alias("types"))
+    script = lambda k: F.struct((k % 2 == 0).alias("is_inline"), (k % 3 == 0).alias("is_cross_domain"))
+    return _pages(spark, sf_dir).select("page_id", "url", F.expr(_EVIDENCE["domain"]).alias("domain"), F.transform(first(4), form).alias("forms"), F.transform(first(9), field).alias("inputs"), F.transform(first(5), script).alias("scripts"))
+
+
+def _some(count: str, test: str) -> str:
+    return f"len(list_filter(range(1, ({count}) + 1), lambda k: {test})) > 0"
+
+
+_HAS = {n: _some(_EVIDENCE["inputs"], f"(page_id + k) % 8 = {i}") for i, n in enumerate(browser.TYPE_FLAGS)}
+_BROWSER = LEXICAL | {"path_length": "length(regexp_replace(u_path, '^/', ''))::BIGINT"} | {
+    "domain_length": "length(u_host)::BIGINT", "domain_is_ip": LEXICAL["ip_address_host"], "punycode": LEXICAL["punycode_present"],
+    "dom_element_count": "(page_id % 4 + page_id % 9 + page_id % 5)::BIGINT", "external_script_count": "((page_id % 5) // 3)::BIGINT", "inline_script_count": "((page_id % 5) // 2)::BIGINT",
+    "login_form_detected": "pw::BIGINT", "password_field_detected": "pw::BIGINT", "otp_field_detected": "otp::BIGINT", "payment_field_detected": "has_card_field::BIGINT", "identity_field_detected": "has_identity_field::BIGINT",
+    "same_origin_submission": "(page_id % 4 > 0 AND NOT xd)::BIGINT", "cross_origin_submission": "xd::BIGINT", "cross_registrable_domain_submission": "xd::BIGINT", "form_secure_transport": "(u_scheme = 'https')::BIGINT",
+    "field_count": "(page_id % 9)::BIGINT", "credential_requested": "pw::BIGINT", "password_requested": "pw::BIGINT", "otp_requested": "otp::BIGINT", "financial_data_requested": "(has_card_field OR has_bank_field)::BIGINT", "identity_data_requested": "has_identity_field::BIGINT",
+}
+
+
+@register(f"""WITH {PARTS}, e AS (SELECT page_id, url, u_scheme, coalesce(nullif({_EVIDENCE['domain']}, ''), u_host) AS u_host, CASE WHEN u_path = '' THEN '/' ELSE u_path END AS u_path, u_query, u_frag,
+ ({_some('page_id % 4', '(page_id + k) % 3 = 0')} OR {_some('page_id % 9', '(page_id + k) % 13 = 0')}) AS pw, ({_some('page_id % 4', '(page_id + k) % 7 = 0')} OR {_some('page_id % 9', '(page_id + k) % 17 = 0')}) AS otp, {_some('page_id % 4', '(page_id + k) % 4 = 0')} AS xd, {_select(_HAS)} FROM u)
+SELECT page_id, pw AS has_password_field, otp AS has_otp_field, xd AS cross_domain_form, (page_id % 4)::BIGINT AS form_count, (page_id % 9)::BIGINT AS input_count, {', '.join(browser.TYPE_FLAGS)}, {_select(_BROWSER)} FROM e""")
+def browser_features(spark, sf_dir):
+    """The browser's variant of the features (section 2.15), A10."""
+    return browser.browser_features(_evidence(spark, sf_dir), keep=("page_id",))
