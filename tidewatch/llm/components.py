@@ -1,10 +1,10 @@
 """Connected groups of items that buckets make candidates, without all pairs of a bucket.
 
 Items that share a bucket are candidates; verify() says which candidates are linked. The groups of all links are
-found in two passes that together miss none: first each bucket's items are linked along its order only (neighbours),
-which joins nearly all of a large group of near copies with one check an item; then, for buckets that still hold items
-of more than one group, every pair of items of different groups is checked. Pairs inside a group need no check: they
-can't change it.
+found in two passes that together miss none: first each item is held only against the first of its bucket's order (and
+its neighbour there, if asked for), which joins nearly all of a large group of near copies with about one check an
+item; then, for buckets that still hold items of more than one group, every allowed pair of items of different groups
+is checked. Pairs inside a group need no check: they can't change it.
 """
 
 from __future__ import annotations
@@ -42,13 +42,19 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array([top(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, most_rounds: int = 60, one_task: int = 200_000) -> DataFrame:
     """(item, root) of every item of links (a long, b long): root is the smallest item of its group.
 
-    Stars within each task first, then large and small stars in turn (Kiveris and others) until nothing changes. Each
-    round is a written table; only its number of rows and a checksum reach the driver.
+    Stars within each task first. Where at most one_task links are left (16 bytes each), one task ends it; else large
+    and small stars follow in turn (Kiveris and others) until nothing changes. Each round is a written table; only its
+    number of rows and a checksum reach the driver.
     """
-    edges = written(links.select("a", "b").filter("a <> b").mapInArrow(_local_stars, "a long, b long").distinct())
+    edges = written(links.select("a", "b").filter("a <> b").mapInArrow(_local_stars, "a long, b long"))
+    if edges.count() <= one_task:
+        edges, most_rounds = edges.coalesce(1).mapInArrow(_local_stars, "a long, b long"), 0
+        edges = written(edges)
+    else:
+        edges = edges.distinct()
     mark = None
     for _ in range(most_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -68,40 +74,47 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("b").alias("item"), "root").union(roots.select("item", F.col("item").alias("root")))
 
 
-def neighbours(entries: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b), a < b: items that follow each other in a bucket's order of size and item, where their sizes fit."""
+def first_checks(entries: DataFrame, allowed: Callable[..., np.ndarray], chain: bool) -> DataFrame:
+    """(a, b), a < b: each item with the first of its bucket by place, size and item, and with chain the one before it, where allowed."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        head = last = None
         for batch in batches:
-            bucket, size, item = (batch.column(k).to_numpy() for k in range(3))
-            if not len(bucket):
+            rows = np.stack([batch.column(k).to_numpy() for k in range(4)])  # bucket, place, size, item
+            if not rows.shape[1]:
                 continue
             if last is not None:
-                bucket, size, item = (np.concatenate([[x], y]) for x, y in zip(last, (bucket, size, item), strict=True))
-            last = (bucket[-1], size[-1], item[-1])
-            keep = (bucket[1:] == bucket[:-1]) & (item[1:] != item[:-1]) & fits(size[:-1], size[1:])
-            a, b = item[:-1][keep], item[1:][keep]
+                rows = np.concatenate([head[:, None], last[:, None], rows], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = rows[0, 1:] != rows[0, :-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            pairs = [(start, np.arange(len(new)))]
+            if chain:
+                pairs.append((np.flatnonzero(~new) - 1, np.flatnonzero(~new)))
+            x, y = (np.concatenate(v) for v in zip(*pairs, strict=True))
+            keep = (rows[3, x] != rows[3, y]) & allowed(rows[2, x], rows[1, x], rows[2, y], rows[1, y])
+            a, b = rows[3, x[keep]], rows[3, y[keep]]
+            head, last = rows[:, start[-1]].copy(), rows[:, -1].copy()
             yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    dealt = entries.select("bucket", "size", "item").repartition("bucket").sortWithinPartitions("bucket", "size", "item")
+    dealt = entries.select("bucket", "place", "size", "item").repartition("bucket").sortWithinPartitions("bucket", "place", "size", "item")
     return dealt.mapInArrow(follow, "a long, b long").distinct()
 
 
-def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[np.ndarray, np.ndarray], np.ndarray], fits_sql: str) -> DataFrame:
+def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable[..., np.ndarray], allowed_sql: str, chain: bool = False) -> DataFrame:
     """(item, root) of every item with a link.
 
-    entries: (bucket long, size long, item long), small enough to be read several times (a written table).
-    verify: candidate pairs (a, b) to those that are linked. fits and fits_sql (over x.size and y.size, x.size <=
-    y.size) say whether sizes allow a link at all.
+    entries: (bucket, place, size, item), all long, small enough to be read several times (a written table).
+    verify: candidate pairs (a, b) to those that are linked. allowed(size, place, size, place) and allowed_sql (over
+    x.size, x.place, y.size, y.place; symmetric) say whether a bucket allows a pair at all; each linked pair must be
+    allowed in one bucket at least.
     """
-    first = written(connected(verify(neighbours(entries, fits))))
+    first = written(connected(verify(first_checks(entries, allowed, chain))))
     known = entries.join(first, "item", "left").withColumn("root", F.coalesce("root", "item"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
     left = written(known.join(mixed, "bucket"))
     x, y = left.alias("x"), left.alias("y")
-    # the smaller size first; equal sizes by item
-    ordered = F.expr("x.bucket = y.bucket AND x.root <> y.root AND (x.size < y.size OR (x.size = y.size AND x.item < y.item)) AND " + fits_sql)
+    ordered = F.expr("x.bucket = y.bucket AND x.root <> y.root AND x.item < y.item AND " + allowed_sql)
     across = x.join(y, ordered).select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
     second = verify(across)
     stars = first.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b"))
