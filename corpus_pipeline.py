@@ -17,17 +17,19 @@ from tidewatch.llm.lines import without_repeated_lines
 from tidewatch.llm.mixing import mixed
 from tidewatch.llm.quality_model import quality_scores
 from tidewatch.llm.queries import tokenizer_path
-from tidewatch.llm.storage import written
+from tidewatch.llm.storage import small_batches, written
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_scores(docs, labels, keep=True).filter("predicted = 1").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which they were all. n_chars follows the text."""
+    small_batches(spark)
     out = without_repeated_lines(docs)
     out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
@@ -38,11 +40,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (shingles of five words, 0.8)."""
+    small_batches(spark)
     return one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each time."""
+    small_batches(spark)
     names = docs.columns
     taken = mixed(docs)
     return taken.filter("repeats > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
@@ -50,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids)."""
+    small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path())
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

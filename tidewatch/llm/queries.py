@@ -12,13 +12,14 @@ from .lines import without_repeated_lines
 from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
-from .storage import text_key
+from .storage import small_batches, text_key
 from .style_tree import main_text
 from .substrings import without_repeats
 from .toxicity import toxic_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

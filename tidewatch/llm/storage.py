@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows of an Arrow batch: with texts of several kB, the default of 10,000 makes each Python worker hold hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and read back from Parquet in the shared folder: later plans start there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
