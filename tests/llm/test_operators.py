@@ -77,8 +77,9 @@ def removed_by_hand(rows, k):
 def test_substring_dedup(spark, window, seed_words):
     shared = " ".join(f"s{i}" for i in range(50))
     rows = noise(80) + ODD + [(i, f"p{i} q{i} {shared} r{i}") for i in range(2000, 2040)] + [(3000, "alone " + " ".join(f"z{i}" for i in range(50)))]
-    got = substrings.substring_dedup(docs(spark, rows), window=window, seed_words=seed_words).collect()
-    assert collections.Counter(map(tuple, got)) == removed_by_hand(rows, window)
+    for hot in (3, 1000):
+        got = substrings.substring_dedup(docs(spark, rows), window=window, seed_words=seed_words, hot=hot).collect()
+        assert collections.Counter(map(tuple, got)) == removed_by_hand(rows, window)
 
 
 def groups_by_hand(rows, k, percent):
@@ -129,8 +130,10 @@ def test_one_of_each_group(spark):
 
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(1000, 1200)] + [(1, 2), (3, 2), (7, 7)]
-    got = {r["item"]: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
-    assert got == {**{i: 1000 for i in range(1000, 1201)}, 1: 1, 2: 1, 3: 1}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for bound in (0, 1000):
+        got = {r["item"]: r.root for r in components.connected(df, one_task=bound).collect()}
+        assert got == {**{i: 1000 for i in range(1000, 1201)}, 1: 1, 2: 1, 3: 1}
 
 
 def test_bpe_equals_the_library(spark):
@@ -342,3 +345,19 @@ def test_line_groups_by_hand(spark):
     for a in grouped:
         for b in grouped:
             assert (root[by_text[a]] == root[by_text[b]]) == (top(a) == top(b))
+
+
+def test_near_classes(spark):
+    rng = random.Random(12)
+    fresh = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(3000))
+    base = [fresh() for _ in range(8)]
+    rows = [(i, fresh()) for i in range(100, 140)] + [(1, None), (2, "")]
+    for i in range(60):
+        text = base[i % 8]
+        at = rng.randrange(2900)
+        rows.append((200 + i, text[:at] + "Z" + text[at + 2 :] if i >= 16 else text))
+    got = {r.doc_id: r for r in fingerprints.near_classes(docs(spark, rows)).collect()}
+    assert len(got) == len(rows) and got[1].class_id == got[2].class_id == 1
+    assert all(got[i].class_id == i for i in range(100, 140))
+    found = sum(got[200 + i].class_id == 200 + i % 8 for i in range(60))
+    assert found >= 57 and all(got[200 + i].class_id in (200 + i % 8, 200 + i) for i in range(60))

@@ -4,8 +4,10 @@ A window's minimiser is the smallest hash among its runs of `seed_words` words;
 form a super-k-mer. Minimisers that occur once in the corpus can't hold a repeated window, so only counted hashes of
 minimisers are shuffled at first. The super-k-mers of the others travel, each as one packed string, to the bucket of
 their minimiser; equal strings are combined on the way, so a passage in a third of all rows is one row with a count.
-In a bucket the windows are sorted by 128 bits of hash of their words and their occurrences added up. Each different
-text is shuffled once, whatever its number of copies, and read twice.
+In a bucket the windows are sorted by 128 bits of hash of their words and their occurrences added up. A minimiser that
+occurs over `hot` times may have as many different super-k-mers (a common passage with other words around it each
+time), so its bucket is dealt out anew by the windows' own hashes, combined before the shuffle. Each different text is
+shuffled once, whatever its number of copies.
 
 Words are runs of other than ASCII white space, unchanged. Null texts have none. Repeated rows are copies of a text
 and repeat each other. Other columns are never read. An empty table gives no row.
@@ -13,6 +15,7 @@ and repeat each other. Other columns are never read. An empty table gives no row
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +74,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
 
 
-def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 35, seed_words: int = 6) -> DataFrame:
+def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 35, seed_words: int = 6, hot: int = 1000) -> DataFrame:
     """(key, text, copies, spans): each different text once; spans holds (first word, word after the last) of what repeated windows cover, null if nothing."""
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +100,8 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
 
     keyed = docs.select(text_key(text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     seen = keyed.mapInArrow(minimisers, "key binary, m array<long>, n array<int>").select("key", F.inline(F.arrays_zip("m", "n")))
-    often = seen.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m")
-    wanted = seen.select("key", "m").join(often, "m", "left_semi").groupBy("key").agg(F.collect_set("m").alias("wanted"))  # at most a text's own
+    often = seen.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m", (F.col("n") > hot).alias("hot"))
+    wanted = seen.select("key", "m").join(often, "m").groupBy("key").agg(F.collect_set(F.struct("m", "hot")).alias("wanted"))  # at most a text's own
     texts = distinct_texts(docs, text_column)  # read twice, shuffled once
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +112,14 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
                 start, count, least = super_kmers(words, words.hashes(_SEED), window, seed_words)
                 row = words.row[start]
                 mine = lists.slice(i, j - i)
-                asked = mine.flatten().to_numpy()
+                asked = mine.flatten()
                 who = np.repeat(np.arange(j - i), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False))
-                keep = np.isin(_in_row(least, row), _in_row(asked.view(np.uint64), who))
+                marks = _in_row(asked.field("m").to_numpy().view(np.uint64), who)
+                order = np.argsort(marks)
+                own = _in_row(least, row)
+                near = np.minimum(np.searchsorted(marks[order], own), max(len(marks) - 1, 0))
+                keep = marks[order][near] == own if len(marks) else np.zeros(len(own), bool)
+                often_hot = asked.field("hot").to_numpy(zero_copy_only=False)[order][near[keep]] if len(marks) else np.empty(0, bool)
                 start, count, least, row = start[keep], count[keep], least[keep], row[keep]
                 raw, begin, end = _packed(words)
                 packed = [raw[a:b] for a, b in zip(begin[start].tolist(), end[start + count + window - 2].tolist(), strict=True)]
@@ -122,12 +130,13 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
                         "copies": batch.column("copies").take(at),
                         "first": pa.array(start - words.first[:-1][row], pa.int64()),
                         "m": pa.array(signed(least)),
+                        "hot": pa.array(often_hot.astype(bool)),
                         "packed": pa.array(packed, pa.binary()),
                     }
                 )
 
-    pieces = texts.join(wanted, "key").select("key", "copies", "text", "wanted").mapInArrow(cut, "key binary, copies long, first long, m long, packed binary")
-    different = pieces.groupBy("m", "packed").agg(F.sum("copies").alias("copies"))
+    pieces = texts.join(wanted, "key").select("key", "copies", "text", "wanted").mapInArrow(cut, "key binary, copies long, first long, m long, hot boolean, packed binary")
+    different = pieces.groupBy("m", "hot", "packed").agg(F.sum("copies").alias("copies"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -145,30 +154,42 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
         if held:
             yield _tally(pa.Table.from_batches(held), window)
 
-    found = different.repartition("m").sortWithinPartitions("m").mapInArrow(counted, "piece binary, ranges array<long>")
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, one, two, row, at = _windows(pa.Table.from_batches([batch]), window)
+            yield pa.record_batch({"one": pa.array(signed(one)), "two": pa.array(signed(two)), "piece": batch.column("piece").take(pa.array(row)), "at": pa.array(at), "copies": batch.column("copies").take(pa.array(row))})
+
+    cold = different.filter("NOT hot").select("m", "packed", "copies").repartition("m").sortWithinPartitions("m").mapInArrow(counted, "piece binary, ranges array<long>")
+    each = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(exploded, "one long, two long, piece binary, at long, copies long")
+    twice = each.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter("n > 1").select("one", "two")
+    places = each.select("one", "two", "piece", "at").join(twice, ["one", "two"], "left_semi").groupBy("piece").agg(F.collect_set("at").alias("at"))  # at most a piece's own
+    found = cold.union(places.select("piece", F.flatten(F.transform("at", lambda a: F.array(a, a + window))).alias("ranges")))
     placed = pieces.select("key", "first", F.unhex(F.md5("packed")).alias("piece")).join(found, "piece")
     spans = placed.select("key", F.transform("ranges", lambda r: r + F.col("first")).alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's own
     return texts.join(spans, "key", "left").select("key", "text", "copies", "spans")
 
 
-def _tally(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Of whole buckets of different pieces: the pieces with repeated windows, and what these cover in them."""
-    import hashlib
-
-    table = table.combine_chunks()
-    packed = table.column("packed").combine_chunks() if isinstance(table.column("packed"), pa.ChunkedArray) else table.column("packed")
-    m, copies = table.column("m").to_numpy(), table.column("copies").to_numpy()
+def _windows(table: pa.Table, window: int) -> tuple[np.ndarray, ...]:
+    """(bucket, two hashes, row, place) of every window of the packed strings."""
+    packed = table.column("packed").combine_chunks().cast(pa.string(), safe=False)
+    packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
+    m = table.column("m").to_numpy()
     keys: list = [[], [], [], [], []]
-    texts = packed.cast(pa.string(), safe=False) if packed.type != pa.string() else packed
-    bounds = []
-    for i, _, data, offsets in slices(texts, most_rows=1 << 30):
+    for i, _, data, offsets in slices(packed, most_rows=1 << 30):
         words = Words(data, offsets)
         at = np.flatnonzero(words.left() >= window)
         row = words.row[at]
         for k, v in enumerate((m[i + row], window_hashes(words.hashes(_SEED), window)[at], window_hashes(words.hashes(_SEED + 1), window)[at], i + row, at - words.first[:-1][row])):
             keys[k].append(v)
-        bounds.append(i)
-    bucket, one, two, row, at = (np.concatenate(k) for k in keys)
+    kinds = (np.int64, np.uint64, np.uint64, np.int64, np.int64)
+    return tuple(np.concatenate(k) if k else np.empty(0, kind) for k, kind in zip(keys, kinds, strict=True))
+
+
+def _tally(table: pa.Table, window: int) -> pa.RecordBatch:
+    """Of whole buckets of different pieces: the pieces with repeated windows, and what these cover in them."""
+    table = table.combine_chunks()
+    packed, copies = table.column("packed"), table.column("copies").to_numpy()
+    bucket, one, two, row, at = _windows(table, window)
     order = np.lexsort((two, one, bucket))
     new = np.ones(len(order), bool)
     for x in (bucket, one, two):
@@ -189,7 +210,7 @@ def _tally(table: pa.Table, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(ranges, 2 * counts, pa.int64())], ["piece", "ranges"])
 
 
-def without_repeats(docs: DataFrame, text_column: str = "text", window: int = 35, seed_words: int = 6) -> DataFrame:
+def without_repeats(docs: DataFrame, text_column: str = "text", window: int = 35, seed_words: int = 6, hot: int = 1000) -> DataFrame:
     """(key, copies, n_words, n_removed, kept): each different text once; kept: the words that stay, joined by one space."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +238,10 @@ def without_repeats(docs: DataFrame, text_column: str = "text", window: int = 35
                     ["key", "copies", "n_words", "n_removed", "kept"],
                 )
 
-    return repeated_windows(docs, text_column, window, seed_words).select("key", "copies", "text", "spans").mapInArrow(remove, "key binary, copies long, n_words long, n_removed long, kept string")
+    return repeated_windows(docs, text_column, window, seed_words, hot).select("key", "copies", "text", "spans").mapInArrow(remove, "key binary, copies long, n_words long, n_removed long, kept string")
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, seed_words: int = 6) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, seed_words: int = 6, hot: int = 1000) -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept."""
-    removed = without_repeats(docs, text_column, window, seed_words).drop("copies")
+    removed = without_repeats(docs, text_column, window, seed_words, hot).drop("copies")
     return docs.select(F.col(id_column), text_key(text_column).alias("_key")).join(removed, F.col("_key") == F.col("key")).select(id_column, "n_words", "n_removed", "kept")
