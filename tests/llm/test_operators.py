@@ -347,6 +347,25 @@ def test_line_groups_by_hand(spark):
             assert (root[by_text[a]] == root[by_text[b]]) == (top(a) == top(b))
 
 
+def test_line_recall_against_edit_similarity(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(300):
+        w = [word() for _ in range((10, 20, 40)[i % 3])]
+        rows.append((i, " ".join(w)))
+        at = rng.randrange(len(w))
+        w[at] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w[at])
+        rows.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_hand = {(r.a, r.b) for r in df.selectExpr("doc_id a", "text x").crossJoin(df.selectExpr("doc_id b", "text y")).filter("a < b AND 5 * levenshtein(x, y) <= greatest(length(x), length(y))").collect()}
+    gone = {r.doc_id for r in lines.without_repeated_lines(df).collect() if r.n_removed}
+    assert len(by_hand) >= 290 and gone <= {b for _, b in by_hand}
+    for n in range(3):
+        pairs = [b for a, b in by_hand if a % 3 == n]
+        assert len(gone.intersection(pairs)) >= 0.93 * len(pairs)
+
+
 def test_near_classes(spark):
     rng = random.Random(12)
     fresh = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(3000))
