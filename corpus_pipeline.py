@@ -30,7 +30,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which they were all. n_chars follows the text."""
     small_batches(spark)
-    out = without_repeated_lines(docs)
+    out = without_repeated_lines(docs, figures=True)
     out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
     if "n_chars" in docs.columns:

@@ -366,6 +366,17 @@ def test_line_recall_against_edit_similarity(spark):
         assert len(gone.intersection(pairs)) >= 0.93 * len(pairs)
 
 
+def test_lines_with_other_figures_stay(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "Total 1204\n12 34\nTOTAL: 1204"), (2, "Total 9871\n98 76"), (3, "98 76")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert kept == {1: "Total 1204\n12 34", 2: "Total 9871\n98 76"}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: 1, 2: 0, 3: 1}
+
+
 def test_near_classes(spark):
     rng = random.Random(12)
     fresh = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(3000))

@@ -74,7 +74,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), figures=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
