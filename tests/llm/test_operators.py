@@ -289,6 +289,14 @@ def test_style_tree_removes_what_pages_share(spark, few):
     assert len(got) == 30 and all(got[i].text == ("story %d " % i * 9).strip() and got[i].n_removed == 2 for i in got)
 
 
+def test_copies_of_a_page_keep_their_article(spark):
+    page = "<body><article id='post-{0}'><p>{1}</p><p>{2}</p></article></body>"
+    copy = page.format("a", "The whole story", "and its end")
+    rows = [(i, f"http://h/{i}", page.format(i, f"story {i}", f"end {i}")) for i in range(20)] + [(100 + i, f"http://h/a?{i}", copy) for i in range(20)] + [(200 + i, f"http://g/{i}", copy) for i in range(20)]
+    got = {r.page_id: r.text for r in style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[i] == f"story {i}\nend {i}" for i in range(20)) and {got[k + i] for k in (100, 200) for i in range(20)} == {"The whole story\nand its end"}
+
+
 def test_lines(spark):
     long = "The quick brown fox jumps over the lazy dog and runs far away {} over the hills and the seas until the night comes down."
     rows = [(1, long.format("today") + "\nunique one here\n!!!\n"), (2, long.format("Today,") + "\nother text"), (3, "!!!"), (3, None), (4, ""), (None, "unique one here"), (5, "alpha beta\nalpha beta\ngamma 12"), (6, "gamma 34")]

@@ -5,7 +5,8 @@ presentation nodes the sequences of children that pages have at a node, its cont
 pages that have a node, presentation importance is the entropy (base m) of the sequences, and content importance is
 1 minus the mean entropy (base m) of the texts' spread over pages: text that all pages share tells nothing, text of one
 page does. A block goes if damping * presentation(parent) + (1 - damping) * content(node) is below `threshold` on a
-host with at least `min_pages` pages that have the node.
+host with at least `min_pages` pages that have the node. Of pages of a host that are alike in what can be article text,
+one counts: copies of an article are no boilerplate.
 
 Entropy alone can't see that an advert with new words on each page is no article, nor judge a host with one page. So
 the markup's own words come first: elements that HTML defines as something else (nav, aside, form, ...) and elements
@@ -26,6 +27,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,13 +185,17 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     return blocks, shapes
 
 
-def article_text(blocks: list[Block], removed: frozenset) -> tuple[str, int]:
-    """The kept blocks joined by line ends, and how many the style tree removed."""
+def article_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks that can be article text by the markup alone."""
     own = [b for b in blocks if not b.beside]
     if any(b.article for b in own):
-        own = [b for b in own if b.article]
-    else:  # without an article element, blocks that are mostly links are menus
-        own = [b for b in own if b.linked <= 0.5 * len(b.text)]
+        return [b for b in own if b.article]
+    return [b for b in own if b.linked <= 0.5 * len(b.text)]  # without an article element, blocks that are mostly links are menus
+
+
+def article_text(blocks: list[Block], removed: frozenset) -> tuple[str, int]:
+    """The kept blocks joined by line ends, and how many the style tree removed."""
+    own = article_blocks(blocks)
     kept = [b for b in own if b.node not in removed]
     return "\n".join(b.text for b in kept), len(own) - len(kept)
 
@@ -205,13 +211,25 @@ def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "ht
                 by_node: dict[int, list] = {}
                 for node, shape in shapes:
                     by_node.setdefault(node, []).append(shape)
-                out += [(host, node, 0, 0, hashed("|".join(shape))) for node, shape in by_node.items()]
-                out += [(host, *x) for x in {(b.node, b.parent, 1, hashed(b.text)) for b in blocks}]
-                out += [(host, *x) for x in {(b.node, b.parent, 2, 0) for b in blocks}]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, pa.int64() if k != 3 else pa.int32()) for k, c in enumerate(columns)], ["host", "node", "parent", "kind", "value"])
-
-    rows = _hosted(pages, url_column, html_column).select("host", "html").mapInArrow(nodes, "host long, node long, parent long, kind int, value long")
+                rows = [(node, 0, 0, hashed("|".join(shape))) for node, shape in by_node.items()]
+                rows += {(b.node, b.parent, 1, hashed(b.text)) for b in blocks}
+                rows += {(b.node, b.parent, 2, 0) for b in blocks}
+                out.append((host, hashed("\n".join(b.text for b in article_blocks(blocks))), np.array(rows, "<i8").tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["host", "page", "rows"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = part.column(1).to_pylist()
+                node, parent, kind, value = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 4).T
+                host = np.repeat(part.column(0).to_numpy(), [len(x) // 32 for x in raw])
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in (host, node, parent, kind.astype(np.int32), value)], ["host", "node", "parent", "kind", "value"])
+
+    # copies of a page (alike in what can be article text) tell nothing of the site: one of them counts
+    different = _hosted(pages, url_column, html_column).select("host", "html").mapInArrow(nodes, "host long, page long, rows binary").groupBy("host", "page").agg(F.min("rows").alias("rows"))
+    rows = different.select("host", "rows").mapInArrow(dealt, "host long, node long, parent long, kind int, value long")
     counts = rows.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("double")
     shown = counts.filter("kind = 0").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(n * F.log(n)).alias("s"))
