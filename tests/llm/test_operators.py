@@ -297,6 +297,15 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert all(got[i] == f"story {i}\nend {i}" for i in range(20)) and {got[k + i] for k in (100, 200) for i in range(20)} == {"The whole story\nand its end"}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_shared_text_goes_where_shapes_differ(spark, few):
+    story = lambda i: [f"story {i} part {k}" for k in range(i + 1)]
+    rows = [(i, f"http://h/{i}", "<body><article><div class=intro>Same on all</div>" + "".join(f"<p>{x}</p>" for x in story(i)) + "<p>Call us today</p></article></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.text, r.n_removed) for r in style_tree.main_text(df, broadcast_rows=100 if few else 0).collect()}
+    assert got == {i: ("\n".join(story(i)), 2) for i in range(12)}
+
+
 def test_lines(spark):
     long = "The quick brown fox jumps over the lazy dog and runs far away {} over the hills and the seas until the night comes down."
     rows = [(1, long.format("today") + "\nunique one here\n!!!\n"), (2, long.format("Today,") + "\nother text"), (3, "!!!"), (3, None), (4, ""), (None, "unique one here"), (5, "alpha beta\nalpha beta\ngamma 12"), (6, "gamma 34")]

@@ -4,8 +4,8 @@ The pages of a host are merged into one style tree: its nodes are paths of block
 presentation nodes the sequences of children that pages have at a node, its content nodes the text blocks. Over the m
 pages that have a node, presentation importance is the entropy (base m) of the sequences, and content importance is
 1 minus the mean entropy (base m) of the texts' spread over pages: text that all pages share tells nothing, text of one
-page does. A block goes if damping * presentation(parent) + (1 - damping) * content(node) is below `threshold` on a
-host with at least `min_pages` pages that have the node. Of pages of a host that are alike in what can be article text,
+page does. A block goes if damping * presentation(parent) + (1 - damping) * content(node), or content(node) alone, is
+below `threshold`, or if its own text is on so many pages with the node that 1 - log(those pages) is, on a host with at least `min_pages` pages that have the node. Of pages of a host that are alike in what can be article text,
 one counts: copies of an article are no boilerplate.
 
 Entropy alone can't see that an advert with new words on each page is no article, nor judge a host with one page. So
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -196,12 +197,17 @@ def article_blocks(blocks: list[Block]) -> list[Block]:
 def article_text(blocks: list[Block], removed: frozenset) -> tuple[str, int]:
     """The kept blocks joined by line ends, and how many the style tree removed."""
     own = article_blocks(blocks)
-    kept = [b for b in own if b.node not in removed]
+    kept = [b for b in own if b.node not in removed and (not removed or text_in_node(b.node, hashed(b.text)) not in removed)]
     return "\n".join(b.text for b in kept), len(own) - len(kept)
 
 
-def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(host, node, parent, pages, presentation, content) of every node with text blocks; host is a hash of the url's authority."""
+def text_in_node(node: int, value: int) -> int:
+    """What stands for one text of a node among the removed nodes."""
+    return node ^ value
+
+
+def page_counts(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """(host, node, parent, kind, value, n): on how many different pages of a host a node has a sequence of children (kind 0), a text (1), any text (2)."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +236,12 @@ def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "ht
     # copies of a page (alike in what can be article text) tell nothing of the site: one of them counts
     different = _hosted(pages, url_column, html_column).select("host", "html").mapInArrow(nodes, "host long, page long, rows binary").groupBy("host", "page").agg(F.min("rows").alias("rows"))
     rows = different.select("host", "rows").mapInArrow(dealt, "host long, node long, parent long, kind int, value long")
-    counts = rows.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def style_tree(pages: DataFrame, url_column: str = "url", html_column: str = "html", counts: DataFrame | None = None) -> DataFrame:
+    """(host, node, parent, pages, presentation, content) of every node with text blocks; host is a hash of the url's authority. counts: page_counts(pages), where it is known."""
+    counts = counts if counts is not None else page_counts(pages, url_column, html_column)
     n = F.col("n").cast("double")
     shown = counts.filter("kind = 0").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(n * F.log(n)).alias("s"))
     # the entropy of counts that sum to m, base m: (ln m - sum(n ln n) / m) / ln m
@@ -249,10 +260,16 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     """Per page: id, url, text, n_chars (code points), n_removed (blocks that the style tree took)."""
     pages = pages.select(id_column, url_column, html_column)
     score = damping * F.col("presentation") + (1 - damping) * F.col("content")
-    low = style_tree(pages, url_column, html_column).filter((F.col("pages") >= min_pages) & (score < threshold)).select("host", "node")
-    low = low.groupBy("host").agg(F.collect_set("node").alias("removed"), F.count(F.lit(1)).alias("n"))
     from .storage import written
 
+    counts = written(page_counts(pages, url_column, html_column))
+    tree = written(style_tree(pages, url_column, html_column, counts).filter(F.col("pages") >= min_pages))
+    nodes = tree.filter((score < threshold) | (F.col("content") < threshold)).select("host", "node")
+    # a text that nearly all pages have under a node goes even where the node's other texts stay
+    often = counts.filter((F.col("kind") == 1) & (F.log("n") > (1 - threshold) * math.log(min_pages))).join(tree.select("host", "node", "parent", "pages"), ["host", "node", "parent"])
+    texts = often.filter(1 - F.log("n") / F.log("pages") < threshold).select("host", F.col("node").bitwiseXOR(F.col("value")).alias("node"))
+    low = nodes.union(texts)
+    low = low.groupBy("host").agg(F.collect_set("node").alias("removed"), F.count(F.lit(1)).alias("n"))
     low = written(low)
     few = (low.agg(F.sum("n")).first()[0] or 0) <= broadcast_rows
     source = _hosted(pages, url_column, html_column)
