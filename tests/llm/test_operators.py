@@ -306,6 +306,17 @@ def test_shared_text_goes_where_shapes_differ(spark, few):
     assert got == {i: ("\n".join(story(i)), 2) for i in range(12)}
 
 
+def test_layout_words_and_teasers_leave_the_text():
+    text = lambda page: "\n".join(b.text for b in style_tree.article_blocks(style_tree.parse(page)[0]))
+    side = "<div class=sidebar>beside</div>"
+    assert text(f"<div id=page class=right-sidebar><main><article><p>One</p></article></main>{side}</div>") == "One"
+    assert text(f"<div class='layout legal-notice'><article><p>One</p></article>{side}</div>") == "One"
+    assert text(f"<div class=right-sidebar><p>{'One ' * 20}</p>{side}</div>") == ("One " * 20).strip()
+    assert text("<article><p>Long text</p></article><ol class=comment-list><article class=comment-body>They say more than that</article></ol>") == "Long text"
+    assert text(f"<div><p>{'One ' * 20}</p></div><article>Teaser</article>").startswith("One One")
+    assert text("<div class=sidebar><p>beside</p></div><div><p>One and two</p></div>") == "One and two"
+
+
 def test_lines(spark):
     long = "The quick brown fox jumps over the lazy dog and runs far away {} over the hills and the seas until the night comes down."
     rows = [(1, long.format("today") + "\nunique one here\n!!!\n"), (2, long.format("Today,") + "\nother text"), (3, "!!!"), (3, None), (4, ""), (None, "unique one here"), (5, "alpha beta\nalpha beta\ngamma 12"), (6, "gamma 34")]

@@ -10,8 +10,9 @@ one counts: copies of an article are no boilerplate.
 
 Entropy alone can't see that an advert with new words on each page is no article, nor judge a host with one page. So
 the markup's own words come first: elements that HTML defines as something else (nav, aside, form, ...) and elements
-whose class or id names a role outside the article (menu, sidebar, comment, ...) are no article text; where a page has
-an article or main element, only what is in it can be. What remains is judged by the style tree.
+whose class or id names a role outside the article (menu, sidebar, comment, ...) are no article text, unless they hold
+the main element, the longest article or most of the page's text; where a page has a main element, or article elements
+with a third of its text, only what is in them can be. What remains is judged by the style tree.
 
 Null and empty pages have empty text. Pages with a null url share a host. Rows with equal ids stay apart; columns other
 than the three named are never read. Counting is by (host, node, value), combined before the shuffle, so a host with
@@ -72,6 +73,8 @@ class Block:
     article: bool
     beside: bool
     linked: int  # characters in links
+    main: bool = False
+    named: tuple = ()  # elements around it whose class, id or role names a part beside the article
 
 
 @dataclass
@@ -82,14 +85,18 @@ class Open:
     article: bool
     beside: bool
     children: list = field(default_factory=list)
+    begun: int = -1  # of an article element, how many blocks came before it
+    main: bool = False
+    named: tuple = ()
 
 
 def _beside(tag: str, attributes: dict, article: bool) -> bool:
-    """Whether an element stands beside the article."""
-    if tag in _NO_ARTICLE or (tag == "header" and not article) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
+    """Whether an element stands beside the article by its tag, or isn't shown."""
+    return tag in _NO_ARTICLE or (tag == "header" and not article) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+
+
+def _named_beside(attributes: dict, article: bool) -> bool:
+    """Whether class, id or role name a part beside the article."""
     for name in ("class", "id", "role"):
         for value in attributes.get(name, "").lower().split():
             words = _WORD.findall(value)
@@ -103,7 +110,9 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     root = Open("", "", hashed(""), False, False)
     stack, blocks, shapes = [root], [], []
     text: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, names = 0, 0, 0
+    around: set[int] = set()  # named elements that hold the main element
+    articles: list[tuple] = []  # of each article element, the first of its blocks, the block after its last, the named elements around it
 
     def flush() -> None:
         nonlocal linked
@@ -112,13 +121,15 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             if line:
                 top = stack[-1]
                 parent = stack[-2].node if len(stack) > 1 else root.node
-                blocks.append(Block(line, top.node, parent, top.article, top.beside, linked))
+                blocks.append(Block(line, top.node, parent, top.article, top.beside, linked, top.main, top.named))
             text.clear()
         linked = 0
 
     def close() -> None:
         flush()
         gone = stack.pop()
+        if gone.begun >= 0:
+            articles.append((gone.begun, len(blocks), gone.named))
         if gone.children:
             shapes.append((gone.node, ",".join(gone.children)))
 
@@ -175,23 +186,54 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(found["rest"])} if found["rest"] else {}
         article = top.article or tag in ("article", "main") or attributes.get("role") == "main"
         beside = top.beside or _beside(tag, attributes, article)
+        main, named, begun = top.main, top.named, -1
+        words_name = _named_beside(attributes, article)
+        if tag == "main" or attributes.get("role") == "main":
+            main = True
+            around.update(named)
+        elif tag == "article" and not words_name:  # comments are often articles too, of class comment
+            begun = len(blocks)
+        elif words_name and tag not in ("html", "body", "article"):
+            names += 1
+            named = (*named, names)
         path = f"{top.path}/{tag}" + "".join(f".{attributes[a]}" for a in ("class", "id") if attributes.get(a))
         if len(path) > 2000:
             path = f"{hashed(path)}"
-        stack.append(Open(tag, path, hashed(path), article, beside))
+        stack.append(Open(tag, path, hashed(path), article, beside, begun=begun, main=main, named=named))
         in_link = 0
     while len(stack) > 1:
         close()
     flush()
+    _set_beside(blocks, around, articles)
     return blocks, shapes
 
 
+def _set_beside(blocks: list[Block], around: set[int], articles: list[tuple], most: float = 0.8) -> None:
+    """Blocks in a named element are beside, but a name doesn't count on an element that holds the main element, the longest article or `most` of the page's text."""
+    if not any(b.named for b in blocks):
+        return
+    size = [0 if b.beside else max(0, len(b.text) - b.linked) for b in blocks]
+    held: dict[int, int] = {}
+    for b, n in zip(blocks, size, strict=True):
+        for name in b.named:
+            held[name] = held.get(name, 0) + n
+    ignored = around | {name for name, n in held.items() if n > most * sum(size)}
+    if articles:
+        first, end, named = max(articles, key=lambda a: sum(size[a[0] : a[1]]))
+        ignored.update(named if sum(size[first:end]) else ())
+    for b in blocks:
+        b.beside = b.beside or any(name not in ignored for name in b.named)
+
+
 def article_blocks(blocks: list[Block]) -> list[Block]:
     """The blocks that can be article text by the markup alone."""
     own = [b for b in blocks if not b.beside]
-    if any(b.article for b in own):
-        return [b for b in own if b.article]
-    return [b for b in own if b.linked <= 0.5 * len(b.text)]  # without an article element, blocks that are mostly links are menus
+    plain = [b for b in own if b.linked <= 0.5 * len(b.text)]
+    inside = [b for b in own if b.article]
+    # article elements are also teasers beside the text: without a main element they need a third of it
+    if inside and (any(b.main for b in inside) or 3 * sum(len(b.text) for b in plain if b.article) >= sum(len(b.text) for b in plain)):
+        return inside
+    return plain  # without an article, blocks that are mostly links are menus
 
 
 def article_text(blocks: list[Block], removed: frozenset) -> tuple[str, int]:
