@@ -419,3 +419,21 @@ def test_near_classes(spark):
     assert all(got[i].class_id == i for i in range(100, 140))
     found = sum(got[200 + i].class_id == 200 + i % 8 for i in range(60))
     assert found >= 57 and all(got[200 + i].class_id in (200 + i % 8, 200 + i) for i in range(60))
+
+
+@pytest.mark.parametrize("size", [5, 8, 12, 20, 35, 60, 100, 140, 200, 270, 530, 1050])
+def test_bands_of_near_texts(size):
+    rng = random.Random(size)
+    texts, changed = [], []
+    for _ in range(1500 if size > 12 else 4000):
+        t = [rng.choice("abcdefghijklmnop ") for _ in range(size)]
+        texts.append("".join(t))
+        for _ in range(rng.randint(1, max(1, size // 12))):
+            t[rng.randrange(size)] = "Z"
+        changed.append("".join(t))
+    a, b = np.split(fingerprints.embed(texts + changed), 2)
+    like = fingerprints.likeness(a, b)
+    at = np.flatnonzero((like >= 0.8) & (like < (0.85 if size > 20 else 0.9)))
+    a, b = fingerprints.as_strings(a), fingerprints.as_strings(b)
+    met = [not set(fingerprints.band_keys(a[i], 8)).isdisjoint(fingerprints.band_keys(b[i], 8)) for i in at]
+    assert len(at) >= 20 and np.mean(met) >= 0.9

@@ -187,20 +187,25 @@ def edit_response(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return runs.mapInArrow(respond, schema)
 
 
-def band_keys(fingerprint: str, band: int, scales: int) -> list[str]:
-    """Keys of runs of `band` samples of the last `scales` scales (which stand for most of the text), where none is behind the end."""
-    full = -(-len(fingerprint) // SAMPLES)
-    padded = fingerprint.ljust(full * SAMPLES, "x")
-    runs = ((at, padded[at : at + band]) for at in range(max(0, full - scales) * SAMPLES, len(padded), band))
-    return [f"{at}:{run}" for at, run in runs if "x" not in run]
+def band_keys(fingerprint: str, band: int) -> list[str]:
+    """Keys of runs of `band` samples of all scales, where none is behind the end, and of shorter runs for short texts.
+
+    A text of under 96 samples has too few runs of 8: up to 160 samples runs of 4 are added (from 24 on), up to 40 runs
+    of 2. The ranges overlap, so two texts of like length have one kind in common.
+    """
+    held = len(fingerprint) - fingerprint.count("x")
+    widths = [band] + [4] * (24 <= held <= 160) + [2] * (held <= 40)
+    runs = ((w, at, fingerprint[at : at + w]) for w in widths for at in range(0, len(fingerprint) - w + 1, w))
+    keys = [f"{w}:{at}:{run}" for w, at, run in runs if "x" not in run]
+    return keys if held >= 6 else [*keys, *(f"1:{at}:{x}" for at, x in enumerate(fingerprint) if x != "x")]
 
 
-def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.8, band: int = 8, scales: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.8, band: int = 8) -> DataFrame:
     """(id, fingerprint, class_id) of every row: class_id is the smallest id that links lead to, null only if all are.
 
     Rows of equal fingerprints are one item. Items that share a band are candidates; a link is a likeness of `least` or
     more. Two texts of that likeness share a band with a probability that grows with it (12 bands of 8 samples: 0.9 at
-    an agreement of 0.8, over 0.99 at 0.9), which is the method's recall. Empty texts share the empty fingerprint, a
+    an agreement of 0.8, over 0.99 at 0.9), which is the method's recall; shorter texts have shorter bands. Empty texts share the empty fingerprint, a
     class of its own.
     """
     import hashlib as _hashlib
@@ -213,7 +218,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(int.from_bytes(_hashlib.blake2b(k.encode(), digest_size=8).digest(), "little", signed=True), i) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in band_keys(f, band, scales)]
+            found = [(int.from_bytes(_hashlib.blake2b(k.encode(), digest_size=8).digest(), "little", signed=True), i) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in band_keys(f, band)]
             n = len(found)
             yield pa.record_batch({"bucket": pa.array([k for k, _ in found], pa.int64()), "place": pa.array(np.zeros(n, np.int64)), "size": pa.array(np.zeros(n, np.int64)), "item": pa.array([i for _, i in found], pa.int64())})
 
