@@ -17,7 +17,7 @@ from tidewatch.llm.lines import without_repeated_lines
 from tidewatch.llm.mixing import mixed
 from tidewatch.llm.quality_model import quality_scores
 from tidewatch.llm.queries import tokenizer_path
-from tidewatch.llm.storage import small_batches, written
+from tidewatch.llm.storage import small_batches, text_key, written
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.filter("repeats > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
 
 
-def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids)."""
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str, decode: bool = False) -> DataFrame:
+    """(doc_id, source, n_tokens, ids), and with decode decoded_sha256 of the text that the ids decode to. The vocabulary lowers letters and has no decoder, so that is not the text itself."""
     small_batches(spark)
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path())
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path = tokenizer_path()
+    coded = bpe.encode_texts(docs, path).select("key", "ids")
+    more = []
+    if decode:
+        coded = bpe.decode(coded, path).select("key", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+        more = ["decoded_sha256"]
+    met = docs.select("doc_id", "source", text_key().alias("key")).join(coded, "key")
+    return met.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", *more)
 
 
 STAGES = [
@@ -73,4 +79,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return encode_texts(spark, docs, sf_dir, decode=True)

@@ -26,6 +26,16 @@ def test_stages(spark, sf):
     assert out.filter("n_tokens <> size(ids)").count() == 0
 
 
+def test_run_decodes(spark, sf, monkeypatch):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "s", "One  two\n"), (2, "s", None), (3, "t", "one")], "doc_id long, source string, text string")
+    keep = lambda spark, frame, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("kept", keep), corpus_pipeline.STAGES[-1]])
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {i: hashlib.sha256(x).hexdigest() for i, x in ((1, b"one</w> two</w>"), (2, b""), (3, b"one</w>"))}
+
+
 def test_registered(spark, sf):
     import __spark_entry__ as entry
 
