@@ -149,3 +149,11 @@ def test_golden_features(spark, sample, expected):
     df = spark.createDataFrame([sample], "url string, hostname string, claimed_service string, known_brand string, official_domain string, login_form_detected int, password_field_detected int, otp_field_detected int")
     got = features.sample_features(df).first().asDict()
     assert {k: got[k] for k in expected} == expected
+
+
+def test_models_have_the_parameters_of_the_study(spark):
+    from tidewatch.operators import learning
+
+    found = learning.models(100)
+    boosting, forest = found["Gradient_Boosting"], found["Random_Forest"]
+    assert (boosting.getMaxIter(), boosting.getMaxDepth(), forest.getNumTrees(), forest.getMaxDepth()) == (50, 3, 50, 5)

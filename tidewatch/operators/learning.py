@@ -45,7 +45,7 @@ def models(rows: int, label: str = "label") -> dict:
     return {
         "Logistic_Regression": LogisticRegression(labelCol=label, maxIter=1000, regParam=1 / max(rows, 1), standardization=False),
         "Random_Forest": RandomForestClassifier(labelCol=label, numTrees=50, maxDepth=5, seed=42),
-        "Gradient_Boosting": GBTClassifier(labelCol=label, maxIter=10, maxDepth=3, seed=42),
+        "Gradient_Boosting": GBTClassifier(labelCol=label, maxIter=50, maxDepth=3, seed=42),
     }
 
 

@@ -81,6 +81,6 @@ def stratified_split(spark, sf_dir):
 
 @register()
 def generalization(spark, sf_dir):
-    """Three models on embeddings, scored on every split. Fitted numbers depend on the library, so there is no SQL."""
+    """M3 to M5 without the balanced baselines, M6, M8, A21: three models on embeddings, scored on every split. Fitted numbers depend on the library, so there is no SQL."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("label"))
     return learning.generalization(df, "embedding", "label", {"train": F.col("vec_id") % 4 < 2, "test": F.col("vec_id") % 4 == 2, "late": F.col("vec_id") % 4 == 3}, "train")
