@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import distinct_texts, text_key, written
+from .storage import distinct_texts, lean, text_key, written
 from .words import slices
 
 _SPACE = np.zeros(256, bool)
@@ -172,7 +172,7 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
                     h, key, n = zip(*rows, strict=True)
                     yield pa.record_batch({"h": pa.array(h, pa.binary()), "key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int32())})
 
-    seen = written(docs.select(text_key(text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(cut, "h binary, key binary, n int").distinct())
+    seen = written(docs.select(text_key(text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(lean(cut), "h binary, key binary, n int").distinct())
     shared = seen.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "n")).alias("owner")).filter("times > 1")
     owners = shared.groupBy(F.col("owner.key").alias("key")).agg(F.collect_list("owner.n").alias("own"))  # at most the chunks of one text
     texts = distinct_texts(docs, text_column)  # read twice below, with the same columns: Spark shuffles it once
@@ -188,7 +188,7 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
                 ids = code.encode([raw[a:b].decode() for a, b in spans])
                 yield pa.record_batch({"h": pa.array([_core_hash(raw, s) for s in spans], pa.binary()), "core_ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    encoded = texts.join(owners, "key").select("key", "copies", "text", "own").mapInArrow(once, "h binary, core_ids array<int>")
+    encoded = texts.join(owners, "key").select("key", "copies", "text", "own").mapInArrow(lean(once), "h binary, core_ids array<int>")
     given = seen.join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("n", "core_ids")).alias("given"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
                 values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), batch.column("copies").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), values)], ["key", "copies", "ids"])
 
-    return texts.join(given, "key", "left").select("key", "copies", "text", "given").mapInArrow(whole, "key binary, copies long, ids array<int>")
+    return texts.join(given, "key", "left").select("key", "copies", "text", "given").mapInArrow(lean(whole), "key binary, copies long, ids array<int>")
 
 
 def decode(frame: DataFrame, path: str, ids_column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -238,7 +238,7 @@ def decode(frame: DataFrame, path: str, ids_column: str = "ids", out: str = "dec
                 texts = [None if not x.is_valid else code.decode(x.values.to_numpy()) for x in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=pa.schema([*part.schema, pa.field(out, pa.string())]))
 
-    return kept.mapInArrow(read, schema)
+    return kept.mapInArrow(lean(read), schema)
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", **chunking: int) -> DataFrame:

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, lean, written
+
+_COLUMNS = ("bucket", "place", "size", "sketch", "item")
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,33 +44,34 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array([top(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
 
 
-def connected(links: DataFrame, most_rounds: int = 60, one_task: int = 200_000) -> DataFrame:
+def connected(links: DataFrame, most_rounds: int = 200, one_task: int = 200_000) -> DataFrame:
     """(item, root) of every item of links (a long, b long): root is the smallest item of its group.
 
     Stars within each task first. Where at most one_task links are left (16 bytes each), one task ends it; else large
-    and small stars follow in turn (Kiveris and others) until nothing changes. Each round is a written table; only its
-    number of rows and a checksum reach the driver.
+    and small stars follow in turn (Kiveris and others) until nothing changes; their number of rounds grows with the
+    logarithm of the largest group, and over most_rounds is an error. Each round is a written table; only its number of
+    rows and a checksum reach the driver.
     """
-    edges = written(links.select("a", "b").filter("a <> b").mapInArrow(_local_stars, "a long, b long"))
+    edges = written(links.select("a", "b").filter("a <> b").mapInArrow(lean(_local_stars), "a long, b long"))
     if edges.count() <= one_task:
-        edges, most_rounds = edges.coalesce(1).mapInArrow(_local_stars, "a long, b long"), 0
-        edges = written(edges)
+        edges = written(edges.coalesce(1).mapInArrow(lean(_local_stars), "a long, b long"))
     else:
-        edges = edges.distinct()
-    mark = None
-    for _ in range(most_rounds):
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        large = both.filter("b > a").join(least, "a").select(F.col("root").alias("a"), "b").filter("a <> b").distinct()
-        # a < b in every edge now: each b with all its smaller neighbours goes to the smallest of them
-        small = large.groupBy("b").agg(F.min("a").alias("root"))
-        moved = large.join(small, "b").select(F.col("root").alias("a"), F.when(F.col("a") == F.col("root"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        direct = small.select(F.col("root").alias("a"), "b")
-        edges = written(moved.union(direct).filter("a <> b").distinct())
+        edges, mark = edges.distinct(), None
+        for _ in range(most_rounds):
+            now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == mark:
+                break
+            mark = now
+            both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+            large = both.filter("b > a").join(least, "a").select(F.col("root").alias("a"), "b").filter("a <> b").distinct()
+            # a < b in every edge now: each b with all its smaller neighbours goes to the smallest of them
+            small = large.groupBy("b").agg(F.min("a").alias("root"))
+            moved = large.join(small, "b").select(F.col("root").alias("a"), F.when(F.col("a") == F.col("root"), F.col("b")).otherwise(F.col("a")).alias("b"))
+            direct = small.select(F.col("root").alias("a"), "b")
+            edges = written(moved.union(direct).filter("a <> b").distinct())
+        else:
+            raise RuntimeError(f"links still change after {most_rounds} rounds")
     pairs = edges.groupBy("b").agg(F.min("a").alias("root"))
     roots = edges.select(F.col("a").alias("item")).distinct().join(pairs.select(F.col("b").alias("item")), "item", "left_anti")
     return pairs.select(F.col("b").alias("item"), "root").union(roots.select("item", F.col("item").alias("root")))
@@ -80,7 +83,7 @@ def first_checks(entries: DataFrame, allowed: Callable[..., np.ndarray], chain:
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = last = None
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(4)])  # bucket, place, size, item
+            rows = np.stack([batch.column(k).to_numpy() for k in range(5)])
             if not rows.shape[1]:
                 continue
             if last is not None:
@@ -92,22 +95,25 @@ def first_checks(entries: DataFrame, allowed: Callable[..., np.ndarray], chain:
             if chain:
                 pairs.append((np.flatnonzero(~new) - 1, np.flatnonzero(~new)))
             x, y = (np.concatenate(v) for v in zip(*pairs, strict=True))
-            keep = (rows[3, x] != rows[3, y]) & allowed(rows[2, x], rows[1, x], rows[2, y], rows[1, y])
-            a, b = rows[3, x[keep]], rows[3, y[keep]]
+            item = rows[4]
+            keep = item[x] != item[y]
+            x, y = x[keep], y[keep]
+            keep = allowed(*rows[1:4, x], *rows[1:4, y])
+            a, b = item[x[keep]], item[y[keep]]
             head, last = rows[:, start[-1]].copy(), rows[:, -1].copy()
             yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    dealt = entries.select("bucket", "place", "size", "item").repartition("bucket").sortWithinPartitions("bucket", "place", "size", "item")
-    return dealt.mapInArrow(follow, "a long, b long").distinct()
+    dealt = entries.select(*_COLUMNS).repartition("bucket").sortWithinPartitions("bucket", "place", "size", "item")
+    return dealt.mapInArrow(lean(follow), "a long, b long").distinct()
 
 
 def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable[..., np.ndarray], allowed_sql: str, chain: bool = False) -> DataFrame:
     """(item, root) of every item with a link.
 
-    entries: (bucket, place, size, item), all long, small enough to be read several times (a written table).
-    verify: candidate pairs (a, b) to those that are linked. allowed(size, place, size, place) and allowed_sql (over
-    x.size, x.place, y.size, y.place; symmetric) say whether a bucket allows a pair at all; each linked pair must be
-    allowed in one bucket at least.
+    entries: (bucket, place, size, sketch, item), all long, small enough to be read several times (a written table).
+    verify: candidate pairs (a, b) to those that are linked. allowed(place, size, sketch, place, size, sketch) and
+    allowed_sql (over x.place, y.place and so on; symmetric) say whether a bucket allows a pair at all; each linked pair
+    must be allowed in one bucket at least.
     """
     first = written(connected(verify(first_checks(entries, allowed, chain))))
     known = entries.join(first, "item", "left").withColumn("root", F.coalesce("root", "item"))
@@ -118,4 +124,6 @@ def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     across = x.join(y, ordered).select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
     second = verify(across)
     stars = first.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b"))
-    return connected(stars.union(second.select("a", "b")))
+    out = written(connected(stars.union(second.select("a", "b"))))
+    discard(first, left)
+    return out

@@ -145,7 +145,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             texts = [t for _, t in pack]
             yield pa.record_batch({id_column: pa.array([i.as_py() for i, _ in pack]).cast(pack[0][0].type), "fingerprint": pa.array(as_strings(embed(texts)), pa.string())})
 
-    return source.mapInArrow(walk, f"`{id_column}` {source.dtypes[0][1]}, fingerprint string")
+    return source.mapInArrow(lean(walk), f"`{id_column}` {source.dtypes[0][1]}, fingerprint string")
 
 
 def edit_response(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -184,7 +184,7 @@ def edit_response(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     from pyspark.sql.pandas.types import to_arrow_type
 
     batches_type = to_arrow_type(runs.schema[0].dataType)
-    return runs.mapInArrow(respond, schema)
+    return runs.mapInArrow(lean(respond), schema)
 
 
 def band_keys(fingerprint: str, band: int) -> list[str]:
@@ -211,7 +211,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     import hashlib as _hashlib
 
     from .components import linked_groups
-    from .storage import written
+    from .storage import lean, written
 
     rows = written(fingerprints(docs, id_column, text_column).withColumn("item", F.xxhash64("fingerprint")))
     items = written(rows.groupBy("item").agg(F.first("fingerprint").alias("fingerprint")))
@@ -222,7 +222,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             n = len(found)
             yield pa.record_batch({"bucket": pa.array([k for k, _ in found], pa.int64()), "place": pa.array(np.zeros(n, np.int64)), "size": pa.array(np.zeros(n, np.int64)), "item": pa.array([i for _, i in found], pa.int64())})
 
-    entries = written(items.mapInArrow(bands, "bucket long, place long, size long, item long"))
+    entries = written(items.mapInArrow(lean(bands), "bucket long, place long, size long, item long"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +235,9 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def verify(pairs: DataFrame) -> DataFrame:
         x = items.select(F.col("item").alias("a"), F.col("fingerprint").alias("x"))
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
 
-    groups = linked_groups(entries, verify, lambda x, *_: np.ones(len(x), bool), "true", chain=True)
+    groups = linked_groups(entries.withColumn("sketch", F.lit(0).cast("long")), verify, lambda x, *_: np.ones(len(x), bool), "true", chain=True)
     rooted = rows.join(groups, "item", "left").withColumn("root", F.coalesce("root", "item"))
     least_id = rooted.groupBy("root").agg(F.min(id_column).alias("class_id"))
     return rooted.join(least_id, "root").select(id_column, "fingerprint", "class_id")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_sizes, labelled_sample, remainder
+from .storage import lean
 from .words import Words, slices
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "bar": b"|", "mark": b"#*$%&<>", "stop": b".,;:", "loud": b"!?", "break": b"\n", "other": range(128, 256)}
@@ -131,7 +132,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
                 yield pa.record_batch({"x": pa.array([r.tobytes() for r in np.concatenate([s, w], axis=1)], pa.binary()), "label": batch.column("label").slice(i, j - i)})
 
     sample = labelled_sample(source, labels, label, train, rows_per_class, id_column, extra=("meta",)).select("text", "meta", "label")
-    got = sample.mapInArrow(vectors, "x binary, label int").toPandas()
+    got = sample.mapInArrow(lean(vectors), "x binary, label int").toPandas()
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]) if len(got) else np.zeros((0, len(STATISTICS) + 1 + buckets), np.float32)
     by_bytes = np.argsort([v for v in got["x"]], kind="stable") if len(got) else np.empty(0, int)  # tasks end in any order; the fit must not see that
     x, y = x[by_bytes], got["label"].to_numpy(dtype=np.float32)[by_bytes]
@@ -152,5 +153,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
                 p = machine.score(*raw_features(data, offsets, batch.column("_meta").slice(i, j - i).to_numpy(zero_copy_only=False), buckets))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(p)], [*names, "score"])
 
-    out = rows.mapInArrow(scored, type(rows.schema)([f for f in rows.schema if f.name in names]).add("score", "double"))
+    out = rows.mapInArrow(lean(scored), type(rows.schema)([f for f in rows.schema if f.name in names]).add("score", "double"))
     return out.select(*names[: None if keep else 1], (remainder(id_column, divisor) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean
 from .words import Words, slices
 
 _SYMBOL = np.zeros(256, bool)
@@ -135,7 +136,7 @@ def repetition(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, part.num_rows), *part.columns], [id_column, *part.schema.names])
                 done += part.num_rows
 
-    return kept.mapInArrow(measure, f"`{id_column}` {kept.dtypes[0][1]}, {_MEASURES}")
+    return kept.mapInArrow(lean(measure), f"`{id_column}` {kept.dtypes[0][1]}, {_MEASURES}")
 
 
 def quality_rules(

@@ -1,28 +1,55 @@
-"""Cutting lineage through the folder that the cluster shares."""
+"""Cutting lineage through the folder that the cluster shares, and keeping Python workers small."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one, which is then set, only where that is unset (local tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode (tests); on a cluster that is an error, as executors could not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows of an Arrow batch: with texts of several kB, the default of 10,000 makes each Python worker hold hundreds of MB."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Rows and bytes of an Arrow batch: with texts of several kB, the defaults (10,000 rows, 64 MB and more) make each Python worker hold hundreds of MB.
+
+    A session setting, made by the registered queries and the pipeline for the plans they return; it changes no result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """function for mapInArrow, after which the worker, which Spark keeps for later tasks, gives its free memory back."""
+
+    @wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -30,7 +57,28 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_tidewatch_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written() tables that no plan reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.__dict__["_tidewatch_path"]
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of frame has it (whatever the case)."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_key(text: str | Column = "text") -> Column:

@@ -276,8 +276,8 @@ def page_counts(pages: DataFrame, url_column: str = "url", html_column: str = "h
                 yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in (host, node, parent, kind.astype(np.int32), value)], ["host", "node", "parent", "kind", "value"])
 
     # copies of a page (alike in what can be article text) tell nothing of the site: one of them counts
-    different = _hosted(pages, url_column, html_column).select("host", "html").mapInArrow(nodes, "host long, page long, rows binary").groupBy("host", "page").agg(F.min("rows").alias("rows"))
-    rows = different.select("host", "rows").mapInArrow(dealt, "host long, node long, parent long, kind int, value long")
+    different = _hosted(pages, url_column, html_column).select("host", "html").mapInArrow(lean(nodes), "host long, page long, rows binary").groupBy("host", "page").agg(F.min("rows").alias("rows"))
+    rows = different.select("host", "rows").mapInArrow(lean(dealt), "host long, node long, parent long, kind int, value long")
     return rows.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -302,7 +302,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     """Per page: id, url, text, n_chars (code points), n_removed (blocks that the style tree took)."""
     pages = pages.select(id_column, url_column, html_column)
     score = damping * F.col("presentation") + (1 - damping) * F.col("content")
-    from .storage import written
+    from .storage import lean, written
 
     counts = written(page_counts(pages, url_column, html_column))
     tree = written(style_tree(pages, url_column, html_column, counts).filter(F.col("pages") >= min_pages))
@@ -329,4 +329,4 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([r for _, r in got], pa.int64())], [id_column, url_column, "text", "n_chars", "n_removed"])
 
     kinds = dict(pages.dtypes)
-    return met.select(id_column, url_column, "html", "removed").mapInArrow(extract, f"`{id_column}` {kinds[id_column]}, `{url_column}` {kinds[url_column]}, text string, n_chars long, n_removed long")
+    return met.select(id_column, url_column, "html", "removed").mapInArrow(lean(extract), f"`{id_column}` {kinds[id_column]}, `{url_column}` {kinds[url_column]}, text string, n_chars long, n_removed long")

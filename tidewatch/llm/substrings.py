@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repetition import covered
-from .storage import distinct_texts, text_key
+from .storage import distinct_texts, lean, text_key
 from .words import Words, mix, signed, slices, window_hashes
 
 _SEED = 11
@@ -99,7 +99,7 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), _lists(signed(least[at]), counts, pa.int64()), _lists(times, counts, pa.int32())], ["key", "m", "n"])
 
     keyed = docs.select(text_key(text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    seen = keyed.mapInArrow(minimisers, "key binary, m array<long>, n array<int>").select("key", F.inline(F.arrays_zip("m", "n")))
+    seen = keyed.mapInArrow(lean(minimisers), "key binary, m array<long>, n array<int>").select("key", F.inline(F.arrays_zip("m", "n")))
     often = seen.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m", (F.col("n") > hot).alias("hot"))
     wanted = seen.select("key", "m").join(often, "m").groupBy("key").agg(F.collect_set(F.struct("m", "hot")).alias("wanted"))  # at most a text's own
     texts = distinct_texts(docs, text_column)  # read twice, shuffled once
@@ -135,7 +135,7 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
                     }
                 )
 
-    pieces = texts.join(wanted, "key").select("key", "copies", "text", "wanted").mapInArrow(cut, "key binary, copies long, first long, m long, hot boolean, packed binary")
+    pieces = texts.join(wanted, "key").select("key", "copies", "text", "wanted").mapInArrow(lean(cut), "key binary, copies long, first long, m long, hot boolean, packed binary")
     different = pieces.groupBy("m", "hot", "packed").agg(F.sum("copies").alias("copies"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +159,8 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
             _, one, two, row, at = _windows(pa.Table.from_batches([batch]), window)
             yield pa.record_batch({"one": pa.array(signed(one)), "two": pa.array(signed(two)), "piece": batch.column("piece").take(pa.array(row)), "at": pa.array(at), "copies": batch.column("copies").take(pa.array(row))})
 
-    cold = different.filter("NOT hot").select("m", "packed", "copies").repartition("m").sortWithinPartitions("m").mapInArrow(counted, "piece binary, ranges array<long>")
-    each = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(exploded, "one long, two long, piece binary, at long, copies long")
+    cold = different.filter("NOT hot").select("m", "packed", "copies").repartition("m").sortWithinPartitions("m").mapInArrow(lean(counted), "piece binary, ranges array<long>")
+    each = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(lean(exploded), "one long, two long, piece binary, at long, copies long")
     twice = each.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter("n > 1").select("one", "two")
     places = each.select("one", "two", "piece", "at").join(twice, ["one", "two"], "left_semi").groupBy("piece").agg(F.collect_set("at").alias("at"))  # at most a piece's own
     found = cold.union(places.select("piece", F.flatten(F.transform("at", lambda a: F.array(a, a + window))).alias("ranges")))
@@ -238,7 +238,7 @@ def without_repeats(docs: DataFrame, text_column: str = "text", window: int = 35
                     ["key", "copies", "n_words", "n_removed", "kept"],
                 )
 
-    return repeated_windows(docs, text_column, window, seed_words, hot).select("key", "copies", "text", "spans").mapInArrow(remove, "key binary, copies long, n_words long, n_removed long, kept string")
+    return repeated_windows(docs, text_column, window, seed_words, hot).select("key", "copies", "text", "spans").mapInArrow(lean(remove), "key binary, copies long, n_words long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, seed_words: int = 6, hot: int = 1000) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_sizes, labelled_sample, remainder
+from .storage import lean
 from .words import Words, signed, slices
 
 _LETTER = np.zeros(256, bool)
@@ -134,7 +135,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_toxicity(sample: DataFrame, sizes: tuple[int, int], prior: float = 0.03, z: float = 3.0, lexicon: int = 20_000, expected: float = 0.05) -> ToxicModel:
     """sample: (text, label); sizes: labelled training rows of class 0 and 1."""
-    counts = sample.select("text", "label").mapInArrow(_counts, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.select("text", "label").mapInArrow(lean(_counts), "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     all_bad, all_good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not all_bad or not all_good:
         return ToxicModel(np.empty(0, np.int64), np.empty(0), 0.05)
@@ -163,7 +164,7 @@ def fit_toxicity(sample: DataFrame, sizes: tuple[int, int], prior: float = 0.03,
                     }
                 )
 
-    seen = sample.select("text", "label").mapInArrow(scanned, "n long, hits long, segments array<double>, label int").toPandas()
+    seen = sample.select("text", "label").mapInArrow(lean(scanned), "n long, hits long, segments array<double>, label int").toPandas()
     good = seen[(seen["label"] == 0) & (seen["n"] > 0)]
     share = max(1e-6, float(good["hits"].sum()) / max(1, float(good["n"].sum())))
     gain = weight[weight > 0]
@@ -209,5 +210,5 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
                 spans = [[{"start_token": s, "end_token": e, "score": v, "expected": math.exp(-q)} for s, e, v, q in r[2]] for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p), pa.array(spans, kind)], [id_column, "score", "passages"])
 
-    out = source.mapInArrow(scored, f"`{id_column}` {source.dtypes[0][1]}, score double, passages array<struct<start_token:long,end_token:long,score:double,expected:double>>")
+    out = source.mapInArrow(lean(scored), f"`{id_column}` {source.dtypes[0][1]}, score double, passages array<struct<start_token:long,end_token:long,score:double,expected:double>>")
     return out.select(id_column, (remainder(id_column, divisor) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
