@@ -118,7 +118,7 @@ def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     first = written(connected(verify(first_checks(entries, allowed, chain))))
     known = entries.join(first, "item", "left").withColumn("root", F.coalesce("root", "item"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    left = written(known.join(mixed, "bucket"))
+    left = written(known.join(mixed, "bucket").distinct())
     x, y = left.alias("x"), left.alias("y")
     ordered = F.expr("x.bucket = y.bucket AND x.root <> y.root AND x.item < y.item AND " + allowed_sql)
     across = x.join(y, ordered).select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()

@@ -17,6 +17,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ONE = np.uint64(1)
+#: Masks of the first 0 to 8 bytes of 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,10 +96,21 @@ class Words:
         if not len(self):
             return np.empty(0, np.uint64)
         size = self.end - self.start
-        begin = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) - np.repeat(begin, size)
-        value = (self.data[self.inside].astype(np.uint64) + np.uint64(1 + seed)) * powers(int(size.max()), int(_BASE) + 2 * seed)[at]
-        return mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
+        eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.zeros(8, np.uint8)]), 8)
+        value = mix((eights[self.start].view(np.uint64).ravel() & _FIRST[np.minimum(size, 8)]) + np.uint64(seed * int(_BASE) % (1 << 64)))
+        done, more = 8, np.flatnonzero(size > 8)
+        while len(more):
+            if done >= 64:  # the rest of very long words byte by byte
+                rest = size[more] - done
+                begin = np.cumsum(rest) - rest
+                at = np.arange(int(rest.sum())) - np.repeat(begin, rest)
+                letters = self.data[at + np.repeat(self.start[more] + done, rest)].astype(np.uint64) + _ONE
+                value[more] = mix(value[more] * _BASE + np.add.reduceat(letters * powers(int(rest.max()))[at], begin))
+                break
+            value[more] = mix(value[more] * _BASE + (eights[self.start[more] + done].view(np.uint64).ravel() & _FIRST[np.minimum(size[more] - done, 8)]))
+            done += 8
+            more = more[size[more] > done]
+        return mix(value + size.astype(np.uint64))
 
     def left(self) -> np.ndarray:
         """Of each word, how many words of its row start there or later."""
