@@ -1,9 +1,9 @@
 """Connected groups of items that buckets make candidates, without all pairs of a bucket.
 
 Items that share a bucket are candidates; verify() says which candidates are linked. The groups of all links are
-found in two passes that together miss none: first each item is held only against the first of its bucket's order (and
-its neighbour there, if asked for), which joins nearly all of a large group of near copies with about one check an
-item; then, for buckets that still hold items of more than one group, every allowed pair of items of different groups
+found in two passes that together miss none: first each item is held only against the first of its bucket's order (or,
+where that can't be, its neighbour there), which joins nearly all of a large group of near copies with about one check
+an item; then, for buckets that still hold items of more than one group, every allowed pair of items of different groups
 is checked. Pairs inside a group need no check: they can't change it.
 """
 
@@ -11,15 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import first_candidates
 from .storage import discard, lean, written
 
-_COLUMNS = ("bucket", "place", "size", "sketch", "item")
-
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a task as stars around their smallest members: same groups, at most a link an item."""
@@ -77,53 +75,23 @@ def connected(links: DataFrame, most_rounds: int = 200, one_task: int = 200_000)
     return pairs.select(F.col("b").alias("item"), "root").union(roots.select("item", F.col("item").alias("root")))
 
 
-def first_checks(entries: DataFrame, allowed: Callable[..., np.ndarray], chain: bool) -> DataFrame:
-    """(a, b), a < b: each item with the first of its bucket by place, size and item, and with chain the one before it, where allowed."""
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = last = None
-        for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(5)])
-            if not rows.shape[1]:
-                continue
-            if last is not None:
-                rows = np.concatenate([head[:, None], last[:, None], rows], axis=1)
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = rows[0, 1:] != rows[0, :-1]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            pairs = [(start, np.arange(len(new)))]
-            if chain:
-                pairs.append((np.flatnonzero(~new) - 1, np.flatnonzero(~new)))
-            x, y = (np.concatenate(v) for v in zip(*pairs, strict=True))
-            item = rows[4]
-            keep = item[x] != item[y]
-            x, y = x[keep], y[keep]
-            keep = allowed(*rows[1:4, x], *rows[1:4, y])
-            a, b = item[x[keep]], item[y[keep]]
-            head, last = rows[:, start[-1]].copy(), rows[:, -1].copy()
-            yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    dealt = entries.select(*_COLUMNS).repartition("bucket").sortWithinPartitions("bucket", "place", "size", "item")
-    return dealt.mapInArrow(lean(follow), "a long, b long").distinct()
-
-
-def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable[..., np.ndarray], allowed_sql: str, chain: bool = False) -> DataFrame:
-    """(item, root) of every item with a link.
+def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed_sql: str) -> DataFrame:
+    """(item, root) of every item with a link. A written table.
 
-    entries: (bucket, place, size, sketch, item), all long, small enough to be read several times (a written table).
-    verify: candidate pairs (a, b) to those that are linked. allowed(place, size, sketch, place, size, sketch) and
-    allowed_sql (over x.place, y.place and so on; symmetric) say whether a bucket allows a pair at all; each linked pair
-    must be allowed in one bucket at least.
+    entries: a written table from buckets.shared_buckets. verify: candidate pairs (a, b) to those that are linked.
+    allowed_sql (over x.place, x.size, x.sketch, y.place and so on; symmetric) says whether a bucket allows a pair at
+    all, as the function given to shared_buckets does; each linked pair must be allowed in one bucket at least.
     """
-    first = written(connected(verify(first_checks(entries, allowed, chain))))
-    known = entries.join(first, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    asked = written(first_candidates(entries))
+    first = written(connected(verify(asked)))
+    known = entries.filter("crowd > 2").join(first, "item", "left").withColumn("root", F.coalesce("root", "item"))  # a bucket of two has no other pair
     mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    left = written(known.join(mixed, "bucket").distinct())
+    left = written(known.join(mixed, "bucket").select("bucket", "place", "size", "sketch", "item", "root"))
     x, y = left.alias("x"), left.alias("y")
     ordered = F.expr("x.bucket = y.bucket AND x.root <> y.root AND x.item < y.item AND " + allowed_sql)
-    across = x.join(y, ordered).select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
-    second = verify(across)
+    across = x.join(y, ordered).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
+    second = verify(across.join(asked, ["a", "b"], "left_anti"))
     stars = first.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b"))
     out = written(connected(stars.union(second.select("a", "b"))))
-    discard(first, left)
+    discard(asked, first, left)
     return out
