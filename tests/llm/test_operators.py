@@ -116,7 +116,7 @@ def test_jaccard_groups(spark, k, percent, small):
             if w:
                 w[rng.randrange(len(w))] = rng.choice("abcdefghijABC")
         rows.append((i, " ".join(w)))
-    got = jaccard.jaccard_groups(docs(spark, rows), words=k, percent=percent, least=2, broadcast_rows=0 if small else 50_000).collect()
+    got = jaccard.jaccard_groups(docs(spark, rows), words=k, percent=percent, least=2, ordered=20 if small else 500_000).collect()
     assert collections.Counter(map(tuple, got)) == groups_by_hand(rows, k, percent)
 
 

@@ -53,7 +53,7 @@ def _of_part(entries: np.ndarray, allowed: Callable[..., np.ndarray]) -> pa.Reco
     start = np.flatnonzero(np.append(True, rows["bucket"][1:] != rows["bucket"][:-1])) if len(rows) else np.empty(0, np.int64)
     count = np.diff(np.append(start, len(rows)))
     crowd = np.repeat(count, count)
-    rows, crowd, start = rows[crowd > 1], crowd[crowd > 1], None
+    rows, crowd = rows[crowd > 1], crowd[crowd > 1]
     first = np.flatnonzero(np.append(True, rows["bucket"][1:] != rows["bucket"][:-1])) if len(rows) else np.empty(0, np.int64)
     head = np.repeat(first, np.diff(np.append(first, len(rows))))
     at = np.arange(len(rows))

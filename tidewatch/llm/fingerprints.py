@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
+from .components import linked_groups
 from .ordering import in_descending_runs
-from .storage import lean
+from .storage import lean, written
 
 SAMPLES = 32
 _PERIOD, _RUN, _FIRST = 4093, 4, 6  # steps after which bits repeat; symbols in a sample; the first scale has 2 ** 6 steps
@@ -209,21 +211,22 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     an agreement of 0.8, over 0.99 at 0.9), which is the method's recall; shorter texts have shorter bands. Empty texts share the empty fingerprint, a
     class of its own.
     """
-    import hashlib as _hashlib
-
-    from .components import linked_groups
-    from .storage import written
-
     rows = written(fingerprints(docs, id_column, text_column).withColumn("item", F.xxhash64("fingerprint")))
     items = written(rows.groupBy("item").agg(F.first("fingerprint").alias("fingerprint")))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(int.from_bytes(_hashlib.blake2b(k.encode(), digest_size=8).digest(), "little", signed=True), i) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in band_keys(f, band)]
-            n = len(found)
-            yield pa.record_batch({"bucket": pa.array([k for k, _ in found], pa.int64()), "place": pa.array(np.zeros(n, np.int64)), "size": pa.array(np.zeros(n, np.int64)), "item": pa.array([i for _, i in found], pa.int64())})
+            keys = [band_keys(f, band) for f in batch.column(1).to_pylist()]
+            out = np.zeros(sum(map(len, keys)), ENTRY)
+            out["bucket"] = [int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "little") for each in keys for k in each]
+            out["item"] = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield packed(out, parts)
+
+    def every(x: np.ndarray, *_: np.ndarray) -> np.ndarray:
+        return np.ones(len(x), bool)
 
-    entries = written(items.mapInArrow(lean(bands), "bucket long, place long, size long, item long"))
+    parts = parts_for(items.count() * 24)
+    entries = written(shared_buckets(items.mapInArrow(lean(bands), PACKED), every))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +241,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
 
-    groups = linked_groups(entries.withColumn("sketch", F.lit(0).cast("long")), verify, lambda x, *_: np.ones(len(x), bool), "true", chain=True)
+    groups = linked_groups(entries, verify, "true")
     rooted = rows.join(groups, "item", "left").withColumn("root", F.coalesce("root", "item"))
     least_id = rooted.groupBy("root").agg(F.min(id_column).alias("class_id"))
     return rooted.join(least_id, "root").select(id_column, "fingerprint", "class_id")
