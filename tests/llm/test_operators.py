@@ -154,6 +154,19 @@ def test_bpe_equals_the_library(spark):
         assert r.decoded == whole.decode(found.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_a_tokenizer_that_joins_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    shared = "".join("".join(rng.choice("abcde") for _ in range(5)) + rng.choice([" ", "  ", "   ", "\n\n", " \n ", "\t"]) for _ in range(700))
+    rows = ODD + [(5000 + i, f"{i} {shared} end{i}") for i in range(12)]
+    for r in bpe.encode(docs(spark, rows), path).collect():
+        assert list(r.ids) == whole.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     text = bytes(rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 20000))

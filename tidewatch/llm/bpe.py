@@ -4,9 +4,11 @@ A rolling hash over the last 16 bytes cuts each text into chunks (content decide
 texts fall into equal chunks). Inside a chunk, what lies between its first and last white space is its core. Cores
 that occur more than once in the corpus are encoded once, by the text that owns the first occurrence, and their ids
 travel to all others; other cores are encoded where they are. A chunk join (from the last white space before a cut to
-the first one behind it) is repaired by encoding it anew: the pre-tokeniser never crosses white space, added tokens
-hold none, and normalisation doesn't compose across it, so the tokens of core and join agree with the whole text's
-exactly there. A cut without white space near it lengthens the join up to the next one; very long words thus stay whole.
+the first one behind it) is repaired by encoding it anew. Where the tokenizer is one whose pre-tokeniser never crosses
+white space (added tokens hold none, normalisation doesn't compose across it), the tokens of core and join agree with
+the whole text's by that. With any other tokenizer the agreement is tested at both ends of each reused core: what
+stands some 64 bytes before and behind must have the same ids together as apart; a text that fails is encoded whole.
+A cut without white space near it lengthens the join up to the next one; very long words thus stay whole.
 
 Only hashes of chunks are counted; texts are shuffled once, each different text once, whatever its number of copies.
 Null texts are empty and have no ids. Rows with equal ids are encoded on their own; other columns are never read.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import distinct_texts, lean, text_key, written
+from .storage import distinct_texts, free_names, lean, text_key, written
 from .words import slices
 
 _SPACE = np.zeros(256, bool)
@@ -35,8 +37,8 @@ _SPACE[[9, 10, 13, 32]] = True
 #: Characters for which str.lower() and Python's classes agree with the tokenizer's, and that NFC leaves alone.
 _PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-įı-ɏ]*")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
-#: Words whose ids a Python worker remembers at most.
-REMEMBERED = 150_000
+#: Words whose ids a Python worker remembers at most (some 120 bytes each).
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once.
 AT_ONCE = 1_000_000
 
@@ -60,37 +62,86 @@ class Encoder:
         self.whole.no_padding()
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.by_word = _parts(self.whole.normalizer, "normalizers") == ["NFC", "Replace", "Lowercase"] and _parts(self.whole.pre_tokenizer, "pretokenizers") == ["Split", "ByteLevel"]
-        self.memory: dict[str, np.ndarray] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Remembers words, a few at once: the library's encodings are large."""
-        new = list(words)
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            for word, found in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memory[word] = tuple(found.ids)
+        #: Which ids end a pre-token, where the model marks that.
+        mark = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.word_end = np.array([self.whole.id_to_token(i).endswith(mark) for i in range(self.whole.get_vocab_size())]) if self.by_word and mark else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory: dict[str, int] = {}  # number of each known word
+        self.ids, self.ends = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64)  # ids of all known words; where those of each end, after a 0
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers new words. A word of letters is one pre-token, and so is the punctuation behind it: each is encoded once."""
+        ends = [(w, w.rstrip(".,;:!?)")) for w in words if not w.isalpha()]
+        parts = {w: (stem, w[len(stem) :]) for w, stem in ends if stem.isalpha() and stem != w} if self.word_end is not None else {}
+        new = dict.fromkeys(w for w in words if w not in parts) | {x: None for both in parts.values() for x in both if x not in self.memory}
+        letters = [w for w in new if w.isalpha()] if self.word_end is not None else []
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+            last = np.flatnonzero(self.word_end[ids])
+            self._remember(part, ids, np.diff(last, prepend=-1)) if len(last) == len(part) else self._one_by_one(part)
+        self._one_by_one([w for w in new if not w.isalpha() or self.word_end is None])
+        both = [[self._known(x) for x in each] for each in parts.values()]
+        self._remember(list(parts), np.concatenate([x for each in both for x in each]) if both else np.empty(0, np.int32), [len(x) + len(y) for x, y in both])
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1000):  # the library's encodings are large
+            part = words[at : at + 1000]
+            found = [x.ids for x in self.whole.encode_batch_fast(part, add_special_tokens=False)]
+            self._remember(part, np.fromiter(chain.from_iterable(found), np.int32), [len(x) for x in found])
+
+    def _known(self, word: str) -> np.ndarray:
+        n = self.memory[word]
+        return self.ids[self.ends[n] : self.ends[n + 1]]
+
+    def _remember(self, words: list[str], ids: np.ndarray, sizes: list[int] | np.ndarray) -> None:
+        known = len(self.memory)
+        used = int(self.ends[known])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(ids), np.int32)])
+        if known + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(words), np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[known + 1 : known + 1 + len(words)] = used + np.cumsum(sizes, dtype=np.int64)
+        self.memory.update(zip(words, range(known, known + len(words)), strict=True))
 
     def encode(self, pieces: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(pieces)
-        hard, easy, words = [], [], set()
+        hard, easy, counts, words = [], [], [], []
         for i, piece in enumerate(pieces):
             if self.by_word and _PLAIN.fullmatch(piece) and not any(s in piece for s in self.special):
                 split = piece.lower().split()
-                easy.append((i, split))
-                words.update(split)
+                easy.append(i)
+                counts.append(len(split))
+                words += split
             else:
                 hard.append(i)
-        missing = words - self.memory.keys()
+        missing = list({w for w in words if w not in self.memory})
         if len(self.memory) + len(missing) > REMEMBERED:
-            self.memory.clear()
-            missing = words
+            self.forget()
+            missing = list(set(words))
         self.learn(missing)
-        for i, split in easy:
-            out[i] = np.fromiter(chain.from_iterable(map(self.memory.__getitem__, split)), np.int32)
+        known = np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
+        start, size = self.ends[known], self.ends[known + 1] - self.ends[known]
+        end = np.cumsum(size)
+        ids = self.ids[np.arange(int(size.sum())) + np.repeat(start - (end - size), size)]
+        cuts = np.append(0, end)[np.cumsum(counts, dtype=np.int64)] if counts else []
+        for i, found in zip(easy, np.split(ids, cuts[:-1]) if counts else (), strict=True):
+            out[i] = found
         for i, found in zip(hard, self.whole.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = np.array(found.ids, np.int32)
         return out
 
+    def agree(self, before: list[str], after: list[str]) -> list[bool]:
+        """Of texts that follow each other, whether their ids are those of both as one. Words decide for themselves where the pre-tokeniser never crosses white space."""
+        if self.by_word:
+            return [True] * len(before)
+        ids = [x.ids for x in self.whole.encode_batch_fast([*before, *after, *map(str.__add__, before, after)], add_special_tokens=False)]
+        n = len(before)
+        return [ids[i] + ids[n + i] == ids[2 * n + i] for i in range(n)]
+
 
 class Decoder:
     """Texts of ids. A tokenizer without a decoder joins tokens by spaces, for which their strings are enough."""
@@ -154,6 +205,16 @@ def cores(data: np.ndarray, offsets: np.ndarray, bits: int, least: int, most: in
     return out
 
 
+def _around(raw: bytes, start: int, at: int, end: int, wide: int = 64) -> tuple[str, str]:
+    """What stands before and after a place at white space: some `wide` bytes each way, up to white space."""
+    low, high = max(start, at - wide), min(end, at + wide)
+    while low > start and raw[low] not in b" \t\n\r":
+        low -= 1
+    while high < end and raw[high] not in b" \t\n\r":
+        high += 1
+    return raw[low:at].decode(), raw[at:high].decode()
+
+
 def _core_hash(data: bytes, span: tuple[int, int]) -> bytes:
     return hashlib.blake2b(data[span[0] : span[1]], digest_size=16).digest()
 
@@ -197,10 +258,11 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
             given = batch.column("given")
             for i, j, data, offsets in slices(batch.column("text"), AT_ONCE):
                 raw, pieces, plan = data.tobytes(), [], []  # plan: of each row, its parts in order: ids, or numbers of pieces
+                cuts: list = []  # row, and a text's end and start at each of its joins
                 for r, found in enumerate(cores(data, offsets, bits, least, most)):
                     have = given[i + r].values
                     have = {} if have is None else {x["n"].as_py(): x["core_ids"].values.to_numpy() for x in have}
-                    parts, at, pending = [], int(offsets[r]), int(offsets[r])
+                    parts, pending = [], int(offsets[r])
                     for n, (a, b) in enumerate(found):
                         if n in have:  # what lies before it, join or unshared core, is one piece
                             if a > pending:
@@ -208,11 +270,17 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
                                 pieces.append(raw[pending:a].decode())
                             parts.append(have[n])
                             pending = b
+                            if not code.by_word:
+                                cuts += [(r, *_around(raw, int(offsets[r]), at, int(offsets[r + 1]))) for at in (a, b)]
                     at = int(offsets[r + 1])
                     if at > pending:
                         parts.append(len(pieces))
                         pieces.append(raw[pending:at].decode())
                     plan.append(parts)
+                # a text whose parts disagree at a join is encoded anew as a whole
+                for r in {c[0] for c, good in zip(cuts, code.agree([c[1] for c in cuts], [c[2] for c in cuts]), strict=True) if not good} if cuts else ():
+                    plan[r] = [len(pieces)]
+                    pieces.append(raw[offsets[r] : offsets[r + 1]].decode())
                 ids = code.encode(pieces)
                 rows = [[ids[p] if isinstance(p, int) else p for p in parts] for parts in plan]
                 flat = [x for row in rows for x in row]
@@ -243,8 +311,10 @@ def decode(frame: DataFrame, path: str, ids_column: str = "ids", out: str = "dec
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", **chunking: int) -> DataFrame:
     """docs with ids, as the tokenizer gives them without special tokens added. A row's ids come by the key of its text."""
-    ids = encode_texts(docs, path, text_column, **chunking).select(F.col("key").alias("_key"), "ids")
-    return docs.drop("ids").withColumn("_key", text_key(text_column)).join(ids, "_key", "left").drop("_key")
+    plain = docs.drop("ids")
+    (key,) = free_names(plain, "key_of_text")
+    ids = encode_texts(docs, path, text_column, **chunking).select(F.col("key").alias(key), "ids")
+    return plain.withColumn(key, text_key(text_column)).join(ids, key, "left").drop(key)
 
 
 def ids_digest(ids: Column) -> Column:
