@@ -217,6 +217,9 @@ def test_mixing(spark):
         total += mine[0].target
     assert total == pytest.approx(1.5 * sum(r["size"] for r in got))
     assert mixing.mixed(df.filter("false")).collect() == []
+    odd = df.withColumns({c: F.lit(7) for c in ("flow", "whole", "rest", "cut", "pattern", "range", "order", "limit")})
+    assert sorted((r.doc_id or -1, r.taken, r["cut"], r["range"]) for r in mixing.mixed(odd).collect()) == sorted((r.doc_id or -1, r.taken, 7, 7) for r in got)
+    assert sorted((str(r.doc_id), r.taken) for r in mixing.mixed(df, range_rows=1).collect()) == sorted((str(r.doc_id), r.taken) for r in got)
 
 
 def test_targets_and_flow():
