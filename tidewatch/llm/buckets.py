@@ -55,11 +55,18 @@ def _of_part(entries: np.ndarray, allowed: Callable[..., np.ndarray]) -> pa.Reco
     crowd = np.repeat(count, count)
     rows, crowd = rows[crowd > 1], crowd[crowd > 1]
     first = np.flatnonzero(np.append(True, rows["bucket"][1:] != rows["bucket"][:-1])) if len(rows) else np.empty(0, np.int64)
-    head = np.repeat(first, np.diff(np.append(first, len(rows))))
+    size = np.diff(np.append(first, len(rows)))
     at = np.arange(len(rows))
+    head = np.repeat(first, size)
+    if rows["sketch"].any():
+        # the bits that most sketches of a bucket have, and how many of them each lacks
+        bits = np.unpackbits(np.ascontiguousarray(rows["sketch"]).view(np.uint8).reshape(-1, 8), axis=1)
+        middle = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > size[:, None], axis=1).view(np.uint64).ravel()
+        away = np.bitwise_count(rows["sketch"].view(np.uint64) ^ np.repeat(middle, size)).astype(np.int64)
+        head = np.repeat(np.minimum.reduceat(away << 40 | at, first) & ((1 << 40) - 1), size)
     test = lambda x, y: allowed(*(rows[k][i].astype(np.int64) for i in (x, y) for k in ("place", "size", "sketch")))
     near = np.where((head != at) & test(head, at), head, -1)
-    missed = np.flatnonzero((near < 0) & (at - head > 1))
+    missed = np.flatnonzero((near < 0) & (head != at) & (np.append(True, rows["bucket"][1:] != rows["bucket"][:-1])[: len(rows)] == 0) & (at - 1 != head))
     if len(missed):
         missed = missed[test(missed - 1, missed)]
         near[missed] = missed - 1
@@ -71,8 +78,8 @@ def shared_buckets(dealt: DataFrame, allowed: Callable[..., np.ndarray]) -> Data
     """(bucket, place, size, sketch, item, crowd, near) of buckets with two items or more, each item once.
 
     dealt: (part, entries). allowed: as in components.linked_groups. crowd: items in the bucket. near: the item to hold
-    this one against at first: the first of its bucket by place, size and item, or where that pair isn't allowed the
-    one before it, if that one is.
+    this one against at first: of its bucket the one whose sketch is nearest to the bits that most have (of several the
+    first by place, size and item), or where that pair isn't allowed the one before it, if that one is.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,7 +239,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def verify(pairs: DataFrame) -> DataFrame:
         x = items.select(F.col("item").alias("a"), F.col("fingerprint").alias("x"))
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long").selectExpr("a", "b", "true linked", "cast(null AS long) distance", "cast(null AS long) unit")
 
     groups = linked_groups(entries, verify, "true")
     rooted = rows.join(groups, "item", "left").withColumn("root", F.coalesce("root", "item"))
