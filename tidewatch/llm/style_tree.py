@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean, written
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)
     |<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>"']+|"[^"]*"|'[^']*')*+)>
@@ -109,6 +111,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """The text blocks of a page in order, and of each element that holds others its node and the tags of its children."""
     root = Open("", "", hashed(""), False, False)
     stack, blocks, shapes = [root], [], []
+    opened: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
     text: list[str] = []
     linked, in_link, names = 0, 0, 0
     around: set[int] = set()  # named elements that hold the main element
@@ -128,6 +131,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     def close() -> None:
         flush()
         gone = stack.pop()
+        opened[gone.tag].pop()
         if gone.begun >= 0:
             articles.append((gone.begun, len(blocks), gone.named))
         if gone.children:
@@ -155,13 +159,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             text.append(" " if tag == "br" else "")
             continue
         if found["close"]:
-            if tag == "p" and not any(o.tag == "p" for o in stack):
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        close()
-                    break
+            if opened.get(tag):
+                k = opened[tag][-1]
+                while len(stack) > k:
+                    close()
             else:
                 flush()
             in_link = 0
@@ -172,13 +173,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             continue
         flush()
         ends = _ENDS.get(tag, {"p"})
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ends:
-                while len(stack) > k:
-                    close()
-                continue
-            if stack[k].tag in _HOLDS:
-                break
+        barrier = max((opened[t][-1] for t in _HOLDS if t not in ends and opened.get(t)), default=0)
+        ended = min((k for t in ends for k in opened.get(t, ()) if k > barrier), default=len(stack))
+        while len(stack) > ended:
+            close()
         top = stack[-1]
         top.children.append(tag)
         if tag in _VOID or found["rest"].endswith("/") and tag not in _HOLDS:
@@ -199,6 +197,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         path = f"{top.path}/{tag}" + "".join(f".{attributes[a]}" for a in ("class", "id") if attributes.get(a))
         if len(path) > 2000:
             path = f"{hashed(path)}"
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(Open(tag, path, hashed(path), article, beside, begun=begun, main=main, named=named))
         in_link = 0
     while len(stack) > 1:
@@ -302,8 +301,6 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     """Per page: id, url, text, n_chars (code points), n_removed (blocks that the style tree took)."""
     pages = pages.select(id_column, url_column, html_column)
     score = damping * F.col("presentation") + (1 - damping) * F.col("content")
-    from .storage import lean, written
-
     counts = written(page_counts(pages, url_column, html_column))
     tree = written(style_tree(pages, url_column, html_column, counts).filter(F.col("pages") >= min_pages))
     nodes = tree.filter((score < threshold) | (F.col("content") < threshold)).select("host", "node")
