@@ -5,7 +5,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 from tidewatch.functions import classifier, features, lexical, privacy, urls
-from tidewatch.operators import decisions, metrics, profiles, quality, store
+from tidewatch.operators import decisions, learning, metrics, profiles, quality, store
 from tidewatch.sources import html_forms, tables
 
 
@@ -107,6 +107,9 @@ def test_single_class_auc_and_empty(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 0.7)], "label int, score double")
     assert metrics.roc_auc(df).first()["auc"] == 1.0
     assert metrics.roc_auc(df.withColumn("label", F.lit(0))).first()["auc"] == 0.5
+    for label in (0, 1):  # one class: 1 only if every prediction is right
+        for given in (0, 1):
+            assert metrics.roc_auc(df.withColumns({"label": F.lit(label), "predicted": F.lit(given)})).first()["auc"] == (1.0 if label == given else 0.5)
     assert metrics.rates(metrics.confusion(df.withColumn("predicted", F.lit(0)))).first()["precision"] == 0.0
 
 
@@ -157,3 +160,40 @@ def test_models_have_the_parameters_of_the_study(spark):
     found = learning.models(100)
     boosting, forest = found["Gradient_Boosting"], found["Random_Forest"]
     assert (boosting.getMaxIter(), boosting.getMaxDepth(), forest.getNumTrees(), forest.getMaxDepth()) == (50, 3, 50, 5)
+
+
+def test_gates(spark):
+    bodies = ['{"sec\\u0072et":1}', '{"a":[{"b":{"SECRET":1}},2]}', '{\n "a" : {\n "otp_value" : 1 }\n}', '{"a":"x, \\"secret\\": y"}', '[{"secret":1}]', '"secret"', 'no json "secret":', "", None, '{"secrets":1}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    assert [r.x for r in df.select("i", privacy.has_forbidden_key(F.col("body")).alias("x")).orderBy("i").collect()] == [True, True, True, False, True, False, True, False, False, False]
+    items = ['{"sec\\u0072et":1}', '{"Secret":1}', '{"a":{"secret":1}}', "[1]", "x", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(items)], "i int, body string")
+    assert [r.x for r in df.select("i", privacy.has_forbidden_item_key(F.col("body")).alias("x")).orderBy("i").collect()] == [True, False, False, False, False, False]
+
+
+def test_ingest_status(spark):
+    from tidewatch.operators.store import observations
+    from tidewatch.sources.tables import payloads
+
+    page = '"page":{"domain":"d","url":"http://d/x?y"}'
+    bodies = {"{" + page + "}": 201, "{\n " + page.replace(":", " :\n") .replace("http :\n", "http:") + "\n}": 201, "{" + page + ',"inputs":[{"sec\\u0072et":1}]}': 422, "[{" + page + "}]": 400, '"x"': 400, "7": 400, "{": 400, "": 400, None: 400, '{"page":{"domain":"","url":"u"}}': 400}
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    got = {r.i: r.status for r in observations(payloads(df), "i").collect()}
+    assert [got[i] for i in range(len(bodies))] == list(bodies.values())
+
+
+@pytest.mark.parametrize("sizes", [(20, 20), (24, 1), (40, 200)])
+def test_exact_split(spark, sizes):
+    rows = [(f"s{k}", 1000 * k + i) for k, n in enumerate(sizes) for i in range(n)]
+    got = learning.stratified_split(spark.createDataFrame(rows, "s string, k long"), "s", "k", 0.75).groupBy("s").agg(F.count_if("is_test").alias("n")).collect()
+    assert {r.s: r.n for r in got} == {f"s{k}": n - int(n * 0.75) for k, n in enumerate(sizes)}
+
+
+def test_targets_and_weights(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "y string, k int")
+    out = learning.binary_target(df, "y", ["a"], ["a", "b"])
+    assert sorted((r.k, r.target) for r in out.collect()) == [(1, 1), (2, 0), (3, 0)]
+    with pytest.raises(ValueError, match="unknown labels: a, b"):
+        learning.binary_target(df, "y", ["a"], ["c"])
+    assert sorted((r.k, round(r.weight, 2)) for r in learning.balanced_weights(out, "target").collect()) == [(1, 1.5), (2, 0.75), (3, 0.75)]
+    assert learning.models(3, balanced=True).keys() == {"Logistic_Regression", "Random_Forest"}

@@ -24,7 +24,9 @@ SECRETS = {
     "Token": r"""(?i)(token|secret|bearer)\s*[=:]\s*['"][A-Za-z0-9+/=_\-]{16,}['"]""",
     "Connection String": r"""(?i)(mongodb|postgres|mysql|redis)://[^\s"']+""",
 }
-FORBIDDEN_FILES = r"\.(exe|dll|so|dylib|env|pem|key|p12|pfx)$|^id_rsa$|^id_ed25519$"
+# Fixed values that results depend on: names of files that may not be stored.
+FORBIDDEN_GLOBS = ["*.exe", "*.dll", "*.so", "*.dylib", "*.env", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa", "id_ed25519"]
+FORBIDDEN_FILES = "|".join("^" + g.replace(".", r"\.").replace("*", ".*") + "$" for g in FORBIDDEN_GLOBS)
 
 
 def redacted(text: Column, passes: int = 1) -> Column:
@@ -42,9 +44,23 @@ def trips(payload: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def canonical(json_text: Column) -> Column:
+    """JSON on one line with its escapes decoded, so that a key has one spelling; null where the text is no JSON."""
+    return F.to_json(F.try_parse_json(json_text))
+
+
 def has_forbidden_key(json_text: Column, keys: list[str] | None = None) -> Column:
-    """Whether a JSON text has one of keys at any depth, whatever its case."""
-    return F.coalesce(json_text.rlike('(?i)"(' + "|".join(keys or FORBIDDEN_KEYS) + r')"\s*:'), F.lit(False))
+    """Whether a JSON text has one of keys at any depth, whatever its case and escapes. What is no JSON is searched as it stands."""
+    names = "(" + "|".join(keys or FORBIDDEN_KEYS) + ")"
+    # in canonical JSON a key follows a brace or comma, and a quote inside a string has a backslash before it
+    decoded = canonical(json_text)
+    found = F.when(decoded.isNotNull(), decoded.rlike('(?i)[{,]"' + names + '":')).otherwise(json_text.rlike('(?i)"' + names + r'"\s*:'))
+    return F.coalesce(found, F.lit(False))
+
+
+def has_forbidden_item_key(json_text: Column, keys: list[str] | None = None) -> Column:
+    """Whether a JSON object has one of keys itself, in that very case; deeper keys don't count."""
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(json_text), F.array(*map(F.lit, keys or FORBIDDEN_KEYS))), F.lit(False))
 
 
 def secrets(text: Column) -> Column:

@@ -20,11 +20,19 @@ def one_hot(df: DataFrame, column: str, most_levels: int = 1000) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float) -> DataFrame:
-    """df with is_test: rows behind `share` of their stratum in the order of a hash of key."""
-    h = F.md5(F.col(key).cast("string").cast("binary"))
-    part = Window.partitionBy(stratum, F.substring("_h", 1, 1))
-    out = df.withColumn("_h", h).withColumn("_n", F.row_number().over(part.orderBy("_h"))).withColumn("_m", F.count(F.lit(1)).over(part))
-    return out.withColumn("is_test", F.col("_n") > F.floor(F.col("_m") * share)).drop("_h", "_n", "_m")
+    """df with is_test: rows behind `share` of their stratum (rounded down) in the order of a hash of key. Equal keys go by chance.
+
+    Ranks are exact: rows are numbered inside 256 ranges of the hash and shifted by the rows of the ranges before, of
+    which there are 256 a stratum.
+    """
+    name, range_, before, rows = ("split_hash", "split_range", "split_before", "split_rows")
+    ranged = df.withColumn(name, F.md5(F.col(key).cast("string").cast("binary"))).withColumn(range_, F.substring(name, 1, 2))
+    counts = ranged.groupBy(stratum, range_).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(stratum)
+    counts = counts.select(F.col(stratum).alias("of"), F.col(range_).alias("at"), (F.sum("n").over(whole.orderBy(range_)) - F.col("n")).alias(before), F.sum("n").over(whole).alias(rows))
+    met = ranged.join(counts, F.col(stratum).eqNullSafe(F.col("of")) & (F.col(range_) == F.col("at")))
+    place = F.col(before) + F.row_number().over(Window.partitionBy(stratum, range_).orderBy(name))
+    return met.withColumn("is_test", place > F.floor(F.col(rows) * share)).select(*df.columns, "is_test")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -40,8 +48,21 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="features").transform(filled).drop(*[f"_f_{f}" for f in features])
 
 
-def models(rows: int, label: str = "label") -> dict:
-    """Estimators with the parameters of the study; L2 strength 1 becomes 1 / rows here."""
+def binary_target(df: DataFrame, label: str, positive: list[str], known: list[str], out: str = "target") -> DataFrame:
+    """df with out: 1 where the label is one of positive, 0 where it is another known one. An unknown label is an error that names all unknown ones, sorted."""
+    unknown = sorted(str(r[0]) for r in df.select(label).distinct().filter(F.col(label).isNull() | ~F.col(label).isin(known)).limit(1000).collect())
+    if unknown:
+        raise ValueError(f"unknown labels: {', '.join(unknown)}")
+    return df.withColumn(out, F.col(label).isin(positive).cast("int"))
+
+
+def models(rows: int, label: str = "label", balanced: bool = False) -> dict:
+    """Estimators with the parameters of the study; L2 strength 1 becomes 1 / rows here. balanced: the two baselines, which take the column weight of balanced_weights()."""
+    if balanced:
+        return {
+            "Logistic_Regression": LogisticRegression(labelCol=label, weightCol="weight", maxIter=5000, regParam=1 / max(rows, 1), standardization=False),
+            "Random_Forest": RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=200, maxDepth=30, seed=42),  # 30 is the library's most
+        }
     return {
         "Logistic_Regression": LogisticRegression(labelCol=label, maxIter=1000, regParam=1 / max(rows, 1), standardization=False),
         "Random_Forest": RandomForestClassifier(labelCol=label, numTrees=50, maxDepth=5, seed=42),

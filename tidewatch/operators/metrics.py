@@ -22,21 +22,22 @@ def rates(matrix: DataFrame) -> DataFrame:
     return out.withColumn("f1", _ratio(2 * tp, 2 * tp + fp + fn))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", ranges: int = 1024) -> DataFrame:
-    """One row (auc) by mid-ranks; 1 or 0.5 for a single class, by whether all are positive.
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", ranges: int = 1024, predicted: str = "predicted") -> DataFrame:
+    """One row (auc) by mid-ranks; with a single class 1 if every prediction is right (scores of 0.5 and more, without a column of predictions), else 0.5.
 
     Scores lie in 0 to 1. Rows are first counted by score; ranks are summed up inside `ranges` ranges of scores, and
     across ranges over at most that many rows.
     """
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    right = (F.col(predicted) if predicted in df.columns else (F.col(score) >= 0.5).cast("int")) == F.col(label)
+    counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(~right).alias("wrong"), F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     counts = counts.withColumn("range", F.least(F.floor(F.col("s") * ranges), F.lit(ranges - 1)))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     below = counts.groupBy("range").agg(F.sum("neg").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
     inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("within", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(below), "range")
     won = F.sum(F.col("pos") * (F.col("below") + F.col("within") + F.col("neg") / 2))
-    total = ranked.agg(won.alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).when(F.col("p") > 0, 1.0).otherwise(0.5).alias("auc"))
+    total = ranked.agg(won.alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum("wrong").alias("wrong"))
+    return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).when(F.col("wrong") == 0, 1.0).otherwise(0.5).alias("auc"))
 
 
 def report(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

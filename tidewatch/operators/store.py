@@ -11,7 +11,7 @@ from tidewatch.functions import privacy, urls
 def observations(df: DataFrame, key: str, body: str = "body", payload: str = "payload") -> DataFrame:
     """Rows of the observations table with a status: 400 bad JSON or fields, 422 forbidden key, 201 stored. Counts are null where nothing is stored."""
     p = F.col(payload)
-    good_json = F.col(body).isNotNull() & F.col(body).rlike(r"^\s*\{.*\}\s*$") & p.isNotNull()
+    good_json = F.coalesce(privacy.canonical(F.col(body)).startswith("{"), F.lit(False)) & p.isNotNull()
     named = (F.coalesce(p["page"]["domain"], F.lit("")) != "") & (F.coalesce(p["page"]["url"], F.lit("")) != "")
     status = F.when(~good_json, 400).when(privacy.has_forbidden_key(F.col(body)), 422).when(~named, 400).otherwise(201)
     inputs = F.coalesce(p["inputs"], F.array().cast("array<struct<detectedDataTypes:array<string>,isPassword:boolean,isOtp:boolean>>"))

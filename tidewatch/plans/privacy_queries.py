@@ -42,7 +42,7 @@ def secret_scan(spark, sf_dir):
 
 
 _BODY = """CASE event_id % 5 WHEN 0 THEN '{"collectionId":"c' || event_id || '","page":{"domain":"d' || (event_id % 50) || '.example.com","url":"https://d' || (event_id % 50) || '.example.com/p;x?q=1","isHTTPS":true},"forms":[{"action":"/l","hasPasswordField":true}],"inputs":[{"detectedDataTypes":["EMAIL"],"isPassword":false,"isOtp":false},{"isPassword":true,"isOtp":false}]}'
- WHEN 1 THEN '{"collectionId":"c","page":{"domain":"x.org","url":"http://x.org"},"inputs":[{"Value":"v"}]}' WHEN 2 THEN '{"page":{"domain":"","url":""},"note":"998877"}' WHEN 3 THEN 'no json' ELSE props END"""
+ WHEN 1 THEN '{"collectionId":"c","page":{"domain":"x.org","url":"http://x.org"},"inputs":[{"Value":"v"}]}' WHEN 2 THEN '{"page":{"domain":"","url":""},"note":"998877"}' WHEN 3 THEN CASE event_id % 4 WHEN 0 THEN 'no json' WHEN 1 THEN '[{"secret":1}]' WHEN 2 THEN '{"page":{"domain":"x.org","url":"http://x.org/' || event_id || '"},"scripts":[{"sec' || chr(92) || 'u0072et":1}]}' ELSE '{' || chr(10) || ' "page" : {"domain" : "n' || event_id || '.org",' || chr(10) || ' "url" : "http://n.org/a?b", "title" : "a ' || chr(92) || '"secret' || chr(92) || '": b"}' || chr(10) || '}' END ELSE props END"""
 
 
 def _bodies(spark, sf_dir):
@@ -50,25 +50,34 @@ def _bodies(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id", f"{_BODY} AS body")
 
 
-_KEYS = '(?i)"(' + "|".join(privacy.FORBIDDEN_KEYS) + r')"\s*:'
+_NAMES = ", ".join(f"'{k}'" for k in privacy.FORBIDDEN_KEYS)
+_REJECTED = f"(json_valid(body) AND coalesce(list_has_any(list_transform((SELECT list(key) FROM json_tree(CASE WHEN json_valid(body) THEN body END)), lambda k: lower(k)), [{_NAMES}]), false))"
 
 
-@register(f"SELECT event_id, regexp_matches(body, '{_KEYS}') AS rejected FROM (SELECT event_id, {_BODY} AS body FROM events)")
+@register(f"SELECT event_id, {_REJECTED} AS rejected FROM (SELECT event_id, {_BODY} AS body FROM events)")
 def privacy_gate(spark, sf_dir):
-    """A forbidden key at any depth."""
+    """A forbidden key at any depth, in any case and however it is escaped."""
     return _bodies(spark, sf_dir).select("event_id", privacy.has_forbidden_key(F.col("body")).alias("rejected"))
 
 
+@register(f"SELECT event_id, coalesce(list_has_any(CASE WHEN json_valid(body) THEN json_keys(body) END, [{_NAMES}]), false) AS rejected FROM (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '{{\"value\":1}}' WHEN event_id % 6 = 1 THEN '{{\"Value\":1,\"x\":{{\"secret\":2}}}}' ELSE {_BODY} END AS body FROM events)")
+def item_gate(spark, sf_dir):
+    """A forbidden key of the item itself, in that very case."""
+    items = table(spark, sf_dir, "events").selectExpr("event_id", f"CASE WHEN event_id % 6 = 0 THEN '{{\"value\":1}}' WHEN event_id % 6 = 1 THEN '{{\"Value\":1,\"x\":{{\"secret\":2}}}}' ELSE {_BODY} END AS body")
+    return items.select("event_id", privacy.has_forbidden_item_key(F.col("body")).alias("rejected"))
+
+
 @register("SELECT event_id, (contains(body, 'victim_user') OR contains(body, 'SuperSecretPassword123!') OR contains(body, '998877')) AS tripped FROM (SELECT event_id, " + _BODY + " AS body FROM events)")
 def payload_tripwire(spark, sf_dir):
     """C6."""
     return _bodies(spark, sf_dir).select("event_id", privacy.trips(F.col("body")).alias("tripped"))
 
 
-@register(f"""SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 400 WHEN regexp_matches(body, '{_KEYS}') THEN 422 WHEN event_id % 5 = 0 THEN 201 ELSE 400 END::BIGINT AS status,
- CASE WHEN event_id % 5 = 0 THEN 'd' || (event_id % 50) || '.example.com' END AS page_domain, CASE WHEN event_id % 5 = 0 THEN 'https://d' || (event_id % 50) || '.example.com/p' END AS page_url_sanitized,
- CASE WHEN event_id % 5 = 0 THEN 1 END::BIGINT AS form_count, CASE WHEN event_id % 5 = 0 THEN 2 END::BIGINT AS input_count, CASE WHEN event_id % 5 = 0 THEN 0 END::BIGINT AS script_count, CASE WHEN event_id % 5 = 0 THEN 'EMAIL,PASSWORD' END AS requested
- FROM (SELECT event_id, {_BODY} AS body FROM events)""")
+@register(f"""WITH b AS (SELECT event_id, body, CASE WHEN json_valid(body) THEN body END::JSON AS j, {_REJECTED} AS rejected FROM (SELECT event_id, {_BODY} AS body FROM events)),
+ s AS (SELECT *, j->>'$.page.domain' AS domain, j->>'$.page.url' AS url, CASE WHEN coalesce(json_type(j), '') <> 'OBJECT' THEN 400 WHEN rejected THEN 422 WHEN coalesce(j->>'$.page.domain', '') = '' OR coalesce(j->>'$.page.url', '') = '' THEN 400 ELSE 201 END AS status FROM b),
+ t AS (SELECT *, list_sort(list_distinct(flatten([CASE WHEN coalesce(json_array_length(i, '$.detectedDataTypes'), 0) > 0 THEN (i->'$.detectedDataTypes')::VARCHAR[] WHEN (i->>'$.isPassword') = 'true' THEN ['PASSWORD'] WHEN (i->>'$.isOtp') = 'true' THEN ['OTP'] ELSE [] END FOR i IN coalesce((j->'$.inputs')::JSON[], [])]))) AS types FROM s)
+ SELECT event_id, status::BIGINT AS status, CASE WHEN status = 201 THEN domain END AS page_domain, CASE WHEN status = 201 THEN regexp_replace(url, '[;?#].*$', '') END AS page_url_sanitized,
+ CASE WHEN status = 201 THEN coalesce(json_array_length(j, '$.forms'), 0) END::BIGINT AS form_count, CASE WHEN status = 201 THEN coalesce(json_array_length(j, '$.inputs'), 0) END::BIGINT AS input_count, CASE WHEN status = 201 THEN coalesce(json_array_length(j, '$.scripts'), 0) END::BIGINT AS script_count, CASE WHEN status = 201 THEN array_to_string(types, ',') END AS requested FROM t""")
 def observation_ingest(spark, sf_dir):
     """Decode, gate, check, sanitize and count; the status each body gets."""
     from tidewatch.operators.store import observations

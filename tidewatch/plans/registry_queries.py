@@ -32,7 +32,7 @@ def service_by_id(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter(F.lower("c_name") == F.lower(F.lit("CUSTOMER#000000007"))).select("c_custkey", "c_name")
 
 
-@register("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0")
+@register("SELECT s_suppkey, s_name FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 3 = 0) t WHERE t.k = s.s_suppkey)")
 def seed_if_empty(spark, sf_dir):
     """Seed rows whose key the target lacks; the target holds every third supplier."""
     seed = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -45,10 +45,11 @@ def latest_decision(spark, sf_dir):
     return store.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "event_id"])
 
 
-@register("SELECT doc_id, md5(text) AS found FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 = 0")
+@register("""WITH found AS (SELECT doc_id, sha256(text) AS found FROM documents WHERE text IS NOT NULL), listed AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN reverse(sha256(text)) ELSE sha256(text) END AS listed FROM documents WHERE doc_id % 4 = 0)
+ SELECT doc_id, found FROM found JOIN listed USING (doc_id) WHERE found <> listed""")
 def checksum_verify(spark, sf_dir):
-    """Texts against a list of hashes; the list has every fourth text, and a wrong hash for every third of these."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("found"))
+    """SHA-256 of texts against a list of hashes; the list has every fourth text, and a wrong hash for every third of these."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("found"))
     listed = docs.filter("doc_id % 4 = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.reverse("found")).otherwise(F.col("found")).alias("found"))
     return store.checksum_errors(docs, listed, "doc_id", "found").select("doc_id", "found")
 
@@ -60,11 +61,11 @@ def foreign_key_orphans(spark, sf_dir):
     return store.orphans(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), orders, "l_orderkey", "o_orderkey")
 
 
-@register("WITH e AS (SELECT DISTINCT p_type AS path FROM part WHERE p_size < 25), a AS (SELECT DISTINCT p_type AS path FROM part WHERE p_size >= 20) SELECT path, 'missing' AS finding FROM e WHERE path NOT IN (SELECT path FROM a) UNION ALL SELECT path, 'unexpected' FROM a WHERE path NOT IN (SELECT path FROM e)")
+@register("WITH e AS (SELECT DISTINCT p_brand || '/' || p_size AS path FROM part WHERE p_partkey % 3 < 2), a AS (SELECT DISTINCT p_brand || '/' || p_size AS path FROM part WHERE p_partkey % 3 > 0) SELECT path, 'missing' AS finding FROM e WHERE path NOT IN (SELECT path FROM a) UNION ALL SELECT path, 'unexpected' FROM a WHERE path NOT IN (SELECT path FROM e)")
 def path_differences(spark, sf_dir):
     """Expected against actual names, both ways."""
-    part = table(spark, sf_dir, "part")
-    expected, actual = part.filter("p_size < 25").select(F.col("p_type").alias("path")).distinct(), part.filter("p_size >= 20").select(F.col("p_type").alias("path")).distinct()
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey % 3 AS k", "p_brand || '/' || p_size AS path")
+    expected, actual = part.filter("k < 2").select("path").distinct(), part.filter("k > 0").select("path").distinct()
     missing = expected.join(actual, "path", "left_anti").withColumn("finding", F.lit("missing"))
     return missing.unionByName(actual.join(expected, "path", "left_anti").withColumn("finding", F.lit("unexpected")))
 
