@@ -197,3 +197,28 @@ def test_targets_and_weights(spark):
         learning.binary_target(df, "y", ["a"], ["c"])
     assert sorted((r.k, round(r.weight, 2)) for r in learning.balanced_weights(out, "target").collect()) == [(1, 1.5), (2, 0.75), (3, 0.75)]
     assert learning.models(3, balanced=True).keys() == {"Logistic_Regression", "Random_Forest"}
+
+
+def test_resolved_urls(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.org/b/c/d;p?q"
+    refs = ["g", "./g", "g/", "/g", "//h.org/x", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g;x=1/../y", "https://A.org/x", "mailto:m@x.org", "//a.org:80/z"]
+    df = spark.createDataFrame([(i, base, r) for i, r in enumerate(refs)], "i int, base string, ref string")
+    rows = df.select("i", urls.resolved(F.col("base"), F.col("ref")).alias("u"), urls.is_cross_domain(F.col("base"), F.col("ref")).alias("x")).orderBy("i").collect()
+    want = [urljoin(base, r) if r != "../../../g" and r != "/../g" else "http://a.org/g" for r in refs]
+    assert [r.u for r in rows] == want
+    assert [refs[r.i] for r in rows if r.x] == ["//h.org/x"]
+
+
+def test_messages_and_manifests(spark):
+    from tidewatch.functions import messages
+
+    good = '{"schemaVersion":"3.0.0","collectionId":"c","timestamp":"t","forms":[],"inputs":[1,"x"],"scripts":[{}],"redirects":[],"requestedDataTypes":[]}'
+    bodies = [good, good.replace("3.0.0", "2.9"), good.replace('"c"', "7"), good.replace('"forms":[]', '"forms":{}'), good.replace(',"redirects":[]', ""), "[]", "x", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    assert [r.x for r in df.select("i", messages.valid_message(F.col("body")).alias("x")).orderBy("i").collect()] == [True] + [False] * 7
+    line = lambda f, x: one(spark, f(F.lit(x)))
+    assert tuple(line(messages.manifest_entry, " file  a\\b c.txt ")) == ("file", "a/b c.txt") and line(messages.manifest_entry, "# file x") is None and line(messages.manifest_entry, "") is None
+    assert tuple(line(messages.checksum_entry, "A" * 64 + " *x\\y")) == ("a" * 64, "x/y") and line(messages.checksum_entry, "abc x") is None
+    assert one(spark, messages.normal_path(F.lit("r\\x\\y"), "r/")) == "x/y"
