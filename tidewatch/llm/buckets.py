@@ -18,7 +18,7 @@ from .storage import lean
 
 ENTRY = np.dtype([("bucket", "<u8"), ("item", "<i8"), ("sketch", "<i8"), ("size", "<i4"), ("place", "<i4")])
 PACKED = "part int, entries binary"
-SHARED = "bucket long, place long, size long, sketch long, item long, crowd long, near long"
+SHARED = "bucket long, place long, size long, sketch long, item long, crowd long, near long, also long"
 
 
 def parts_for(entries: int, each: int = 100_000) -> int:
@@ -37,7 +37,7 @@ def packed(entries: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), values], ["part", "entries"])
 
 
-def _of_part(entries: np.ndarray, allowed: Callable[..., np.ndarray]) -> pa.RecordBatch:
+def _of_part(entries: np.ndarray, allowed: Callable[..., np.ndarray], hub_above: int) -> pa.RecordBatch:
     by = np.argsort(entries["bucket"], kind="stable")
     bucket = entries["bucket"][by]
     same = bucket[1:] == bucket[:-1]
@@ -65,21 +65,25 @@ def _of_part(entries: np.ndarray, allowed: Callable[..., np.ndarray]) -> pa.Reco
         away = np.bitwise_count(rows["sketch"].view(np.uint64) ^ np.repeat(middle, size)).astype(np.int64)
         head = np.repeat(np.minimum.reduceat(away << 40 | at, first) & ((1 << 40) - 1), size)
     test = lambda x, y: allowed(*(rows[k][i].astype(np.int64) for i in (x, y) for k in ("place", "size", "sketch")))
-    near = np.where((head != at) & test(head, at), head, -1)
-    missed = np.flatnonzero((near < 0) & (head != at) & (np.append(True, rows["bucket"][1:] != rows["bucket"][:-1])[: len(rows)] == 0) & (at - 1 != head))
-    if len(missed):
-        missed = missed[test(missed - 1, missed)]
-        near[missed] = missed - 1
-    columns = [pa.array(rows["bucket"].view(np.int64)), *(pa.array(rows[k].astype(np.int64)) for k in ("place", "size", "sketch", "item")), pa.array(crowd.astype(np.int64)), pa.array(rows["item"][near], mask=near < 0)]
+    other, first_of = head != at, np.append(True, rows["bucket"][1:] != rows["bucket"][:-1])[: len(rows)]
+    fits, large = test(head, at), crowd > hub_above
+    near = np.where(other & (fits | large), head, -1)
+    missed = np.flatnonzero(other & ~fits & ~first_of & (at - 1 != head))
+    missed = missed[test(missed - 1, missed)]
+    also = np.full(len(rows), -1)
+    also[missed[large[missed]]] = missed[large[missed]] - 1
+    near[missed[~large[missed]]] = missed[~large[missed]] - 1
+    columns = [pa.array(rows["bucket"].view(np.int64)), *(pa.array(rows[k].astype(np.int64)) for k in ("place", "size", "sketch", "item")), pa.array(crowd.astype(np.int64)), *(pa.array(rows["item"][x], mask=x < 0) for x in (near, also))]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SHARED.split(", ")])
 
 
-def shared_buckets(dealt: DataFrame, allowed: Callable[..., np.ndarray]) -> DataFrame:
-    """(bucket, place, size, sketch, item, crowd, near) of buckets with two items or more, each item once.
+def shared_buckets(dealt: DataFrame, allowed: Callable[..., np.ndarray], hub_above: int = 1 << 62) -> DataFrame:
+    """(bucket, place, size, sketch, item, crowd, near, also) of buckets with two items or more, each item once.
 
     dealt: (part, entries). allowed: as in components.linked_groups. crowd: items in the bucket. near: the item to hold
     this one against at first: of its bucket the one whose sketch is nearest to the bits that most have (of several the
-    first by place, size and item), or where that pair isn't allowed the one before it, if that one is.
+    first by place, size and item), or where that pair isn't allowed the one before it, if that one is. In buckets of
+    over hub_above items near is that first one anyway, as distances to it rule out other pairs, and also the one before.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +91,17 @@ def shared_buckets(dealt: DataFrame, allowed: Callable[..., np.ndarray]) -> Data
         for batch in batches:
             for now, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if now != part and held:
-                    yield _of_part(np.frombuffer(b"".join(held), ENTRY), allowed)
+                    yield _of_part(np.frombuffer(b"".join(held), ENTRY), allowed, hub_above)
                     held = []
                 part = now
                 held.append(value.as_py())
         if held:
-            yield _of_part(np.frombuffer(b"".join(held), ENTRY), allowed)
+            yield _of_part(np.frombuffer(b"".join(held), ENTRY), allowed, hub_above)
 
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(lean(read), SHARED)
 
 
 def first_candidates(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: each item with the one that shared_buckets names for it."""
-    return shared.filter("near IS NOT NULL").select(F.least("item", "near").alias("a"), F.greatest("item", "near").alias("b")).distinct()
+    """(a, b), a < b: each item with those that shared_buckets names for it."""
+    pairs = shared.select("item", F.explode(F.array_compact(F.array("near", "also"))).alias("other"))
+    return pairs.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()

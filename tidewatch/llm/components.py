@@ -90,7 +90,7 @@ def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     known = entries.filter("crowd > 2").join(first, "item", "left").withColumn("root", F.coalesce("root", "item"))  # a bucket of two has no other pair
     mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
     left = known.join(mixed, "bucket").withColumns({"a": F.least("item", "near"), "b": F.when(F.col("near").isNotNull(), F.greatest("item", "near"))})
-    left = written(left.join(checked.select("a", "b", "distance", "unit"), ["a", "b"], "left").drop("a", "b", "crowd"))
+    left = written(left.join(checked.select("a", "b", "distance", "unit"), ["a", "b"], "left").drop("a", "b", "crowd", "also"))
     x, y = left.alias("x"), left.alias("y")
     ordered = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND x.item < y.item AND {allowed_sql} AND NOT coalesce(x.near = y.near AND {apart_sql}, false)")
     across = x.join(y, ordered).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
