@@ -173,10 +173,12 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             continue
         flush()
         ends = _ENDS.get(tag, {"p"})
-        barrier = max((opened[t][-1] for t in _HOLDS if t not in ends and opened.get(t)), default=0)
-        ended = min((k for t in ends for k in opened.get(t, ()) if k > barrier), default=len(stack))
-        while len(stack) > ended:
-            close()
+        ended = [k for t in ends for k in opened.get(t, ())]
+        if ended:
+            barrier = max((opened[t][-1] for t in _HOLDS if t not in ends and opened.get(t)), default=0)
+            ended = min((k for k in ended if k > barrier), default=len(stack))
+            while len(stack) > ended:
+                close()
         top = stack[-1]
         top.children.append(tag)
         if tag in _VOID or found["rest"].endswith("/") and tag not in _HOLDS:
