@@ -20,6 +20,7 @@ def test_empty_tables(spark):
         repetition.quality_rules(docs),
         fingerprints.edit_response(docs),
         fingerprints.fingerprints(docs),
+        fingerprints.near_classes(docs),
         quality_model.quality_scores(docs, labels),
         lines.without_repeated_lines(docs),
     ]

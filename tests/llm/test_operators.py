@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidewatch.llm")
 from tidewatch.llm import bpe, components, fingerprints, jaccard, lines, mixing, quality_model, queries, repetition, style_tree, substrings, toxicity, words  # noqa: E402
+from tidewatch.llm.ordering import in_descending_runs  # noqa: E402
 
 ODD = [(900, None), (901, ""), (902, "x " * 60), (903, "é ñ " * 30 + "\x1c y"), (904, "one"), (904, "one"), (None, "no id"), (905, "Ab cD " * 4000)]
 
@@ -453,3 +454,19 @@ def test_bands_of_near_texts(size):
     a, b = fingerprints.as_strings(a), fingerprints.as_strings(b)
     met = [not set(fingerprints.band_keys(a[i], 8)).isdisjoint(fingerprints.band_keys(b[i], 8)) for i in at]
     assert len(at) >= 20 and np.mean(met) >= 0.9
+
+
+@pytest.mark.parametrize("ids", [["b", "a", None, "ü", "aa"] * 7, [2**60 + k for k in range(30)] + [None, None], [None, None, None], [5], [3] * 9])
+def test_descending_runs_of_any_ids(spark, ids):
+    texts = [f"text {k} of {len(ids)}" for k in range(len(ids))]
+    kind = "string" if any(isinstance(i, str) for i in ids) else "long"
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").repartition(3)
+    tie = {r[0]: r[1] for r in df.selectExpr("text", "xxhash64(text)").collect()}
+    known = sorted((i for i in set(ids) if i is not None), key=lambda i: i.encode() if isinstance(i, str) else i, reverse=True)
+    order = [t for i in [*known, None] for t in sorted((t for j, t in zip(ids, texts, strict=True) if j == i), key=lambda t: (tie[t], t))]
+    want = dict(zip(order, order[1:] + order[:1], strict=True))
+    got = {}
+    for most in (1, 3, 1000):
+        runs = in_descending_runs(df, rows_per_range=2, most_ranges=most).withColumn("p", F.spark_partition_id()).collect()
+        got = {x.text: y.text for x, y in zip(runs[:-1], runs[1:], strict=True) if not x.ghost and x.p == y.p}
+        assert got == want

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
 from .components import linked_groups
 from .ordering import in_descending_runs
-from .storage import lean, written
+from .storage import discard, free_names, joined_by_key, lean, written
 
 SAMPLES = 32
 _PERIOD, _RUN, _FIRST = 4093, 4, 6  # steps after which bits repeat; symbols in a sample; the first scale has 2 ** 6 steps
@@ -204,15 +204,21 @@ def band_keys(fingerprint: str, band: int) -> list[str]:
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.8, band: int = 8) -> DataFrame:
-    """(id, fingerprint, class_id) of every row: class_id is the smallest id that links lead to, null only if all are.
+    """(id, fingerprint, class_id) of every row: see with_classes."""
+    return with_classes(fingerprints(docs, id_column, text_column), id_column, least, band)
+
+
+def with_classes(marked: DataFrame, id_column: str = "doc_id", least: float = 0.8, band: int = 8) -> DataFrame:
+    """marked (id, fingerprint, ...) with class_id: the smallest id that links lead to, null only if all are.
 
     Rows of equal fingerprints are one item. Items that share a band are candidates; a link is a likeness of `least` or
     more. Two texts of that likeness share a band with a probability that grows with it (12 bands of 8 samples: 0.9 at
-    an agreement of 0.8, over 0.99 at 0.9), which is the method's recall; shorter texts have shorter bands. Empty texts share the empty fingerprint, a
-    class of its own.
+    an agreement of 0.8, over 0.99 at 0.9), which is the method's recall; shorter texts have shorter bands. Empty texts
+    share the empty fingerprint, a class of its own.
     """
-    rows = written(fingerprints(docs, id_column, text_column).withColumn("item", F.xxhash64("fingerprint")))
-    items = written(rows.groupBy("item").agg(F.first("fingerprint").alias("fingerprint")))
+    name = free_names(marked, "item")[0]
+    rows = written(marked.withColumn(name, F.xxhash64("fingerprint")))
+    items = written(rows.groupBy(F.col(name).alias("item")).agg(F.first("fingerprint").alias("fingerprint"), F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("times")))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +232,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return np.ones(len(x), bool)
 
     parts = parts_for(items.count() * 24)
-    entries = written(shared_buckets(items.mapInArrow(lean(bands), PACKED), every))
+    entries = written(shared_buckets(items.select("item", "fingerprint").mapInArrow(lean(bands), PACKED), every))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +248,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long").selectExpr("a", "b", "true linked", "cast(null AS long) distance", "cast(null AS long) unit")
 
     groups = linked_groups(entries, verify, "true")
-    rooted = rows.join(groups, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    least_id = rooted.groupBy("root").agg(F.min(id_column).alias("class_id"))
-    return rooted.join(least_id, "root").select(id_column, "fingerprint", "class_id")
+    rooted = items.join(groups, "item", "left").select("item", "first_id", "times", F.coalesce("root", "item").alias("root"))
+    least_id = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    classes = written(rooted.join(least_id, "root").select(F.col("item").alias(name), "class_id", "times"))
+    discard(entries, items, groups)
+    return joined_by_key(rows, classes, name, "times").drop(name)

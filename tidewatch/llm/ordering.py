@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
 
-def _range_number(value: Column, bounds: list) -> Column:
-    """How many of the descending bounds are above value, by bisection; a null comes after all of them."""
-    if not bounds:
-        return F.when(value.isNull(), 1).otherwise(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(array, at + s - 1) > value), at + s).otherwise(at))
-    return F.when(value.isNull(), len(bounds) + 1).otherwise(found)
 
+def _range_number(value: Column, tops: Column, most: int) -> Column:
+    """How many of the descending tops (at most `most`) are not below value, by bisection; one more than there are for null."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(tops)) & (F.get(tops, at + s - 1) >= value), at + s).otherwise(at))
+    return F.when(value.isNull(), F.size(tops) + 1).otherwise(found)
 
-def in_descending_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_range: int = 2000) -> DataFrame:
+
+def in_descending_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_range: int = 2000, most_ranges: int = 65_536) -> DataFrame:
     """(id, text, ghost), dealt and sorted so that within a partition each row that isn't a ghost is followed at once by the next one of the descending order of ids.
 
-    Ids (integers) are cut into ranges at approximate quantiles; each range ends with a ghost, a copy of the first row
-    of the next range that has rows (of the first one after the last). Only the ranges' numbers and largest ids go
-    through the driver, one for rows_per_range rows. Null ids come last; rows of equal ids in the order of their text.
+    Ids (of any type that has an order) are cut into ranges, and each range ends with a ghost, a copy of the first row
+    of the next one (of the first one after the last). A range has rows_per_range rows or so, more where that would
+    take over most_ranges of them; ranges are sorted by Spark, which spills. The largest id of each range, one array of
+    at most most_ranges ids, is all that tasks need to know of the others; it is a written table of one row. Null ids
+    come last; rows of equal ids in the order of their text.
     """
     source = docs.select(F.col(id_column), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    n = source.count()
-    ranges = max(1, -(-n // rows_per_range))
-    cuts = source.select(id_column).approxQuantile(id_column, [i / ranges for i in range(1, ranges)], 0.2 / ranges) if n and ranges > 1 else []
-    bounds = sorted({int(c) for c in cuts}, reverse=True)
-    tie = F.xxhash64("text")
-    source = source.withColumn("_range", _range_number(F.col(id_column), bounds))
-    tops = source.groupBy("_range").agg(F.max(id_column).alias("_top"))
-    used = sorted(r["_range"] for r in tops.select("_range").collect())
-    if not used:
+    rows, known = source.agg(F.count(F.lit(1)), F.count(id_column)).first()
+    if not rows:
         return source.select(id_column, "text", F.lit(False).alias("ghost"))
-    before = F.create_map(*[F.lit(x) for pair in zip(used, used[-1:] + used[:-1], strict=True) for x in pair])
-    firsts = source.join(F.broadcast(tops.withColumnRenamed("_range", "_own")), (F.col("_range") == F.col("_own")) & F.col(id_column).eqNullSafe(F.col("_top")))  # a row a range
-    firsts = firsts.groupBy("_range").agg(F.max(id_column).alias(id_column), F.min_by("text", F.struct(tie, "text")).alias("text"))
-    ghosts = firsts.select(id_column, "text", F.element_at(before, F.col("_range")).alias("_range"), F.lit(True).alias("ghost"))
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(len(used), 4096))
-    dealt = source.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(partitions, "_range")
+    ranges = min(most_ranges, max(1, -(-rows // rows_per_range)))
+    cut = source.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("top")).repartitionByRange(ranges, F.desc("top"))
+    each = cut.groupBy(F.spark_partition_id().alias("range")).agg(F.max("top").alias("top"))
+    held = written(each.agg(F.sort_array(F.collect_set("top"), asc=False).alias("tops")))
+    tie, tops = F.xxhash64("text"), F.col("_tops")
+    source = source.withColumn("_tops", held.scalar()).withColumn("_range", _range_number(F.col(id_column), tops, ranges))
+    # each range but that of nulls holds its top, so none is empty
+    firsts = source.filter(F.get(tops, F.col("_range") - 1).eqNullSafe(F.col(id_column))).groupBy("_range").agg(F.first(F.size(tops)).alias("_last"), F.max(id_column).alias(id_column), F.min_by("text", F.struct(tie, "text")).alias("text"))
+    last = F.col("_last") + (1 if known < rows else 0)
+    ghosts = firsts.select(id_column, "text", F.when(F.col("_range") == 1, last).otherwise(F.col("_range") - 1).alias("_range"), F.lit(True).alias("ghost"))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
+    dealt = source.select(id_column, "text", "_range", F.lit(False).alias("ghost")).unionByName(ghosts).repartition(partitions, "_range")
     return dealt.sortWithinPartitions("_range", "ghost", F.col(id_column).desc_nulls_last(), tie, "text").select(id_column, "text", "ghost")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .fingerprints import edit_response
+from .fingerprints import edit_response, with_classes
 from .jaccard import jaccard_groups
 from .lines import without_repeated_lines
 from .mixing import mixed
@@ -66,7 +66,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_response(_table(spark, sf_dir, "documents"))
+    return with_classes(edit_response(_table(spark, sf_dir, "documents")))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,18 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, times: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of table, a written table with one row for each key and how often rows have it (times, which goes).
+
+    Keys that over one in `share` rows have, fewer than `share` of them, are broadcast, so that rows of a key that a
+    third of all have stay where they are; the others meet by a shuffle. Both are read twice.
+    """
+    total = table.agg(F.sum(times)).first()[0] or 0
+    often = F.col(times) * share > total
+    hot, rest = table.filter(often).drop(times), table.filter(~often).drop(times)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def free_names(frame: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of frame has it (whatever the case)."""
     taken, out = {c.lower() for c in frame.columns}, []
