@@ -470,3 +470,12 @@ def test_descending_runs_of_any_ids(spark, ids):
         runs = in_descending_runs(df, rows_per_range=2, most_ranges=most).withColumn("p", F.spark_partition_id()).collect()
         got = {x.text: y.text for x, y in zip(runs[:-1], runs[1:], strict=True) if not x.ghost and x.p == y.p}
         assert got == want
+
+
+def test_descending_runs_where_more_ranges_are_cut_than_asked(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    plain = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *columns: plain(self, 9 * n, *columns))
+    runs = in_descending_runs(df, rows_per_range=25).withColumn("p", F.spark_partition_id()).collect()
+    got = {x.doc_id: y.doc_id for x, y in zip(runs[:-1], runs[1:], strict=True) if not x.ghost and x.p == y.p}
+    assert got == {i: (i - 1) % 50 for i in range(50)}

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .storage import written
 
 
-def _range_number(value: Column, tops: Column, most: int) -> Column:
-    """How many of the descending tops (at most `most`) are not below value, by bisection; one more than there are for null."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(tops)) & (F.get(tops, at + s - 1) >= value), at + s).otherwise(at))
-    return F.when(value.isNull(), F.size(tops) + 1).otherwise(found)
+def _range_number(value: Column, tops: Column, held: int) -> Column:
+    """How many of the held descending tops are not below value, by bisection; one more than there are for null."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(held.bit_length()))]).cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= held) & (F.get(tops, at + s - 1) >= value), at + s).otherwise(at))
+    return F.when(value.isNull(), held + 1).otherwise(found)
 
 
 def in_descending_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_range: int = 2000, most_ranges: int = 65_536) -> DataFrame:
@@ -31,13 +31,14 @@ def in_descending_runs(docs: DataFrame, id_column: str = "doc_id", text_column:
     ranges = min(most_ranges, max(1, -(-rows // rows_per_range)))
     cut = source.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("top")).repartitionByRange(ranges, F.desc("top"))
     each = cut.groupBy(F.spark_partition_id().alias("range")).agg(F.max("top").alias("top"))
-    held = written(each.agg(F.sort_array(F.collect_set("top"), asc=False).alias("tops")))
+    array = written(each.agg(F.sort_array(F.collect_set("top"), asc=False).alias("tops")))
+    held = array.select(F.size("tops")).first()[0]  # the cluster may cut more or fewer ranges than asked for
     tie, tops = F.xxhash64("text"), F.col("_tops")
-    source = source.withColumn("_tops", held.scalar()).withColumn("_range", _range_number(F.col(id_column), tops, ranges))
+    source = source.withColumn("_tops", array.scalar()).withColumn("_range", _range_number(F.col(id_column), tops, held))
     # each range but that of nulls holds its top, so none is empty
-    firsts = source.filter(F.get(tops, F.col("_range") - 1).eqNullSafe(F.col(id_column))).groupBy("_range").agg(F.first(F.size(tops)).alias("_last"), F.max(id_column).alias(id_column), F.min_by("text", F.struct(tie, "text")).alias("text"))
-    last = F.col("_last") + (1 if known < rows else 0)
+    firsts = source.filter(F.get(tops, F.col("_range") - 1).eqNullSafe(F.col(id_column))).groupBy("_range").agg(F.max(id_column).alias(id_column), F.min_by("text", F.struct(tie, "text")).alias("text"))
+    last = held + (known < rows)
     ghosts = firsts.select(id_column, "text", F.when(F.col("_range") == 1, last).otherwise(F.col("_range") - 1).alias("_range"), F.lit(True).alias("ghost"))
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), held)
     dealt = source.select(id_column, "text", "_range", F.lit(False).alias("ghost")).unionByName(ghosts).repartition(partitions, "_range")
     return dealt.sortWithinPartitions("_range", "ghost", F.col(id_column).desc_nulls_last(), tie, "text").select(id_column, "text", "ghost")
