@@ -222,3 +222,43 @@ def test_messages_and_manifests(spark):
     assert tuple(line(messages.manifest_entry, " file  a\\b c.txt ")) == ("file", "a/b c.txt") and line(messages.manifest_entry, "# file x") is None and line(messages.manifest_entry, "") is None
     assert tuple(line(messages.checksum_entry, "A" * 64 + " *x\\y")) == ("a" * 64, "x/y") and line(messages.checksum_entry, "abc x") is None
     assert one(spark, messages.normal_path(F.lit("r\\x\\y"), "r/")) == "x/y"
+
+
+def test_resolved_imports(spark):
+    from tidewatch.operators import imports
+
+    names = ["/a/b/x", "/a/b/y.js", "/a/z.mjs", "/a/w/index.js", "/a/w.mjs", "/top.js", "/a/b/x"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    cases = ["./x", "./y", "../z", "../w", "../../top", "../../../top", "./none", "react", "/abs", ".hidden", "", None]
+    found = spark.createDataFrame([(i, "/a/b/main.js", s) for i, s in enumerate(cases)], "i int, base string, specifier string")
+    got = [(r.is_external, r.resolvable, r.path) for r in imports.resolved_imports(found, files, "i").orderBy("i").collect()]
+    inside = ["/a/b/x", "/a/b/y.js", "/a/z.mjs", "/a/w.mjs", "/top.js", "/top.js"]
+    assert got == [(False, True, p) for p in inside] + [(False, False, "/a/b/none")] + [(True, True, s) for s in cases[7:]]
+
+
+def test_tables_are_created_once(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE store_test LOCATION '{tmp_path}'")
+    try:
+        tables.create_tables(spark, "store_test")
+        spark.sql("INSERT INTO store_test.model_versions (model_id, version, model_type, sha256_hash) VALUES ('m', '1', 'linear', 'x')")
+        tables.create_tables(spark, "store_test")
+        assert {r.tableName for r in spark.sql("SHOW TABLES IN store_test").collect()} == set(tables.TABLES)
+        row = spark.table("store_test.model_versions").first()
+        assert row.is_active and row.created_at is not None
+    finally:
+        spark.sql("DROP DATABASE store_test CASCADE")
+
+
+def test_grid_and_saved_models(spark, tmp_path):
+    rows = [(i, i % 2, i % 3, float(i % 2 == 0), i % 4 == 3 or i % 8 == 2) for i in range(64)]
+    df = spark.createDataFrame(rows, "k int, seen int, noise int, label double, is_test boolean").withColumn("label", F.col("label").cast("int"))
+    out = {(r.group, r.model): r for r in learning.grid(df, {"A": ["noise"], "B": ["noise", "seen"]}, "label", "is_test").collect()}
+    assert len(out) == 6 and all(out["B", m].accuracy == 1 for m in ("Logistic_Regression", "Random_Forest", "Gradient_Boosting"))
+    assert all(r.tn + r.fp + r.fn + r.tp == sum(x[4] for x in rows) for r in out.values()) and out["A", "Random_Forest"].accuracy < 1
+    data = learning.assembled(df, ["noise", "seen"])
+    model = learning.models(64)["Logistic_Regression"].fit(data)
+    learning.save_model(model, str(tmp_path / "m"))
+    learning.save_model(model, str(tmp_path / "m"))
+    again = learning.load_model(str(tmp_path / "m"))
+    scores = [[r.score for r in learning.predicted(m, data).orderBy("k").collect()] for m in (model, again)]
+    assert scores[0] == scores[1]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import decisions, evidence_queries, metric_queries, privacy_queries, quality_queries, reference_queries, registry_queries, stream_queries, url_queries
+from tidewatch.plans import decisions, evidence_queries, metric_queries, privacy_queries, quality_queries, reference_queries, registry_queries, stream_queries, study_queries, url_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (decisions, url_queries, privacy_queries, quality_queries, evidence_queries, metric_queries, registry_queries, stream_queries, reference_queries):
+for _module in (decisions, url_queries, privacy_queries, quality_queries, evidence_queries, metric_queries, registry_queries, stream_queries, reference_queries, study_queries):
     QUERIES |= _module.register.queries
     ORACLE_SQL |= _module.register.sql
 

@@ -49,7 +49,7 @@ def page_domain(url: Column) -> Column:
     return F.coalesce(F.nullif(host(url), F.lit("")), url)
 
 
-def _without_dots(path_: Column) -> Column:
+def without_dots(path_: Column) -> Column:
     """path_ with its . and .. segments worked off (RFC 3986, 5.2.4)."""
     segments = F.split(F.regexp_replace(path_, "^/", ""), "/")
     kept = F.aggregate(
@@ -70,9 +70,9 @@ def resolved(base: Column, ref: Column) -> Column:
     tail = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
     own = path(ref)
     merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), own))
-    relative = F.when(own != "", F.concat(origin, _without_dots(merged), tail)).when(tail.startswith("?"), F.concat(origin, base_path, tail)).otherwise(F.concat(origin, base_path, base_query, tail))
-    absolute = F.when(authority(ref) == "", ref).otherwise(F.concat(scheme(ref), F.lit("://"), authority(ref), F.when(own == "", "").otherwise(_without_dots(own)), tail))
-    shared = F.concat(scheme(base), F.lit("://"), authority(ref), F.when(own == "", "").otherwise(_without_dots(own)), tail)
+    relative = F.when(own != "", F.concat(origin, without_dots(merged), tail)).when(tail.startswith("?"), F.concat(origin, base_path, tail)).otherwise(F.concat(origin, base_path, base_query, tail))
+    absolute = F.when(authority(ref) == "", ref).otherwise(F.concat(scheme(ref), F.lit("://"), authority(ref), F.when(own == "", "").otherwise(without_dots(own)), tail))
+    shared = F.concat(scheme(base), F.lit("://"), authority(ref), F.when(own == "", "").otherwise(without_dots(own)), tail)
     return F.when(scheme(ref) != "", absolute).when(authority(base) == "", ref).when(authority(ref) != "", shared).otherwise(relative)
 
 

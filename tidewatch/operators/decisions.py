@@ -83,3 +83,9 @@ def decided(df: DataFrame, score: Column, password: Column, otp: Column, cross_d
     out = out.withColumns({"threat_level": threat_level(F.col("score")), "confidence": confidence(F.col("score"), password, otp, cross_domain, forms, inputs, sparse)})
     out = out.withColumn("action", policy_action(F.col("threat_level"), F.col("confidence")))
     return out.withColumns({"enforcement": enforcement_outcome(F.col("action")), "policy_reason": policy_reason(F.col("threat_level"), F.col("confidence"), F.col("action"))})
+
+
+def ui_message(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep columns and the eight fields of decided() pages that the user interface is told; no data types asked for are an empty list."""
+    asked = F.coalesce("requested_data_types", F.array().cast("array<string>")).alias("requested_data_types")
+    return df.select(*keep, "threat_level", "score", "confidence", "reasons", "action", F.col("enforcement").alias("outcome"), "domain", asked)

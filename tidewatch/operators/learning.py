@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -85,3 +86,30 @@ def generalization(df: DataFrame, vector: str, label: str, splits: dict[str, Col
         scored = predicted(estimator.fit(fit_on), data).select("split", F.col(label).alias("label"), "predicted", F.lit(name).alias("model"))
         out = scored if out is None else out.unionByName(scored)
     return rates(confusion(out, "model", "split"))
+
+
+def grid(df: DataFrame, groups: dict[str, list[str]], label: str, is_test: str, balanced: bool = False) -> DataFrame:
+    """(group, model, n_features, metrics): each model fitted on each group's features of the rows that aren't is_test and scored on the others.
+
+    The fits are few whatever the rows; each reads df anew, as written or cached by the caller.
+    """
+    out = None
+    for group, names in groups.items():
+        data = assembled(df, names).select("features", F.col(label).alias("label"), F.col(is_test).alias("is_test"))
+        train, test = data.filter(~F.col("is_test")), data.filter("is_test")
+        if balanced:
+            train = balanced_weights(train, "label")
+        for name, estimator in models(train.count(), "label", balanced).items():
+            scored = predicted(estimator.fit(train), test).select("label", "predicted", F.lit(group).alias("group"), F.lit(name).alias("model"), F.lit(len(names)).alias("n_features"))
+            out = scored if out is None else out.unionByName(scored)
+    return rates(confusion(out, "group", "model", "n_features"))
+
+
+def save_model(model: Model, path: str) -> None:
+    """Writes a fitted model below path, in place of one that is there."""
+    PipelineModel(stages=[model]).write().overwrite().save(path)
+
+
+def load_model(path: str) -> Model:
+    """The fitted model that save_model wrote."""
+    return PipelineModel.load(path).stages[0]

@@ -59,3 +59,19 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+# Fixed values that results depend on: columns of the stored tables. Keys and references are checked by operators.store.orphans and operators.quality, since Parquet tables don't enforce them.
+TABLES = {
+    "service_profiles": "service_id VARCHAR(64) NOT NULL, service_name VARCHAR(128) NOT NULL, category VARCHAR(64) NOT NULL, declared_behavior STRING, created_at TIMESTAMP DEFAULT current_timestamp()",
+    "service_domains": "id INT NOT NULL, service_id VARCHAR(64) NOT NULL, domain VARCHAR(255) NOT NULL, is_primary BOOLEAN DEFAULT false",
+    "model_versions": "model_id VARCHAR(64) NOT NULL, version VARCHAR(32) NOT NULL, model_type VARCHAR(64) NOT NULL, sha256_hash VARCHAR(64) NOT NULL, is_active BOOLEAN DEFAULT true, created_at TIMESTAMP DEFAULT current_timestamp()",
+    "policy_versions": "policy_id VARCHAR(64) NOT NULL, version VARCHAR(32) NOT NULL, description STRING, is_active BOOLEAN DEFAULT true, created_at TIMESTAMP DEFAULT current_timestamp()",
+    "observations": "observation_id VARCHAR(64) NOT NULL, collection_id VARCHAR(64) NOT NULL, page_domain VARCHAR(255) NOT NULL, page_url_sanitized VARCHAR(1024) NOT NULL, is_https BOOLEAN NOT NULL, form_count INT DEFAULT 0, input_count INT DEFAULT 0, script_count INT DEFAULT 0, requested_data_types STRING, threat_level VARCHAR(32), model_score FLOAT, policy_action VARCHAR(32), observed_at TIMESTAMP DEFAULT current_timestamp()",
+}
+
+
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """The stored tables, where they aren't there yet."""
+    for name, columns in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
