@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Rows and bytes of an Arrow batch: with texts of several kB, the defaults (10,000 rows, 64 MB and more) make each Python worker hold hundreds of MB.
 
     A session setting, made by the registered queries and the pipeline for the plans they return; it changes no result.
