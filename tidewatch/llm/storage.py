@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode (tests); on a cluster that is an error, as executors could not see it."""
@@ -53,10 +55,18 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from Parquet in the shared folder: later plans start there, and a lost executor loses nothing of it."""
+    """df, computed once and read back from Parquet in the shared folder: later plans start there, and a lost executor loses nothing of it.
+
+    The shuffle files of this one execution go as soon as it ends, not when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_tidewatch_path"] = path
     return out
