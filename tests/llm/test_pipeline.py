@@ -40,4 +40,4 @@ def test_registered(spark, sf):
     import __spark_entry__ as entry
 
     names = entry.queries().keys()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names

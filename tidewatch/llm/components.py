@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from .buckets import first_candidates
 from .storage import discard, lean, written
 
+#: Items that a task holds at once when it makes stars of its links: some 100 MB.
+_HELD = 500_000
+
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task as stars around their smallest members: same groups, at most a link an item."""
+    """The links of a task as stars around their smallest members: same groups, at most a link an item. After _HELD items the stars so far go out and new ones begin."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -31,15 +34,21 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = root, up[x]
         return root
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        items = [x for x in up if top(x) != x]
+        for at in range(0, len(items), 50_000):
+            part = items[at : at + 50_000]
+            yield pa.record_batch({"a": pa.array([top(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = top(a), top(b)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    items = [x for x in up if top(x) != x]
-    for at in range(0, len(items), 50_000):
-        part = items[at : at + 50_000]
-        yield pa.record_batch({"a": pa.array([top(x) for x in part], pa.int64()), "b": pa.array(part, pa.int64())})
+        if len(up) > _HELD:
+            yield from stars()
+            up.clear()
+    yield from stars()
 
 
 def connected(links: DataFrame, most_rounds: int = 200, one_task: int = 200_000) -> DataFrame:
@@ -51,7 +60,7 @@ def connected(links: DataFrame, most_rounds: int = 200, one_task: int = 200_000)
     rows and a checksum reach the driver.
     """
     edges = written(links.select("a", "b").filter("a <> b").mapInArrow(lean(_local_stars), "a long, b long"))
-    if edges.count() <= one_task:
+    if edges.count() <= min(one_task, _HELD):
         edges = written(edges.coalesce(1).mapInArrow(lean(_local_stars), "a long, b long"))
     else:
         edges, mark = edges.distinct(), None

@@ -9,6 +9,7 @@ from . import bpe
 from .fingerprints import edit_response
 from .jaccard import jaccard_groups
 from .lines import without_repeated_lines
+from .minhash import near_duplicates
 from .mixing import mixed
 from .quality_model import quality_scores
 from .repetition import quality_rules
@@ -78,7 +79,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup)}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup, op13_minhash_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 #: Where SQL can express a query; the others are tested against brute force, round trips or held-out labels.
@@ -102,4 +107,15 @@ WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("t
  reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
  least AS (SELECT reach.a, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
 SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN least ON least.a = w.r LEFT JOIN c ON c.r = w.r""",
+    "op13_minhash_dedup": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+ k AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS m FROM w),
+ a AS (SELECT r, i, m, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY i) AS pair, word FROM k),
+ s AS (SELECT DISTINCT r, coalesce(pair, word) AS shingle FROM a WHERE pair IS NOT NULL OR m = 1),
+ c AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+ pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY 1, 2),
+ links AS (SELECT a, b FROM pairs JOIN c ca ON ca.r = a JOIN c cb ON cb.r = b WHERE 100 * shared >= 80 * (ca.n + cb.n - shared)),
+ reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ least AS (SELECT reach.a, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
+SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id IS NOT DISTINCT FROM component_id AS kept FROM w JOIN least ON least.a = w.r LEFT JOIN c ON c.r = w.r""",
 }
