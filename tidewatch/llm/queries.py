@@ -12,6 +12,7 @@ from .lines import without_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mixed
 from .quality_model import quality_scores
+from .repair import repairs
 from .repetition import quality_rules
 from .storage import small_batches, text_key
 from .style_tree import main_text
@@ -79,13 +80,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(_table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup, op13_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup, op11_conversation_repair, op13_minhash_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: crc32 of a string in SQL: each byte, then eight steps.
+_CRC32 = "xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(range(1, strlen({0}) + 1), lambda i: [ascii(substr({0}, i, 1))::UBIGINT] || list_transform(range(8), lambda b: 4294967296::UBIGINT))), lambda c, x: CASE WHEN x < 4294967296 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::UBIGINT * (c & 1)) END), 4294967295::UBIGINT)"
 #: Where SQL can express a query; the others are tested against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": f"""
@@ -107,6 +114,32 @@ WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("t
  reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
  least AS (SELECT reach.a, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY 1)
 SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN least ON least.a = w.r LEFT JOIN c ON c.r = w.r""",
+    "op11_conversation_repair": f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+ c AS (SELECT *, {_CRC32.format('s')} % 20 AS d FROM k),
+ m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+ o AS (SELECT *, rtrim(text, E' \t\n\x0B\f\r') AS shown, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i FROM m),
+ f AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+  left(role, 1) AS letter, left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS two FROM o),
+ t AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+ ids AS (SELECT DISTINCT conv_id FROM conversations),
+ dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'c': 0, 'a': ''}} AS w FROM ids UNION ALL
+  SELECT conv_id, i, q, min(w) FROM (
+   SELECT dp.conv_id, f.i, CASE edit WHEN 'D' THEN p.q WHEN 'K' THEN CASE letter WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE WHEN p.q = 2 THEN 3 ELSE 2 END END AS q,
+    {{'c': p.c + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 't' THEN 3 ELSE 0 END, 'a': p.a || edit}} AS w
+   FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1, (VALUES (0), (1)) v(ins), (VALUES ('K'), ('R'), ('D')) e(edit),
+    LATERAL (SELECT CASE WHEN ins = 0 THEN dp.q WHEN dp.q = 2 THEN 3 ELSE 2 END AS q, dp.w.c + 3 * ins AS c, dp.w.a || repeat('I', ins) AS a) p
+   WHERE edit = 'D' OR fault NOT IN ('b', 'd') AND (edit = 'R' OR letter = CASE WHEN p.q = 2 THEN 'a' ELSE 'u' END OR letter = 's' AND p.q = 0)) GROUP BY ALL),
+ best AS (SELECT dp.conv_id, min({{'c': w.c + CASE q WHEN 2 THEN 3 ELSE 0 END, 'a': w.a || CASE q WHEN 2 THEN 'I' ELSE '' END}}) AS w FROM dp LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id WHERE i = coalesce(n, 0) AND q <> 1 GROUP BY 1),
+ x AS (SELECT conv_id, unnest(string_split(w.a, '')) AS edit, unnest(range(1, length(w.a) + 1)) AS j FROM best WHERE w.a <> ''),
+ y AS (SELECT *, count(*) FILTER (edit <> 'I') OVER z AS i, count(*) FILTER (edit <> 'D') OVER z AS p FROM x WINDOW z AS (PARTITION BY conv_id ORDER BY j)),
+ g AS (SELECT y.*, role, text, max(CASE WHEN p = 1 AND edit = 'K' AND letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.conv_id) AS s FROM y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.i = y.i),
+ r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (p - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, E'\n' ORDER BY j) AS lines FROM g WHERE edit <> 'D' GROUP BY 1)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ w.c::BIGINT AS cost, w.a AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ids LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id""",
     "op13_minhash_dedup": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
  k AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS m FROM w),
