@@ -18,6 +18,7 @@ from .storage import small_batches, text_key
 from .style_tree import main_text
 from .substrings import without_repeats
 from .toxicity import toxic_passages
+from .trie import prefix_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +85,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs(_table(spark, sf_dir, "conversations"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup, op11_conversation_repair, op13_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_toxic_passages, op4_bpe_encoding, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_fingerprints, op9_quality_classifier, op10_line_dedup, op11_conversation_repair, op12_prefix_trie, op13_minhash_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 #: crc32 of a string in SQL: each byte, then eight steps.
@@ -140,6 +145,20 @@ WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
  w.c::BIGINT AS cost, w.a AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
 FROM ids LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id""",
+    "op12_prefix_trie": f"""
+WITH o AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format('conv_id::VARCHAR')} % 4 AS h FROM o),
+ r AS (SELECT c.conv_id, m, words, i FROM c JOIN o ON o.conv_id = c.base AND i <= h UNION ALL SELECT c.conv_id, m, words, i FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+ p AS (SELECT conv_id, words, row_number() OVER z AS d, string_agg(m, '') OVER z AS key FROM r WINDOW z AS (PARTITION BY conv_id ORDER BY i)),
+ whole AS (SELECT c.conv_id, coalesce(max(d), 0) AS depth FROM c LEFT JOIN p ON p.conv_id = c.conv_id GROUP BY 1),
+ members AS (SELECT conv_id, 0 AS d, '' AS key, 0 AS words FROM c UNION ALL SELECT conv_id, d, key, words FROM p),
+ nodes AS (SELECT key, d, any_value(words) AS words, min(m.conv_id) AS conv_id, count(*) AS n, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (whole.depth = d) AS ends FROM members m JOIN whole ON whole.conv_id = m.conv_id GROUP BY 1, 2),
+ kids AS (SELECT left(key, length(key) - 32) AS key, count(*) AS children FROM nodes WHERE d > 0 GROUP BY 1),
+ all_nodes AS (SELECT nodes.*, coalesce(children, 0) AS children FROM nodes LEFT JOIN kids ON kids.key = nodes.key),
+ below AS (SELECT a.key, count(*) FILTER (b.children = 0) AS leaves, sum((b.n - 1) * b.words) AS saved FROM all_nodes a JOIN all_nodes b ON starts_with(b.key, a.key) GROUP BY 1)
+SELECT a.conv_id, a.d::BIGINT AS depth, up.conv_id AS parent_conv_id, a.n::BIGINT AS n_convs, a.children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM all_nodes a JOIN below ON below.key = a.key LEFT JOIN all_nodes up ON a.d > 0 AND up.key = left(a.key, length(a.key) - 32)""",
     "op13_minhash_dedup": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
  k AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS m FROM w),
