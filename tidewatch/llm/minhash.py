@@ -19,7 +19,7 @@ smallest id: component_id is null only where all ids of the component are. Other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
@@ -36,6 +36,8 @@ PLACES, BATCH = 128, 32
 BANDS, TOGETHER = 25, 5
 #: Members of a block of a bucket: two blocks' signatures are half a MB.
 BLOCK = 2048
+#: And shingles of a block, where it has long texts: 8 MB.
+SHINGLES = 1 << 20
 _FACTORS = mix(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,14 +98,14 @@ def least_matches(percent: int, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def staying(a: np.ndarray, b: np.ndarray, needed: tuple[int, ...]) -> np.ndarray:
-    """Numbers of the pairs (rows of a with rows of b) that no batch drops."""
+def staying(a: np.ndarray, b: np.ndarray, needed: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs (rows of a with rows of b) that no batch drops, and how many places agree."""
     left, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, least in enumerate(needed):
         span = slice(i * BATCH, (i + 1) * BATCH)
         equal = equal + (a[left, span] == b[left, span]).sum(1)
         left, equal = left[equal >= least], equal[equal >= least]
-    return left
+    return left, equal
 
 
 def _described(docs: DataFrame, id_type: str, words: int) -> DataFrame:
@@ -142,7 +144,7 @@ def _surviving(pairs: DataFrame, items: DataFrame, needed: tuple[int, ...]) -> D
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stay = staying(_bytes(batch.column(2), PLACES), _bytes(batch.column(3), PLACES), needed)
+            stay, _ = staying(_bytes(batch.column(2), PLACES), _bytes(batch.column(3), PLACES), needed)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(stay)) for k in (0, 1)], ["a", "b"])
 
     side = lambda name: items.select(F.col("item").alias(name), F.col("signature").alias(f"of_{name}"))
@@ -179,34 +181,84 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, words: int) -> DataFram
     return distinct_texts(docs, text).join(wanted, "key").select("item", "text").mapInArrow(lean(members), "item long, members binary")
 
 
-def _cells(members: DataFrame, block: int) -> DataFrame:
-    """members (bucket, item, root) of buckets with several classes, dealt to cells (bucket, x, y) in which block x meets block y; block says which of the two a row is of."""
-    classes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    shape = classes.groupBy("bucket").agg(F.max_by("root", "n").alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    shape = shape.select("bucket", "major", F.expr(f"int(ceil(most / {block}))").alias("m"), F.expr(f"int(ceil((all - most) / {block}))").alias("r"))
-    dealt = members.join(shape, "bucket").withColumn("block", F.expr("CASE WHEN root = major THEN pmod(xxhash64(item), m) ELSE m + pmod(xxhash64(item), r) END"))
+def _cells(members: DataFrame, block: int, size: int) -> DataFrame:
+    """members (bucket, item, root, n) of buckets with several classes, dealt to cells (bucket, x, y) in which block x meets block y; in_block says which of the two a row is of. A block has about `block` members or `size` shingles."""
+    classes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    shape = classes.groupBy("bucket").agg(F.max_by(F.struct("root", "rows", "n"), F.struct("rows", "root")).alias("major"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    blocks = lambda rows, n: F.expr(f"int(greatest(ceil(({rows}) / {block}), ceil(({n}) / {size})))")
+    shape = shape.select("bucket", "major.root", blocks("major.rows", "major.n").alias("m"), blocks("rows - major.rows", "n - major.n").alias("r")).withColumnRenamed("root", "major")
+    dealt = members.join(shape, "bucket").withColumn("in_block", F.expr("CASE WHEN root = major THEN pmod(xxhash64(item), m) ELSE m + pmod(xxhash64(item), r) END"))
     others = "CASE WHEN root = major THEN sequence(m, m + r - 1) ELSE sequence(0, m + r - 1) END"
-    return dealt.withColumn("other", F.explode(F.expr(others))).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "item", "root")
+    return dealt.withColumn("other", F.explode(F.expr(others))).select("bucket", F.least("in_block", "other").alias("x"), F.greatest("in_block", "other").alias("y"), "in_block", "item", "root")
 
 
-def _across(cells: DataFrame, items: DataFrame, needed: tuple[int, ...]) -> DataFrame:
-    """The pairs (a, b) of members of different classes, of the two blocks of a cell, that the comparison of signatures doesn't drop."""
+class _Cell:
+    """The members of two blocks: for each of one block (first), those of the other that are of another class and that the comparison of signatures doesn't drop."""
 
-    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = pa.Table.from_batches(held).combine_chunks()
-        if cell.num_rows < 2:
-            return
-        x, y, block, item, root = (cell.column(k).to_numpy() for k in ("x", "y", "block", "item", "root"))
-        places = _bytes(cell.column("signature"), PLACES)
+    def __init__(self, table: pa.Table, needed: tuple[int, ...]):
+        self.table, self.needed = table, needed
+        x, y, block, self.item, self.root = (table.column(k).to_numpy() for k in ("x", "y", "in_block", "item", "root"))
+        self.places, self.apart = _bytes(table.column("signature"), PLACES), x[0] != y[0]
         first = np.flatnonzero(block == x[0])
-        second = first if x[0] == y[0] else np.flatnonzero(block == y[0])
-        if len(first) > len(second):
-            first, second = second, first
-        for i in first:
-            mine = second[(root[second] != root[i]) & ((item[second] > item[i]) | (x[0] != y[0]))]
-            stay = mine[staying(np.broadcast_to(places[i], (len(mine), PLACES)), places[mine], needed)]
+        second = np.flatnonzero(block == y[0]) if self.apart else first
+        self.first, self.second = (first, second) if len(first) <= len(second) else (second, first)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row of first, rows of second, places that agree)."""
+        for i in self.first:
+            mine = self.second[(self.root[self.second] != self.root[i]) & (self.apart | (self.item[self.second] > self.item[i]))]
+            stay, equal = staying(np.broadcast_to(self.places[i], (len(mine), PLACES)), self.places[mine], self.needed)
             if len(stay):
-                yield pa.RecordBatch.from_arrays([pa.array(f(item[i], item[stay])) for f in (np.minimum, np.maximum)], ["a", "b"])
+                yield i, mine[stay], equal
+
+    def _pairs(self, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(f(self.item[x], self.item[y])) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+    def nearest(self) -> Iterator[pa.RecordBatch]:
+        """(a, b): each member and the candidate with most places equal."""
+        most, partner = np.zeros(len(self.item), np.int64), np.full(len(self.item), -1)
+        for i, stay, equal in self.candidates():
+            better = equal > most[stay]
+            most[stay[better]], partner[stay[better]] = equal[better], i
+            if equal.max() > most[i]:
+                most[i], partner[i] = equal.max(), stay[equal.argmax()]
+        found = np.flatnonzero(partner >= 0)
+        yield self._pairs(found, partner[found])
+
+    def undecided(self) -> Iterator[pa.RecordBatch]:
+        """The rows that have a candidate."""
+        some = np.zeros(len(self.item), bool)
+        for i, stay, _ in self.candidates():
+            some[i] = some[stay] = True
+        yield from self.table.select(_IN_CELL).filter(pa.array(some)).to_batches()
+
+    def links(self, percent: int) -> Iterator[pa.RecordBatch]:
+        """(a, b): each member with one linked member of each other class, by the full sets."""
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in self.table.column("members")]
+        size = np.array([len(v) for v in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.cumsum(size) - size
+        flag = np.zeros(int(codes.max()) + 1, bool)
+        at = np.concatenate([np.arange(starts[k], starts[k] + size[k]) for k in self.second])
+        theirs, begin = codes[at], np.cumsum(size[self.second]) - size[self.second]
+        where = np.empty(len(sets), np.int64)
+        where[self.second] = np.arange(len(self.second))
+        for i, stay, _ in self.candidates():
+            mine = codes[starts[i] : starts[i] + size[i]]
+            flag[mine] = True
+            shared = np.add.reduceat(flag[theirs].astype(np.int64), begin)[where[stay]]
+            flag[mine] = False
+            linked = stay[100 * shared >= percent * (size[i] + size[stay] - shared)]
+            one = linked[np.unique(self.root[linked], return_index=True)[1]]
+            yield self._pairs(np.full(len(one), i), one)
+
+
+_IN_CELL = ["bucket", "x", "y", "in_block", "item", "root"]
+_IN_CELL_SQL = "bucket long, x long, y long, in_block long, item long, root long"
+
+
+def _by_cell(rows: DataFrame, needed: tuple[int, ...], what: Callable[[_Cell], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What each cell of rows says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -216,22 +268,22 @@ def _across(cells: DataFrame, items: DataFrame, needed: tuple[int, ...]) -> Data
             for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
                 key = tuple(keys[:, i])
                 if key != now and held:
-                    yield from pairs_of(held)
+                    yield from what(_Cell(pa.Table.from_batches(held).combine_chunks(), needed))
                     held = []
                 now = key
                 held.append(batch.slice(i, j - i))
         if held:
-            yield from pairs_of(held)
+            yield from what(_Cell(pa.Table.from_batches(held).combine_chunks(), needed))
 
-    rows = cells.join(items.select("item", "signature"), "item").select("bucket", "x", "y", "block", "item", "root", "signature")
-    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), schema)
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: float = 1e-6, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: float = 1e-6, id: str = "doc_id", text: str = "text", block: int = BLOCK, rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: size of its set, smallest id of all rows reachable by links, whether that is its own.
 
     A link is 100 * intersection >= percent * union of two sets of `words`-word shingles. miss: the posterior chance of
-    being a link under which a pair of signatures is dropped. The other cases are defined in the module's docstring.
+    being a link under which a pair of signatures is dropped. rounds: how often members are held against their nearest of
+    another class before all pairs of classes are compared; it changes no result. The other cases are defined in the module's docstring.
     """
     docs, needed = docs.select(F.col(id).alias("id"), F.col(text).alias("text")), least_matches(percent, miss)
     described = _described(docs.select(text_key("text").alias("key"), "id", "text"), docs.schema["id"].dataType.simpleString(), words)
@@ -244,19 +296,33 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: fl
     asked = written(_surviving(met.filter("item <> head").select(F.col("head").alias("a"), F.col("item").alias("b")).distinct(), items, needed))
     wanted = met.select("item").distinct().join(items.select("item", "key"), "item")
     sets = written(_sets(docs, "text", wanted, words))
-    links = written(_verified(asked, sets, percent).filter("linked").select("a", "b"))
-    first = written(connected(links))
-
-    members = written(met.filter("crowd > 2").select("bucket", "item").join(first, "item", "left").select("bucket", "item", F.coalesce("root", "item").alias("root")))
-    across = _across(_cells(members, block), items, needed).join(asked, ["a", "b"], "left_anti")
-    more = written(_verified(across, sets, percent).filter("linked").select("a", "b"))
-    discard(met, asked, sets, members)
-    roots = connected(first.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b")).union(more))
+    linked = lambda pairs: written(_verified(pairs, sets, percent).filter("linked").select("a", "b"))
+    more = linked(asked)
+    roots = written(connected(more))
+    shared = met.filter("crowd > 2").join(items.select("item", "n"), "item").select("bucket", "item", "n")
+    marks = items.select("item", "signature")
+    for step in range(rounds + 1):
+        members = shared.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+        cells = _cells(members, block, SHINGLES).join(marks, "item").select(*_IN_CELL, "signature")
+        discard(more)
+        if step < rounds:
+            across = written(_by_cell(cells, needed, _Cell.nearest, "a long, b long").distinct().join(asked, ["a", "b"], "left_anti"))
+            more = linked(across)
+            asked, done = written(asked.union(across)), asked
+            discard(across, done)
+        else:
+            open_rows = written(_by_cell(cells, needed, _Cell.undecided, _IN_CELL_SQL))
+            whole = open_rows.join(marks, "item").join(sets, "item").select(*_IN_CELL, "signature", "members")
+            more = written(_by_cell(whole, needed, lambda cell: cell.links(percent), "a long, b long").distinct())
+            discard(open_rows)
+        before, roots = roots, written(connected(roots.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b")).union(more)))
+        discard(before)
+    discard(met, asked, sets, more)
 
     of_item = items.select("item", "key", "n", "copies", "least").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     least = of_item.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(of_item.join(least, "root").select("key", "n", "copies", "component_id"))
-    discard(items, links, first, more)
+    discard(items, roots)
     out = joined_by_key(docs.select("id", text_key("text").alias("key")), classes, "key", "copies")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
