@@ -166,9 +166,40 @@ def test_gates(spark):
     bodies = ['{"sec\\u0072et":1}', '{"a":[{"b":{"SECRET":1}},2]}', '{\n "a" : {\n "otp_value" : 1 }\n}', '{"a":"x, \\"secret\\": y"}', '[{"secret":1}]', '"secret"', 'no json "secret":', "", None, '{"secrets":1}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
     assert [r.x for r in df.select("i", privacy.has_forbidden_key(F.col("body")).alias("x")).orderBy("i").collect()] == [True, True, True, False, True, False, True, False, False, False]
-    items = ['{"sec\\u0072et":1}', '{"Secret":1}', '{"a":{"secret":1}}', "[1]", "x", None]
+    items = ['{"forms":[{"value":1}]}', '{"forms":[],"inputs":[1,{"name":"a"},{"cvv_value":null}]}', '{"inputs":[{"sec\\u0072et":1}]}', '{"pin_value":1}', '{"value":1,"scripts":[{"value":1}]}', '{"forms":{"value":1}}', '{"forms":[{"Value":1,"card_value":1,"x":{"value":1}},[{"value":1}],"value"]}', "[1]", "x", None]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(items)], "i int, body string")
-    assert [r.x for r in df.select("i", privacy.has_forbidden_item_key(F.col("body")).alias("x")).orderBy("i").collect()] == [True, False, False, False, False, False]
+    assert [r.x for r in df.select("i", privacy.has_forbidden_item_key(F.col("body")).alias("x")).orderBy("i").collect()] == [True] * 3 + [False] * 7
+
+
+def test_redaction_at_any_depth(spark):
+    import json
+
+    payload = {"password=1": "otp = 5, x", "n": 12, "b": [True, None, "/p?token=a\\b&x=1"], "o": {"s": "say \"secret: x\" \u00e9", "e": {}, "l": [[], ["code=9;", {"k": "998877"}]]}, "empty": ""}
+    df = spark.createDataFrame([(0, json.dumps(payload)), (1, '"user: a"'), (2, "no json"), (3, None), (4, "[]")], "i int, body string")
+    want = {0: {**payload, "password=1": "otp=[REDACTED], x", "b": [True, None, "/p?token=[REDACTED]"], "o": {"s": 'say "secret=[REDACTED] \u00e9', "e": {}, "l": [[], ["code=[REDACTED];", {"k": "[REDACTED]"}]]}}, 1: "user=[REDACTED]", 4: []}
+    got = {r.i: r.x and json.loads(r.x) for r in df.select("i", privacy.redacted_json(F.col("body")).alias("x")).collect()}
+    assert got == {**want, 2: None, 3: None}
+    got = df.filter("i = 0").select(F.parse_json("body").alias("v"))
+    assert json.loads(got.select(F.to_json(privacy.redacted_value(F.col("v"), got.schema["v"].dataType))).first()[0]) == want[0]
+    typed = spark.sql("SELECT named_struct('a', array(named_struct('t', 'otp: 1', 'n', 3), null), 'm', map('otp: 1', array('user=x y', null)), 'none', cast(null as struct<t: string>)) AS p")
+    row = typed.select(privacy.redacted_value(F.col("p"), typed.schema["p"].dataType).alias("p")).first().p
+    assert row.a[0].t == "otp=[REDACTED]" and row.a[0].n == 3 and row.a[1] is None and row.m == {"otp: 1": ["user=[REDACTED] y", None]} and row.none is None
+
+
+def test_comparison_of_destinations(spark):
+    cases = {
+        "javascript:void(0)": ("IDENTITY_MISMATCH", "DESTINATION_MISMATCH_"), "mailto:x@evil.org": ("IDENTITY_MISMATCH", "DESTINATION_MISMATCH_"), "https://Evil.org:80/x": ("IDENTITY_MISMATCH", "DESTINATION_MISMATCH_evil.org"),
+        "next?x=1": ("EXPECTED", "MATCHES_DECLARED_SERVICE_PROFILE"), "/x": ("EXPECTED", "MATCHES_DECLARED_SERVICE_PROFILE"), "//evil.org": ("EXPECTED", "MATCHES_DECLARED_SERVICE_PROFILE"), "": ("EXPECTED", "MATCHES_DECLARED_SERVICE_PROFILE"), "https://sub.bankone.com": ("EXPECTED", "MATCHES_DECLARED_SERVICE_PROFILE"),
+    }
+    kind = "page_domain string, page_url string, forms array<struct<action: string, is_cross_domain: boolean, has_password: boolean, has_otp: boolean>>"
+    df = spark.createDataFrame([("auth.bankone.com", "https://auth.bankone.com/a/b", [(a, False, True, False)]) for a in cases], kind)
+    got = {r.forms[0].action: (r.outcome, ",".join(r.comparison_reasons)) for r in profiles.with_comparison(df, url="page_url").collect()}
+    assert got == cases
+    docs = [("docs", "Documents", "reference", ["docs.example.com"], ["search_terms"])]
+    df = spark.createDataFrame([("docs.example.com", "https://docs.example.com/", [("/x", False, True, True), ("", False, False, False)])], kind)
+    row = profiles.with_comparison(df, services=docs).first()
+    assert (row.outcome, row.risk_modifier, row.comparison_reasons) == ("POSSIBLY_EXCESSIVE", 0.2, ["UNDOCUMENTED_DATA_CATEGORY_credentials"])
+    assert profiles.with_comparison(df, services=[]).first().outcome == "UNKNOWN"
 
 
 def test_ingest_status(spark):
@@ -214,10 +245,11 @@ def test_resolved_urls(spark):
 def test_messages_and_manifests(spark):
     from tidewatch.functions import messages
 
-    good = '{"schemaVersion":"3.0.0","collectionId":"c","timestamp":"t","forms":[],"inputs":[1,"x"],"scripts":[{}],"redirects":[],"requestedDataTypes":[]}'
-    bodies = [good, good.replace("3.0.0", "2.9"), good.replace('"c"', "7"), good.replace('"forms":[]', '"forms":{}'), good.replace(',"redirects":[]', ""), "[]", "x", None]
+    good = '{"schemaVersion":"3.0.0","collectionId":"c","timestamp":1735689600000,"page":{"url":"http://x"},"forms":[],"inputs":[1,"x"],"scripts":[{}],"requests":[],"relationships":[]}'
+    wrong = [("3.0.0", "2.9"), ('"c"', "7"), ("1735689600000", '"1735689600000"'), ('{"url":"http://x"}', "null"), ('{"url":"http://x"}', '"http://x"'), ('"forms":[]', '"forms":{}'), (',"requests":[]', ""), (',"relationships":[]', ',"relationships":null')]
+    bodies = [good, good.replace("1735689600000", "1.5e3"), good.replace('{"url":"http://x"}', "[]"), *(good.replace(*w) for w in wrong), "[]", "x", None]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
-    assert [r.x for r in df.select("i", messages.valid_message(F.col("body")).alias("x")).orderBy("i").collect()] == [True] + [False] * 7
+    assert [r.x for r in df.select("i", messages.valid_message(F.col("body")).alias("x")).orderBy("i").collect()] == [True] * 3 + [False] * 11
     line = lambda f, x: one(spark, f(F.lit(x)))
     assert tuple(line(messages.manifest_entry, " file  a\\b c.txt ")) == ("file", "a/b c.txt") and line(messages.manifest_entry, "# file x") is None and line(messages.manifest_entry, "") is None
     assert tuple(line(messages.checksum_entry, "A" * 64 + " *x\\y")) == ("a" * 64, "x/y") and line(messages.checksum_entry, "abc x") is None

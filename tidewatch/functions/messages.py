@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values that results depend on: the version of messages, their texts and their lists.
+# Fixed values that results depend on: the version of messages and their lists.
 VERSION = "3.0.0"
-TEXTS = ["collectionId", "timestamp"]
-LISTS = ["forms", "inputs", "scripts", "redirects", "requestedDataTypes"]
+LISTS = ["forms", "inputs", "scripts", "requests", "relationships"]
 
 
 def _kind(message: Column, name: str) -> Column:
@@ -16,11 +15,10 @@ def _kind(message: Column, name: str) -> Column:
 
 
 def valid_message(body: Column) -> Column:
-    """Whether a JSON text is an object of that version whose texts are strings and whose lists are arrays."""
+    """Whether a JSON text is an object of that version with a text as collectionId, a number as timestamp, an object or array as page, and its lists."""
     message = F.try_parse_json(body)
-    good = F.try_variant_get(message, "$.schemaVersion", "string") == VERSION
-    for name in TEXTS:
-        good = good & (_kind(message, name) == "STRING")
+    good = (_kind(message, "schemaVersion") == "STRING") & (F.try_variant_get(message, "$.schemaVersion", "string") == VERSION)
+    good = good & (_kind(message, "collectionId") == "STRING") & _kind(message, "timestamp").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & _kind(message, "page").rlike("^(OBJECT|ARRAY)")
     for name in LISTS:
         good = good & _kind(message, name).startswith("ARRAY")
     return F.coalesce(good, F.lit(False))

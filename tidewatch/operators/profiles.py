@@ -15,17 +15,20 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def match_profiles(df: DataFrame, host: str) -> DataFrame:
+def match_profiles(df: DataFrame, host: str, services: list[tuple] = tables.PROFILES) -> DataFrame:
     """df with ord, service_id, official_domains and documented_data_categories of the first declared service that has the host or a domain above it; nulls if none.
 
-    Different hosts only are exploded to suffixes and met by an equi-join with the declared domains (13 fixed rows).
+    services: a bounded declaration (rows of tables.PROFILES). Its domains are a literal map that the suffixes of a host are looked up in, so rows stay where they are.
     """
-    services = tables.profiles(df.sparkSession)
-    domains = services.select(F.explode("official_domains").alias("_suffix"), "ord")
-    hosts = df.select(F.col(host).alias("_host")).distinct()
-    found = hosts.withColumn("_suffix", F.explode(host_suffixes(F.col("_host")))).join(F.broadcast(domains), "_suffix").groupBy("_host").agg(F.min("ord").alias("ord"))
-    named = found.join(F.broadcast(services), "ord").select("_host", "ord", "service_id", "official_domains", "documented_data_categories")
-    return df.join(named, df[host] == named["_host"], "left").drop("_host")
+    first = {d: i for i, s in reversed(list(enumerate(services))) for d in s[3]}
+    texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    if not first:
+        return df.withColumns({"ord": F.lit(None).cast("int"), "service_id": F.lit(None).cast("string"), "official_domains": texts([]), "documented_data_categories": texts([])})
+    place = F.create_map(*[F.lit(v) for pair in first.items() for v in pair])
+    declared = F.array(*[F.struct(F.lit(s[0]).alias("service_id"), texts(s[3]).alias("official_domains"), texts(s[4]).alias("documented_data_categories")) for s in services])
+    placed = df.withColumn("ord", F.array_min(F.array_compact(F.transform(host_suffixes(F.col(host)), lambda h: place[h]))))
+    named = F.get(declared, F.col("ord"))
+    return placed.withColumns({n: named[n] for n in ("service_id", "official_domains", "documented_data_categories")})
 
 
 def is_under(host: Column, domains: Column) -> Column:
@@ -44,17 +47,22 @@ def observed_event(form: Column, page_domain: Column) -> Column:
     )
 
 
-def with_comparison(df: DataFrame, host: str = "page_domain", forms: str = "forms") -> DataFrame:
+def with_comparison(df: DataFrame, host: str = "page_domain", forms: str = "forms", url: str | None = None, services: list[tuple] = tables.PROFILES) -> DataFrame:
     """df with service_id, outcome, risk_modifier and comparison_reasons (in order of the forms).
 
-    Destinations that start with a slash are not looked at; one without an authority is on the page's host.
+    Destinations that start with a slash are not looked at; the others count as the page's url (https://host by
+    default) resolves them. One with a scheme and no host (javascript:, mailto:) has the empty host, which no service
+    has; a relative one on a page without host can't be resolved and isn't looked at.
     """
-    matched = match_profiles(df, host)
+    matched = match_profiles(df, host, services)
+    base = F.col(url) if url else F.concat(F.lit("https://"), F.col(host))
     page = F.col(host)
 
     def against(event: Column) -> Column:
-        target = F.when(urls.authority(event["destination"]) == "", page).otherwise(urls.host(event["destination"]))
-        away = ~event["destination"].startswith("/") & ~is_under(target, F.col("official_domains"))
+        place = event["destination"]
+        target = urls.host(urls.resolved(base, place))
+        known = (urls.scheme(place) != "") | (urls.authority(base) != "")
+        away = F.coalesce(known & (place != "") & ~place.startswith("/"), F.lit(False)) & ~is_under(target, F.col("official_domains"))
         extra = (event["data_category"] != "general") & ~F.array_contains("documented_data_categories", event["data_category"])
         return F.array_compact(F.array(F.when(away, F.concat(F.lit("DESTINATION_MISMATCH_"), target)), F.when(extra, F.concat(F.lit("UNDOCUMENTED_DATA_CATEGORY_"), event["data_category"]))))
 

@@ -15,8 +15,8 @@ from .registry import Registry
 
 register = Registry()
 
-_DOMAIN = "CASE event_id % 6 WHEN 0 THEN 'auth.bankone.com' WHEN 1 THEN 'www.PayPal.com' WHEN 2 THEN 'evil.example.org' WHEN 3 THEN 'accounts.google.com' WHEN 4 THEN 'notgoogle.com' ELSE 'login.microsoftonline.com' END"
-_ACTION = "CASE (event_id + k) % 5 WHEN 0 THEN '/login' WHEN 1 THEN 'https://auth.bankone.com/x' WHEN 2 THEN 'https://collect.example.net:8443/p' WHEN 3 THEN '' ELSE '//cdn.example.org/q' END"
+_DOMAIN = "CASE event_id % 6 WHEN 0 THEN 'auth.bankone.com' WHEN 1 THEN 'www.PayPal.com' WHEN 2 THEN 'evil.example.org' WHEN 3 THEN 'accounts.google.com' WHEN 4 THEN CASE WHEN event_type = 'view' THEN 'help.docs.example.com' ELSE 'notgoogle.com' END ELSE 'login.microsoftonline.com' END"
+_ACTION = "CASE (event_id + k) % 5 WHEN 0 THEN '/login' WHEN 1 THEN 'https://auth.bankone.com/x' WHEN 2 THEN 'https://collect.example.net:8443/p' WHEN 3 THEN CASE event_type WHEN 'error' THEN 'javascript:void(0)' WHEN 'click' THEN 'mailto:x@evil.example.org' WHEN 'signup' THEN 'next/step?user=' || user_id ELSE '' END ELSE '//cdn.example.org/q' END"
 _INPUT = {
     "input_type": "CASE event_id % 7 WHEN 0 THEN 'password' WHEN 1 THEN 'Email' WHEN 2 THEN 'tel' WHEN 3 THEN 'file' WHEN 4 THEN 'date' ELSE 'text' END",
     "name": "CASE event_id % 23 WHEN 0 THEN 'user_password' WHEN 1 THEN 'otp' WHEN 2 THEN 'security-code' WHEN 3 THEN 'card_number' WHEN 4 THEN 'Login' WHEN 5 THEN 'birth-date' WHEN 6 THEN 'iban' WHEN 7 THEN 'passport' WHEN 8 THEN 'zipcode' WHEN 9 THEN 'geo_lat' WHEN 10 THEN 'exp_month' WHEN 11 THEN 'pwd' WHEN 12 THEN 'e-mail' WHEN 13 THEN 'webcam' WHEN 14 THEN 'voice_record' WHEN 15 THEN 'cell' ELSE 'q' END",
@@ -148,7 +148,9 @@ def observed_events(spark, sf_dir):
     return df.withColumn("e", profiles.observed_event(F.col("f"), F.col("page_domain"))).select("event_id", (F.col("form") + 1).alias("form"), "e.*")
 
 
-_OFFICIAL = "official AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p[0]}', '{d}')" for i, p in enumerate(PROFILES) for d in p[3]) + ") AS v(ord, service_id, domain))"
+#: The declared services and one that documents no credentials.
+_SERVICES = [*PROFILES, ("docs", "Documents", "reference", ["docs.example.com"], ["search_terms"])]
+_OFFICIAL = "official AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p[0]}', '{d}')" for i, p in enumerate(_SERVICES) for d in p[3]) + ") AS v(ord, service_id, domain))"
 _MATCHED = f"m AS (SELECT event_id, {_DOMAIN} AS page_domain, (SELECT min(ord) FROM official WHERE lower({_DOMAIN}) = domain OR ends_with(lower({_DOMAIN}), '.' || domain)) AS ord FROM events)"
 
 
@@ -156,16 +158,16 @@ _MATCHED = f"m AS (SELECT event_id, {_DOMAIN} AS page_domain, (SELECT min(ord) F
 def profile_lookup(spark, sf_dir):
     """The first declared service that a host belongs to."""
     df = table(spark, sf_dir, "events").select("event_id", F.expr(_DOMAIN).alias("page_domain"))
-    return profiles.match_profiles(df, "page_domain").select("event_id", "page_domain", "service_id")
+    return profiles.match_profiles(df, "page_domain", _SERVICES).select("event_id", "page_domain", "service_id")
 
 
 @register(f"""WITH {_OFFICIAL}, {_MATCHED}, {_FORMS_SQL},
- t AS (SELECT f.event_id, f.k, m.ord, f.pw, f.xd, CASE WHEN action = '' OR NOT contains(action, '//') THEN f.page_domain ELSE lower(regexp_replace(regexp_extract(action, '//([^/?#]*)', 1), ':[0-9]*$', '')) END AS target, starts_with(CASE WHEN action = '' THEN f.page_domain ELSE action END, '/') AS skipped FROM f JOIN m ON f.event_id = m.event_id),
- r AS (SELECT event_id, string_agg(CASE WHEN NOT skipped AND NOT EXISTS (SELECT 1 FROM official o WHERE o.ord = t.ord AND (target = domain OR ends_with(target, '.' || domain))) THEN 'DESTINATION_MISMATCH_' || target END, ',' ORDER BY k) AS found, bool_or(pw) AND bool_or(xd) AS deceptive FROM t GROUP BY 1),
- q AS (SELECT m.event_id, m.ord, found, coalesce(deceptive, false) AS deceptive FROM m LEFT JOIN r ON m.event_id = r.event_id)
- SELECT event_id, CASE WHEN ord IS NULL AND deceptive THEN 'DECEPTIVE_INDICATOR' WHEN ord IS NULL THEN 'UNKNOWN' WHEN found IS NOT NULL THEN 'IDENTITY_MISMATCH' ELSE 'EXPECTED' END AS outcome,
- CASE WHEN ord IS NULL AND deceptive THEN 0.35 WHEN ord IS NULL THEN 0.0 WHEN found IS NOT NULL THEN 0.4 ELSE -0.2 END::DOUBLE AS risk_modifier,
+ t AS (SELECT f.event_id, f.k, m.ord, f.pw, f.otp, f.xd, CASE WHEN regexp_matches(action, '^(javascript|mailto):') THEN '' WHEN NOT contains(action, '//') THEN lower(f.page_domain) ELSE lower(regexp_replace(regexp_extract(action, '//([^/?#]*)', 1), ':[0-9]*$', '')) END AS target, starts_with(CASE WHEN action = '' THEN f.page_domain ELSE action END, '/') AS skipped FROM f JOIN m ON f.event_id = m.event_id),
+ r AS (SELECT event_id, string_agg(concat_ws(',', CASE WHEN away THEN 'DESTINATION_MISMATCH_' || target END, CASE WHEN ord = 4 AND (pw OR otp) THEN 'UNDOCUMENTED_DATA_CATEGORY_credentials' END), ',' ORDER BY k) FILTER (away OR (ord = 4 AND (pw OR otp))) AS found, coalesce(bool_or(away), false) AS mismatch, bool_or(pw) AND bool_or(xd) AS deceptive FROM (SELECT *, NOT skipped AND NOT EXISTS (SELECT 1 FROM official o WHERE o.ord = t.ord AND (target = domain OR ends_with(target, '.' || domain))) AS away FROM t) GROUP BY 1),
+ q AS (SELECT m.event_id, m.ord, found, coalesce(mismatch, false) AS mismatch, coalesce(deceptive, false) AS deceptive FROM m LEFT JOIN r ON m.event_id = r.event_id)
+ SELECT event_id, CASE WHEN ord IS NULL AND deceptive THEN 'DECEPTIVE_INDICATOR' WHEN ord IS NULL THEN 'UNKNOWN' WHEN mismatch THEN 'IDENTITY_MISMATCH' WHEN found IS NOT NULL THEN 'POSSIBLY_EXCESSIVE' ELSE 'EXPECTED' END AS outcome,
+ CASE WHEN ord IS NULL AND deceptive THEN 0.35 WHEN ord IS NULL THEN 0.0 WHEN mismatch THEN 0.4 WHEN found IS NOT NULL THEN 0.2 ELSE -0.2 END::DOUBLE AS risk_modifier,
  CASE WHEN ord IS NULL AND deceptive THEN 'UNKNOWN_DOMAIN_COLLECTING_CREDENTIALS_CROSS_ORIGIN' WHEN ord IS NULL THEN 'SERVICE_PROFILE_UNREGISTERED' WHEN found IS NOT NULL THEN found ELSE 'MATCHES_DECLARED_SERVICE_PROFILE' END AS reasons FROM q""")
 def compare_behavior(spark, sf_dir):
     """D9 to D11, J6, J7."""
-    return profiles.with_comparison(_collections(spark, sf_dir)).select("event_id", "outcome", "risk_modifier", F.array_join("comparison_reasons", ",").alias("reasons"))
+    return profiles.with_comparison(_collections(spark, sf_dir), services=_SERVICES).select("event_id", "outcome", "risk_modifier", F.array_join("comparison_reasons", ",").alias("reasons"))

@@ -60,13 +60,57 @@ def privacy_gate(spark, sf_dir):
     return _bodies(spark, sf_dir).select("event_id", privacy.has_forbidden_key(F.col("body")).alias("rejected"))
 
 
-@register(f"SELECT event_id, coalesce(list_has_any(CASE WHEN json_valid(body) THEN json_keys(body) END, [{_NAMES}]), false) AS rejected FROM (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '{{\"value\":1}}' WHEN event_id % 6 = 1 THEN '{{\"Value\":1,\"x\":{{\"secret\":2}}}}' ELSE {_BODY} END AS body FROM events)")
+_ITEMS = f"""CASE WHEN value < 2 THEN '{{"forms":[{{"value":1}}]}}' WHEN value < 4 THEN '{{"forms":[1,null],"inputs":[{{"Value":1}},{{"otp_value":"' || event_type || '"}}]}}' WHEN value < 6 THEN '{{"pin_value":1,"value":2,"forms":{{"value":1}}}}'
+ WHEN value < 8 THEN '{{"inputs":[[{{"value":1}}],"value",{{"pin_value":1,"card_value":2}}]}}' WHEN value < 10 THEN '{{"forms":[{{"x":{{"secret":1}}}}],"scripts":[{{"secret":1}}]}}' WHEN event_type = 'error' THEN '{{"inputs":[{{"sec' || chr(92) || 'u0072et":{{}}}}]}}' ELSE {_BODY} END"""
+_ITEM_NAMES = ", ".join(f"'{k}'" for k in privacy.FORBIDDEN_ITEM_KEYS)
+_ITEM_HIT = " OR ".join(f"coalesce(list_has_any(flatten(list_transform(CASE WHEN json_type(j, '$.{n}') = 'ARRAY' THEN (j->'$.{n}')::JSON[] ELSE [] END, lambda i: CASE WHEN json_type(i) = 'OBJECT' THEN json_keys(i) ELSE [] END)), [{_ITEM_NAMES}]), false)" for n in privacy.ITEM_LISTS)
+
+
+@register(f"SELECT event_id, ({_ITEM_HIT}) AS rejected FROM (SELECT event_id, CASE WHEN json_valid(body) THEN body END::JSON AS j FROM (SELECT event_id, {_ITEMS} AS body FROM events))")
 def item_gate(spark, sf_dir):
-    """A forbidden key of the item itself, in that very case."""
-    items = table(spark, sf_dir, "events").selectExpr("event_id", f"CASE WHEN event_id % 6 = 0 THEN '{{\"value\":1}}' WHEN event_id % 6 = 1 THEN '{{\"Value\":1,\"x\":{{\"secret\":2}}}}' ELSE {_BODY} END AS body")
+    """A forbidden key of an item of forms or inputs, in that very case."""
+    items = table(spark, sf_dir, "events").selectExpr("event_id", f"{_ITEMS} AS body")
     return items.select("event_id", privacy.has_forbidden_item_key(F.col("body")).alias("rejected"))
 
 
+_NESTED = "named_struct('text', text, 'meta', named_struct('role', role, 'turn', turn, 'lines', split(text, '\\\\n'), 'extra', map('note', concat('password: ', role), 'code=1', concat('otp = ', conv_id, ', x'))), 'parts', array(named_struct('name', 'url', 'value', concat('/p?user=', role, '&q=', turn, '&token=', conv_id)), named_struct('name', 'secret=1', 'value', cast(null as string))))"
+_NESTED_SQL = "json_object('text', text, 'meta', json_object('role', role, 'turn', turn, 'lines', string_split(text, chr(10)), 'extra', json_object('note', 'password: ' || role, 'code=1', 'otp = ' || conv_id || ', x')), 'parts', json_array(json_object('name', 'url', 'value', '/p?user=' || role || '&q=' || turn || '&token=' || conv_id), json_object('name', 'secret=1', 'value', NULL)))"
+_LEAVES = f"WITH d AS (SELECT conv_id, turn, {_NESTED_SQL} AS j FROM conversations), t AS (SELECT conv_id, turn, unnest(json_each.leaves) AS leaf FROM d, LATERAL (SELECT list({{'path': replace(fullkey, chr(34), ''), 'value': atom ->> '$'}}) AS leaves FROM json_tree(d.j) WHERE type = 'VARCHAR') json_each) SELECT conv_id, turn, leaf.path AS path, {_redacted('leaf.value')} AS value FROM t"
+
+
+def _leaves(value, kind, path):
+    """(path, value) of each text in a value of a type, as an array column."""
+    from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+
+    if isinstance(kind, StringType):
+        return F.array(F.struct(path.alias("path"), value.alias("value")))
+    if isinstance(kind, ArrayType):
+        return F.flatten(F.transform(value, lambda v, i: _leaves(v, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    if isinstance(kind, MapType):
+        return F.flatten(F.transform(F.map_entries(value), lambda e: _leaves(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"]))))
+    if isinstance(kind, StructType):
+        return F.concat(*[_leaves(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+    return F.array().cast("array<struct<path:string,value:string>>")
+
+
+@register(_LEAVES)
+def redact_payload(spark, sf_dir):
+    """Every text of a payload of structs, arrays and maps, at three depths; keys stay. A row for each text."""
+    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NESTED).alias("p"))
+    kind = docs.schema["p"].dataType
+    shown = docs.withColumn("p", privacy.redacted_value(F.col("p"), kind)).select("conv_id", "turn", F.inline(_leaves(F.col("p"), kind, F.lit("$"))))
+    return shown.filter("value IS NOT NULL")
+
+
+@register(_LEAVES)
+def redact_json(spark, sf_dir):
+    """C5 over payloads that come as JSON texts without a schema."""
+    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NESTED).alias("p"))
+    kind = docs.schema["p"].dataType
+    back = F.from_json(privacy.redacted_json(F.to_json("p")), kind)
+    return docs.select("conv_id", "turn", F.inline(_leaves(back, kind, F.lit("$")))).filter("value IS NOT NULL")
+
+
 @register("SELECT event_id, (contains(body, 'victim_user') OR contains(body, 'SuperSecretPassword123!') OR contains(body, '998877')) AS tripped FROM (SELECT event_id, " + _BODY + " AS body FROM events)")
 def payload_tripwire(spark, sf_dir):
     """C6."""

@@ -33,14 +33,17 @@ def page_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter("url IS NOT NULL").select("page_id", urls.page_domain(url).alias("domain"), (urls.scheme(url) == "https").alias("is_https"))
 
 
-_MESSAGE = """'{"schemaVersion":"' || CASE WHEN event_id % 7 = 0 THEN '2.0.0' ELSE '3.0.0' END || '","collectionId":' || CASE WHEN event_id % 5 = 0 THEN '' || event_id ELSE '"c' || event_id || '"' END || ',"timestamp":"' || event_type || '","forms":[],"inputs":' || CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '[{"a":1}]' END || ',"scripts":[1,"x"],"redirects":[]' || CASE WHEN event_id % 4 = 0 THEN '' ELSE ',"requestedDataTypes":["EMAIL"]' END || '}'"""
+_MESSAGE = """'{"schemaVersion":' || CASE user_id % 13 WHEN 0 THEN '"2.0.0"' WHEN 1 THEN '3' ELSE '"3.0.0"' END || ',"collectionId":' || CASE event_type WHEN 'error' THEN '' || user_id ELSE '"c' || event_id || '"' END
+ || ',"timestamp":' || CASE WHEN event_type = 'click' AND value > 20 THEN '"' || user_id || '"' WHEN value > 90 THEN '1.5' ELSE '' || user_id END
+ || ',"page":' || CASE user_id % 7 WHEN 0 THEN 'null' WHEN 1 THEN '[]' WHEN 2 THEN '"/p"' ELSE '{"url":"/' || event_type || '"}' END || ',"forms":[],"inputs":' || CASE WHEN value < 3 THEN '{}' ELSE '[{"a":1}]' END
+ || ',"scripts":[1,"x"],"requests":[]' || CASE WHEN event_type = 'signup' AND value > 30 THEN '' ELSE ',"relationships":[{"sourceId":"p"}]' END || CASE WHEN value > 60 THEN ',"requestedDataTypes":{}' ELSE '' END || '}'"""
 _ARRAYS = " AND ".join(f"coalesce(json_type(m, '$.{n}') = 'ARRAY', false)" for n in messages.LISTS)
-_STRINGS = " AND ".join(f"coalesce(json_type(m, '$.{n}') = 'VARCHAR', false)" for n in messages.TEXTS)
+_KINDS = "coalesce(json_type(m, '$.schemaVersion') = 'VARCHAR' AND m->>'$.schemaVersion' = '3.0.0' AND json_type(m, '$.collectionId') = 'VARCHAR' AND json_type(m, '$.timestamp') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(m, '$.page') IN ('OBJECT', 'ARRAY'), false)"
 
 
-@register(f"SELECT event_id, (coalesce(m->>'$.schemaVersion' = '3.0.0', false) AND {_STRINGS} AND {_ARRAYS}) AS valid FROM (SELECT event_id, ({_MESSAGE})::JSON AS m FROM events)")
+@register(f"SELECT event_id, ({_KINDS} AND {_ARRAYS}) AS valid FROM (SELECT event_id, ({_MESSAGE})::JSON AS m FROM events)")
 def message_guard(spark, sf_dir):
-    """Version, texts and lists of messages."""
+    """Version, id, time, page and lists of messages made from whole events."""
     return table(spark, sf_dir, "events").selectExpr("event_id", f"{_MESSAGE} AS body").select("event_id", messages.valid_message(F.col("body")).alias("valid"))
 
 
