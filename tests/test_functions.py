@@ -100,6 +100,8 @@ def test_forms(spark):
     got = {(r.page_id, r.form_no): r for r in html_forms.with_types(html_forms.forms(df)).collect()}
     assert got.keys() == {(1, 0), (2, 0)}
     assert got[1, 0].types == ["EMAIL", "PASSWORD", "OTP"] and got[1, 0].method == "POST" and got[1, 0].inputs[2].input_type == "textarea"
+    only = html_forms.forms(spark.createDataFrame([(1, "<select name=otp></select><textarea name=otp></textarea>"), (2, "<script><form></script><!-- <input> --><INPUT NAME=a>")], "page_id int, html string")).collect()
+    assert [(r.page_id, r.action, [i.name for i in r.inputs]) for r in only] == [(2, "", ["a"])]
     assert got[2, 0].types == ["PAYMENT_CARD"] and got[2, 0].inputs[0].input_type == "text"
 
 
@@ -294,3 +296,51 @@ def test_grid_and_saved_models(spark, tmp_path):
     again = learning.load_model(str(tmp_path / "m"))
     scores = [[r.score for r in learning.predicted(m, data).orderBy("k").collect()] for m in (model, again)]
     assert scores[0] == scores[1]
+
+
+def test_match_patterns(spark):
+    from tidewatch.operators import match_patterns
+
+    cases = {  # pattern: numbers of the urls that it fits
+        "<all_urls>": {0, 1, 2, 3, 4, 5, 6}, "*://*/*": {0, 1, 2, 3}, "https://a.org/*": {0}, "*://*.a.org/x/*": {0, 1}, "*://a.org": {2}, "*://a.org/": {2}, "http://b.a.org:8080/*": set(), "*://*.org/x/y": {0}, "ftp://*/*": {4},
+        "*://A.org/*": set(), "a.org/*": set(), "x://y://z": set(), "*://xa.org/*": {3}, "file://*/*": {5}, "https://a.org/x/y*": {0}, "": set(),
+    }
+    found = ["https://a.org/x/y?q=1", "http://B.a.org:8080/x/#f", "http://user@a.org", "https://xa.org/", "ftp://a.org/x", "file:///a", "no url", None]
+    pages = spark.createDataFrame([(i, u, "rule") for i, u in enumerate(found)], "i int, url string, rule string")
+    patterns = spark.createDataFrame([(p,) for p in [*cases, None, "<all_urls>"]], "pattern string")
+    got = {p: set() for p in cases}
+    for r in match_patterns.matches(pages, patterns).collect():
+        assert r.i not in got[r.pattern]
+        got[r.pattern].add(r.i)
+    assert got == cases
+    assert match_patterns.matches(pages.limit(0), patterns).collect() == [] and match_patterns.matches(pages, patterns.limit(0)).collect() == []
+
+
+def test_path_findings(spark):
+    from tidewatch.operators import store
+
+    frame = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    got = store.path_findings(frame("a/b", "a/bc", "x", "docs/1/y", "docs/10", "a/b"), frame("a/b", "gone", "gone"), frame("docs/1", "a/b", "", None)).collect()
+    assert sorted(map(tuple, got)) == [("a/bc", "approved"), ("docs/1/y", "approved"), ("docs/10", "approved"), ("gone", "missing"), ("x", "unexpected")]
+    got = store.path_findings(frame("x"), frame(), frame()).collect()
+    assert sorted(map(tuple, got)) == [("x", "unexpected")]
+
+
+def test_import_graph(spark):
+    from tidewatch.operators import imports
+
+    text = {
+        "/s/a.js": "import b from './b.js'\nimport(\"./c\")\nimport { x,\n y } from \"../t\"; import 'side'; import * as z from `no`",
+        "/s/b.js": "const k = await import( './a.js' ); important('./x.js')", "/s/c.mjs": "import '../t/index.js'", "/t/index.js": "", "/lone.js": "import './gone'", "/null.js": None,
+    }
+    files = spark.createDataFrame(list(text.items()), "path string, text string")
+    edges = imports.import_edges(files)
+    got = [tuple(r) for r in edges.orderBy("base", "turn").collect()]
+    assert got == [
+        ("/lone.js", 0, "./gone", False, False, "/gone"), ("/s/a.js", 0, "./b.js", False, True, "/s/b.js"), ("/s/a.js", 1, "../t", False, True, "/t/index.js"), ("/s/a.js", 2, "side", True, True, "side"),
+        ("/s/a.js", 3, "./c", False, True, "/s/c.mjs"), ("/s/b.js", 0, "./a.js", False, True, "/s/a.js"), ("/s/c.mjs", 0, "../t/index.js", False, True, "/t/index.js"),
+    ]
+    inside = edges.filter("resolvable AND NOT is_external")
+    from_b = imports.reachable(inside, spark.createDataFrame([("/s/b.js",)], "path string"))
+    assert {r.path: r.round for r in from_b.collect()} == {"/s/b.js": 0, "/s/a.js": 1, "/s/c.mjs": 2, "/t/index.js": 2}
+    assert imports.reachable(inside, spark.createDataFrame([], "path string")).collect() == []

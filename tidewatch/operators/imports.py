@@ -2,15 +2,54 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
 
+# Fixed values that results depend on: import statements and import calls; what they name is their group.
+STATEMENT = r"""import\s+(?:[^"'`]+?\s+from\s+)?["']([^"']+)["']"""
+CALL = r"""import\(\s*["']([^"']+)["']\s*\)"""
 # Fixed values that results depend on: what is added to a relative specifier, in the order in which files are tried.
 ENDINGS = ["", ".js", ".mjs", "/index.js"]
 
 
+def import_specifiers(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, turn, specifier): what each source imports, its statements in order, then its calls in order."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(1)), F.regexp_extract_all(text, F.lit(CALL), F.lit(1)))
+    return sources.select(path, F.posexplode(found).alias("turn", "specifier"))
+
+
+def import_edges(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(base, turn, specifier, is_external, resolvable, path) of every import of the sources, resolved among them."""
+    found = import_specifiers(sources, path, text).select(F.concat(path, F.lit(chr(0)), F.col("turn").cast("string")).alias("_import"), F.col(path).alias("base"), "turn", "specifier")
+    return resolved_imports(found, sources.select(path).distinct(), "_import", path=path).drop("_import")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, source: str = "base", target: str = "path", most_rounds: int = 10_000) -> DataFrame:
+    """(target, round) of all that can be reached from roots (target) over edges, and in how many steps.
+
+    A round joins only what the one before found; each is a checkpoint, so plans stay short and a lost executor costs a
+    round. Rounds are as many as the longest shortest path; only their row counts reach the driver.
+    """
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    steps = edges.select(F.col(source).alias("_from"), F.col(target)).distinct().checkpoint()
+    seen = frontier = roots.select(target).distinct().withColumn("round", F.lit(0)).checkpoint()
+    for n in range(1, most_rounds + 1):
+        ahead = frontier.select(F.col(target).alias("_from")).join(steps, "_from").select(target).distinct()
+        frontier = ahead.join(seen, target, "left_anti").withColumn("round", F.lit(n)).checkpoint()
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier).checkpoint() if n % 10 == 0 else seen.union(frontier)
+    raise RuntimeError(f"still new ones after {most_rounds} rounds")
+
+
 def resolved_imports(found: DataFrame, files: DataFrame, key: str, base: str = "base", specifier: str = "specifier", path: str = "path") -> DataFrame:
     """found (key: unique; base: absolute path of the importing file) with is_external, resolvable and path.
 

@@ -60,5 +60,21 @@ def checksum_errors(files: DataFrame, sums: DataFrame, path: str, hash_: str) ->
     return files.join(listed, path).filter(F.col(hash_) != F.col("listed"))
 
 
+def path_findings(found: DataFrame, expected: DataFrame, approved: DataFrame, path: str = "path") -> DataFrame:
+    """(path, finding): expected paths that aren't found are missing; found ones that aren't expected are approved where they begin with an approved text, else unexpected.
+
+    A path meets the approved texts by an equi-join of its beginnings, one for each length that approved texts have
+    (these lengths, at most as many as the longest path has characters, are all that the driver sees).
+    """
+    approved = approved.select(F.col(path).alias("_begin")).filter(F.length("_begin") > 0).distinct()
+    lengths = sorted(r[0] for r in approved.select(F.length("_begin")).distinct().collect())
+    missing = expected.select(path).distinct().join(found.select(path), path, "left_anti").withColumn("finding", F.lit("missing"))
+    others = found.select(path).distinct().join(expected.select(path), path, "left_anti")
+    begins = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    known = others.select(path, F.explode(F.array_compact(begins)).alias("_begin")).join(approved, "_begin", "left_semi").select(path)
+    told = others.join(known, path, "left_anti").withColumn("finding", F.lit("unexpected")).unionByName(known.distinct().withColumn("finding", F.lit("approved")))
+    return missing.unionByName(told)
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import classifier
 from tidewatch.operators import decisions, profiles
+from tidewatch.sources import html_forms
 from tidewatch.sources.tables import PROFILES, table
 
 from .registry import Registry
@@ -171,3 +172,30 @@ def profile_lookup(spark, sf_dir):
 def compare_behavior(spark, sf_dir):
     """D9 to D11, J6, J7."""
     return profiles.with_comparison(_collections(spark, sf_dir), services=_SERVICES).select("event_id", "outcome", "risk_modifier", F.array_join("comparison_reasons", ",").alias("reasons"))
+
+
+#: Forms rendered into the html of pages, which have none, by the page's number: what is put before </body>, or at the end.
+_RENDERED = """CASE page_id % 6 WHEN 0 THEN '<div><input type="password" name="pin' || page_id || '"><select name="iban"></select><INPUT name=passport></div>'
+ WHEN 1 THEN '<form action="https://collect.example.net/' || page_id || '" method="post"><div><input type="Email" name="mail" autocomplete="username"><textarea name="zipcode"></textarea></div></form><input name="otp">'
+ WHEN 2 THEN '<form><label>Card<input name="card number" type=tel /></label><select id="cvv code"></select></form><!-- <form> --><form action="/login?p=' || page_id || '"><p><input type=password required value="never read"><input type="text" autocomplete="one-time-code" aria-label="sms code"></p></form>'
+ WHEN 3 THEN '<script>var f = "<form><input name=otp>"</script>' WHEN 4 THEN '<form action="/q">no field</form><textarea name="otp"></textarea>' ELSE '' END"""
+#: The rows that these forms hold: page_id % 6, form, action, method, input, type, name, id, autocomplete, label.
+_HELD = """(VALUES (0, 0, '', 'GET', 0, 'password', 'pin' || page_id, '', '', ''), (0, 0, '', 'GET', 1, 'text', 'passport', '', '', ''), (1, 0, 'https://collect.example.net/' || page_id, 'POST', 0, 'Email', 'mail', '', 'username', ''),
+ (1, 0, 'https://collect.example.net/' || page_id, 'POST', 1, 'textarea', 'zipcode', '', '', ''), (2, 0, '', 'GET', 0, 'tel', 'card number', '', '', ''), (2, 0, '', 'GET', 1, 'select', '', 'cvv code', '', ''),
+ (2, 1, '/login?p=' || page_id, 'GET', 0, 'password', '', '', '', ''), (2, 1, '/login?p=' || page_id, 'GET', 1, 'text', '', '', 'one-time-code', 'sms code'), (4, 0, '/q', 'GET', NULL, NULL, NULL, NULL, NULL, NULL))"""
+
+
+@register(f"""WITH i AS (SELECT page_id, v.* FROM pages, LATERAL {_HELD} v(k, form_no, action, method, input_no, input_type, name, id_attribute, autocomplete, label) WHERE page_id % 6 = k),
+ t AS (SELECT *, [{', '.join(f"CASE WHEN {_rule(c)} THEN '{c}' END" for c in classifier.CATEGORIES)}] AS all_types FROM (SELECT *, trim(lower(input_type)) AS t, lower(name) || ' ' || lower(id_attribute) || '  ' || lower(label) AS w, autocomplete AS a, '' AS c, '' AS x FROM i)),
+ k AS (SELECT *, {_KEPT} AS types FROM t)
+ SELECT page_id, form_no::BIGINT AS form_no, action, method, input_no::BIGINT AS input_no, input_type, name, CASE WHEN input_no IS NOT NULL THEN array_to_string(types, ',') END AS types,
+ coalesce(bool_or(t = 'password' OR list_contains(types, 'PASSWORD')) OVER f, false) AS form_has_password, coalesce(bool_or(t = 'one-time-code' OR list_contains(types, 'OTP')) OVER f, false) AS form_has_otp FROM k WINDOW f AS (PARTITION BY page_id, form_no)""")
+def form_inputs(spark, sf_dir):
+    """S9, S10, X-5, A10, A11, K1 to K17: page to form to input out of whole html, with each input's data types; a page without forms has its inputs in one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.expr(_RENDERED).alias("more"))
+    cut = F.instr("html", "</body>")
+    whole = F.when(cut > 0, F.concat(F.expr("left(html, instr(html, '</body>') - 1)"), "more", F.expr("substring(html, instr(html, '</body>'))"))).otherwise(F.concat(F.coalesce("html", F.lit("")), "more"))
+    found = html_forms.with_types(html_forms.forms(pages.select("page_id", whole.alias("html"))))
+    each = found.select("page_id", "form_no", "action", "method", F.col("has_password").alias("form_has_password"), F.col("has_otp").alias("form_has_otp"), F.posexplode_outer("inputs").alias("input_no", "i"))
+    types = classifier.data_types(F.col("i.input_type"), F.col("i.name"), F.col("i.id_attribute"), F.col("i.autocomplete"), F.col("i.placeholder"), F.col("i.label"), F.col("i.accept"), F.col("i.capture"))
+    return each.select("page_id", "form_no", "action", "method", "input_no", "i.input_type", "i.name", F.when(F.col("i").isNotNull(), F.array_join(types, ",")).alias("types"), "form_has_password", "form_has_otp")

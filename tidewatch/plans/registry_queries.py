@@ -96,3 +96,18 @@ def display_format(spark, sf_dir):
     asked = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type", F.col("user_id").cast("string")))
     shown = F.when(F.size(asked) == 0, "None detected").otherwise(F.array_join(asked, ", "))
     return table(spark, sf_dir, "events").select("event_id", F.upper(F.replace("event_type", F.lit("_"), F.lit(" "))).alias("level"), F.round("value", 2).alias("score"), F.round("value").cast("long").alias("percent"), shown.alias("categories"))
+
+
+_PATH = "p_brand || '/' || p_type || '/' || p_size || '/' || p_partkey || '.csv'"
+
+
+@register(f"""WITH f AS (SELECT DISTINCT {_PATH} AS path FROM part WHERE p_partkey % 3 > 0), e AS (SELECT DISTINCT {_PATH} AS path FROM part WHERE p_partkey % 3 < 2),
+ a AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || (p_size // 10) AS begin FROM part WHERE p_retailprice < 1000 UNION SELECT '')
+ SELECT path, 'missing' AS finding FROM e WHERE path NOT IN (SELECT path FROM f)
+ UNION ALL SELECT path, CASE WHEN EXISTS (SELECT 1 FROM a WHERE begin <> '' AND starts_with(path, begin)) THEN 'approved' ELSE 'unexpected' END FROM f WHERE path NOT IN (SELECT path FROM e)""")
+def path_approvals(spark, sf_dir):
+    """Missing, approved by the beginning of a path (any text, as 'a/b/1' approves 'a/b/12/x'), unexpected."""
+    part = table(spark, sf_dir, "part")
+    paths = part.select("p_partkey", F.expr(_PATH).alias("path"))
+    approved = part.filter("p_retailprice < 1000").select(F.expr("p_brand || '/' || p_type || '/' || (p_size div 10)").alias("path")).union(spark.createDataFrame([("",)], "path string"))
+    return store.path_findings(paths.filter("p_partkey % 3 > 0").select("path"), paths.filter("p_partkey % 3 < 2").select("path"), approved)

@@ -16,7 +16,7 @@ SCHEMA = "form_no int, action string, method string, inputs array<struct<input_t
 
 
 class _Collector(HTMLParser):
-    """Attributes only, never values. An input outside every form counts only where a page has no form at all."""
+    """Attributes only, never values. An input (no select, no textarea) outside every form counts only where a page has no form at all."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -36,7 +36,7 @@ class _Collector(HTMLParser):
             rest = dict(zip(names, values, strict=True))
             if self.open is not None:
                 self.open["inputs"].append({"input_type": kind or tag, **rest})
-            else:
+            elif tag == "input":
                 self.orphans.append({"input_type": kind or "text", **rest})
 
     def handle_endtag(self, tag: str) -> None:

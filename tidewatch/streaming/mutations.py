@@ -38,3 +38,69 @@ def ingest(bodies: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     from tidewatch.sources.tables import payloads
 
     return bodies.writeStream.foreachBatch(lambda df, n: sink(observations(payloads(df), "key"), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# Fixed values that results depend on: what makes a page collect evidence while it loads.
+LOADING = ["document_start", "DOMContentLoaded", "load"]
+
+
+def collection_cycles(loads: DataFrame, loading: str = "loading") -> DataFrame:
+    """A row for each collection of a page load, with trigger: the first at once, and two more where the document was still loading. Each is scored and completes on its own."""
+    triggers = F.when(F.coalesce(F.col(loading), F.lit(False)), F.array(*map(F.lit, LOADING))).otherwise(F.array(F.lit(LOADING[0])))
+    return loads.select("*", F.posexplode(triggers).alias("cycle", "trigger"))
+
+
+def in_completion_order(started: DataFrame, key: str, time: str, completed: str, value: str, late: str = "1 minute") -> DataFrame:
+    """A stream of started work to (key, completed, value) as it completes, whatever the order it was started in.
+
+    Work waits in the state of its key until the watermark of its start times passes its completion; a timer wakes the
+    key then. State is the work under way and goes as it completes. key: long, value: long or text.
+    """
+    kinds = dict(started.dtypes)
+
+    def run(name, frames, state):
+        waiting = list(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += [f"{c.value // 1000:020d} {v}" for c, v in zip(frame[completed], frame[value], strict=True)]
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        done = [w.split(" ", 1) for w in waiting if int(w[:20]) <= now * 1000]
+        waiting = waiting[len(done) :]
+        if waiting:
+            state.update((waiting,))
+            state.setTimeoutTimestamp(max(now + 1, -(-int(waiting[0][:20]) // 1000)))
+        elif state.exists:
+            state.remove()
+        if done:
+            values = pd.Series([v for _, v in done]).astype("int64" if kinds[value] == "bigint" else "object")
+            yield pd.DataFrame({key: [name[0]] * len(done), completed: pd.to_datetime([int(c) for c, _ in done], unit="us"), value: values})
+
+    import pandas as pd
+
+    timed = started.withWatermark(time, late).select(key, time, completed, value)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {completed} timestamp, {value} {kinds[value]}", "waiting array<string>", "append", "EventTimeTimeout")
+
+
+def switched(arrivals: DataFrame, key: str, time: str, change: str) -> DataFrame:
+    """A stream of rows of which some switch their key on or off (change: true or false, null for the others) to the others, with ready: how the switch stood when they arrived.
+
+    Within a micro-batch rows count by time; a key starts switched off. The state of a key is its switch.
+    """
+    import pandas as pd
+
+    names = [c for c in arrivals.columns if c != change]
+
+    def run(_, frames, state):
+        ready = state.get[0] if state.exists else False
+        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        stands = []
+        for turned in rows[change]:
+            ready = ready if pd.isna(turned) else bool(turned)
+            stands.append(ready)
+        state.update((ready,))
+        rows["ready"] = stands
+        yield rows[rows[change].isna()][[*names, "ready"]]
+
+    kinds = dict(arrivals.dtypes)
+    return arrivals.groupBy(key).applyInPandasWithState(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ready boolean", "ready boolean", "append", "NoTimeout")
