@@ -344,3 +344,59 @@ def test_import_graph(spark):
     from_b = imports.reachable(inside, spark.createDataFrame([("/s/b.js",)], "path string"))
     assert {r.path: r.round for r in from_b.collect()} == {"/s/b.js": 0, "/s/a.js": 1, "/s/c.mjs": 2, "/t/index.js": 2}
     assert imports.reachable(inside, spark.createDataFrame([], "path string")).collect() == []
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    from tidewatch.sources import snapshots
+
+    tree = {"a.txt": b"one", "sub/b.bin": bytes(range(256)), "sub/deep/c.TXT": b"\x00", "node_modules/x.js": b"no", "sub/prod.Env": b"no", "sub/d.log": b"no", "dist.md": b"no"}
+    for name, data in tree.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    patterns = ["node_modules", ".env", "*.log", "d?st"]
+    files = snapshots.file_tree(spark, f"{tmp_path}/in", patterns)
+    kept = {"a.txt", "sub/b.bin", "sub/deep/c.TXT"}
+    assert {r.path for r in files.collect()} == kept == {r.path for r in snapshots.file_tree(spark, f"file://{tmp_path}/in/", patterns, content=False).collect()}
+    assert snapshots.file_tree(spark, f"{tmp_path}/in").count() == len(tree)
+    target = f"{tmp_path}/out"
+    snapshots.write_snapshot(files, target, {"backup_id": "b1", "reason": "x = y"})
+    assert snapshots.read_manifest(spark, target) == {"backup_id": "b1", "reason": "x = y", "file_count": "3"}
+    import hashlib
+
+    assert {r.path: r.sha256 for r in snapshots.read_checksums(spark, target).collect()} == {p: hashlib.sha256(tree[p]).hexdigest() for p in kept}
+    assert {r.path: bytes(r.content) for r in spark.read.parquet(f"{target}/files").collect()} == {p: tree[p] for p in kept}
+    assert snapshots.verified_snapshot(spark, target).collect() == []
+    # one file corrupted, one lost, one added
+    stored = spark.read.parquet(f"{target}/files")
+    broken = stored.filter("path <> 'sub/deep/c.TXT'").withColumn("content", F.when(F.col("path") == "a.txt", F.lit(b"0ne")).otherwise(F.col("content")))
+    broken = broken.union(spark.createDataFrame([("new", 1, "", bytearray(b"n"))], stored.schema))
+    snapshots.write_snapshot(broken, f"{tmp_path}/broken", {})
+    (tmp_path / "broken" / "old").mkdir()
+    spark.read.text(f"{target}/checksums-sha256.txt").write.mode("overwrite").text(f"{tmp_path}/broken/checksums-sha256.txt")
+    assert sorted(map(tuple, snapshots.verified_snapshot(spark, f"{tmp_path}/broken").collect())) == [("a.txt", "corrupted"), ("new", "unlisted"), ("sub/deep/c.TXT", "missing")]
+    plan = snapshots.restore_plan(stored, spark.createDataFrame([("a.txt",), ("else",)], "path string"))
+    assert sorted(map(tuple, plan.collect())) == [("a.txt", "OVERWRITE"), ("sub/b.bin", "CREATE"), ("sub/deep/c.TXT", "CREATE")]
+
+
+def test_csv_splits_read_back(spark, tmp_path):
+    rows = [(i, f"h{i % 7}", ["train"] if i % 2 else ["test", "late"] if i % 3 else []) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, host string, splits array<string>")
+    path = f"{tmp_path}/splits"
+    tables.write_csv_splits(df, path)
+    for split in ("train", "test", "late"):
+        back = tables.read_csv_split(spark, path, split, "id long, host string")
+        assert sorted(map(tuple, back.collect())) == sorted((i, h) for i, h, s in rows if split in s)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(split" in plan and back.columns == ["id", "host"]
+    with pytest.raises(ValueError, match="no rows in split none"):
+        tables.read_csv_split(spark, path, "none", "id long, host string")
+
+
+def test_counted_ids(spark):
+    from tidewatch.operators import ids
+
+    df = spark.range(0, 5000, 1, 7).select("id", F.expr("timestamp_millis((id * 7919) % 5000 + 1735689600000)").alias("ts"))
+    got = ids.timed_ids(df, F.lit("form"), "ts", "id", name="name").orderBy("ts", "id").collect()
+    assert [r.name.split("-")[2] for r in got] == [str(i + 1) for i in range(5000)]
+    assert got[0].name.startswith("form-") and int(got[0].name.split("-")[1], 36) == 1735689600000
+    assert ids.counted(df.limit(0), "ts").collect() == []

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
 
+from .lineage import cut
+
 # Fixed values that results depend on: import statements and import calls; what they name is their group.
 STATEMENT = r"""import\s+(?:[^"'`]+?\s+from\s+)?["']([^"']+)["']"""
 CALL = r"""import\(\s*["']([^"']+)["']\s*\)"""
@@ -34,19 +34,15 @@ def reachable(edges: DataFrame, roots: DataFrame, source: str = "base", target:
     A round joins only what the one before found; each is a checkpoint, so plans stay short and a lost executor costs a
     round. Rounds are as many as the longest shortest path; only their row counts reach the driver.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    steps = edges.select(F.col(source).alias("_from"), F.col(target)).distinct().checkpoint()
-    seen = frontier = roots.select(target).distinct().withColumn("round", F.lit(0)).checkpoint()
+    steps = cut(edges.select(F.col(source).alias("_from"), F.col(target)).distinct())
+    seen = frontier = cut(roots.select(target).distinct().withColumn("round", F.lit(0)))
     for n in range(1, most_rounds + 1):
         ahead = frontier.select(F.col(target).alias("_from")).join(steps, "_from").select(target).distinct()
-        frontier = ahead.join(seen, target, "left_anti").withColumn("round", F.lit(n)).checkpoint()
+        frontier = ahead.join(seen, target, "left_anti").withColumn("round", F.lit(n))
+        frontier = cut(frontier)
         if frontier.isEmpty():
             return seen
-        seen = seen.union(frontier).checkpoint() if n % 10 == 0 else seen.union(frontier)
+        seen = cut(seen.union(frontier)) if n % 10 == 0 else seen.union(frontier)
     raise RuntimeError(f"still new ones after {most_rounds} rounds")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import privacy, urls
@@ -38,6 +38,23 @@ def observations(df: DataFrame, key: str, body: str = "body", payload: str = "pa
     )
 
 
+def stored_rows(found: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """Of observations() rows that are stored (status 201), beside their body, the row as the table has it: collection_id coll- and 8 digits where the body names none, types as a JSON text."""
+    named = F.array_contains(F.json_object_keys(body), "collectionId")
+    given = F.try_variant_get(F.try_parse_json(body), "$.collectionId", "string")
+    made = F.concat(F.lit("coll-"), F.substring(F.sha2(F.concat(F.lit("coll"), F.col(key).cast("string"), body), 256), 1, 8))
+    stored = found.filter("status = 201").withColumns({"collection_id": F.when(named, F.coalesce(given, F.lit("None"))).otherwise(made), "requested_data_types": F.to_json("requested_data_types")})
+    return stored.drop("status", body)
+
+
+def field_text(payload: Column, path: str) -> Column:
+    """A field of a variant as a text: empty where it is missing, null, false, zero or empty."""
+    value = F.try_variant_get(payload, path, "string")
+    kind = F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
+    plain = F.when(kind == "BOOLEAN", F.when(value == "true", "True").otherwise("")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (value.cast("double") == 0), "").otherwise(value)
+    return F.coalesce(plain, F.lit(""))
+
+
 def missing_rows(seed: DataFrame, target: DataFrame, *keys: str) -> DataFrame:
     """Rows of seed whose keys aren't in target: what to append, any number of times."""
     return seed.join(target.select(*keys), list(keys), "left_anti")

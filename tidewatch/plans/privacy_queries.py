@@ -134,3 +134,40 @@ def forbidden_files(spark, sf_dir):
     """C18, P19 over file names made from parts."""
     names = table(spark, sf_dir, "part").selectExpr("p_partkey", "lower(replace(p_name, ' ', '_')) || CASE p_partkey % 6 WHEN 0 THEN '.pem' WHEN 1 THEN '.py' WHEN 2 THEN '.env' WHEN 3 THEN '.exe.txt' ELSE '.ts' END AS name")
     return names.withColumn("forbidden", F.col("name").rlike(privacy.FORBIDDEN_FILES))
+
+
+_STORED = """CASE WHEN value < 10 THEN '{"page":{"domain":"d.example.com","url":"https://d.example.com/' || event_type || ';p?q"},"inputs":[{"isPassword":true},{"detectedDataTypes":["EMAIL","OTP"]},{"isOtp":true}],"threatLevel":"benign"}'
+ WHEN value < 20 THEN '{"collectionId":null,"page":{"domain":"d","url":"about:blank"},"requestedDataTypes":["B","A","B"]}' WHEN value < 30 THEN '{"collectionId":' || user_id || ',"page":{"domain":"d","url":"//d/x"}}' ELSE '{"collectionId":"c-' || user_id || '"}' END"""
+
+
+@register(f"""WITH b AS (SELECT event_id, {_STORED} AS body FROM events), j AS (SELECT *, body::JSON AS j FROM b)
+ SELECT event_id, 'obs-' || left(sha256(event_id || body), 12) AS observation_id, CASE WHEN list_contains(json_keys(j), 'collectionId') THEN coalesce(j->>'$.collectionId', 'None') ELSE 'coll-' || left(sha256('coll' || event_id || body), 8) END AS collection_id,
+ to_json(list_sort(list_distinct(CASE WHEN json_array_length(j, '$.requestedDataTypes') > 0 THEN (j->'$.requestedDataTypes')::VARCHAR[] ELSE flatten([CASE WHEN json_array_length(i, '$.detectedDataTypes') > 0 THEN (i->'$.detectedDataTypes')::VARCHAR[] WHEN (i->>'$.isPassword') = 'true' THEN ['PASSWORD'] WHEN (i->>'$.isOtp') = 'true' THEN ['OTP'] ELSE [] END FOR i IN coalesce((j->'$.inputs')::JSON[], [])]) END)))::VARCHAR AS requested_data_types,
+ j->>'$.threatLevel' AS threat_level FROM j WHERE coalesce(j->>'$.page.domain', '') <> ''""")
+def observation_rows(spark, sf_dir):
+    """Rows as the table stores them, ids and JSON texts included."""
+    from tidewatch.operators import store
+
+    bodies = table(spark, sf_dir, "events").selectExpr("event_id", f"{_STORED} AS body")
+    found = store.observations(payloads(bodies), "event_id").join(bodies, "event_id")
+    return store.stored_rows(found, "event_id").select("event_id", "observation_id", "collection_id", "requested_data_types", "threat_level")
+
+
+_FIELDS = """CASE event_type WHEN 'view' THEN '{"name":"n' || user_id || '","idAttribute":null,"autocomplete":0}' WHEN 'click' THEN '{"name":' || user_id || ',"idAttribute":false,"autocomplete":"off"}' WHEN 'error' THEN '{"name":true,"idAttribute":"","autocomplete":[]}' ELSE '{"idAttribute":"i","autocomplete":0.0}' END"""
+
+
+@register("SELECT event_id, " + ", ".join(f"CASE WHEN coalesce(json_type(j, '$.{f}'), 'NULL') IN ('NULL', 'ARRAY') THEN '' WHEN json_type(j, '$.{f}') = 'BOOLEAN' THEN CASE WHEN (j->>'$.{f}') = 'true' THEN 'True' ELSE '' END WHEN json_type(j, '$.{f}') <> 'VARCHAR' AND (j->>'$.{f}')::DOUBLE = 0 THEN '' ELSE j->>'$.{f}' END AS {f}" for f in ("name", "idAttribute", "autocomplete")) + f" FROM (SELECT event_id, ({_FIELDS})::JSON AS j FROM events)")
+def field_texts(spark, sf_dir):
+    """Names, ids and autocomplete values of inputs as texts, whatever they come as."""
+    from tidewatch.operators.store import field_text
+
+    inputs = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(_FIELDS)).alias("j"))
+    return inputs.select("event_id", *[F.when(F.schema_of_variant(F.try_variant_get("j", f"$.{f}", "variant")).startswith("ARRAY"), "").otherwise(field_text(F.col("j"), f"$.{f}")).alias(f) for f in ("name", "idAttribute", "autocomplete")])
+
+
+@register("SELECT event_id, event_type || '-' || lower(to_base(epoch_us(ts) // 1000, 36)) || '-' || row_number() OVER (ORDER BY ts, event_id) AS id FROM events")
+def timed_artifact_ids(spark, sf_dir):
+    """C14: kind, time in base 36 and a counter over all rows."""
+    from tidewatch.operators import ids
+
+    return ids.timed_ids(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), F.col("event_type"), "ts", "event_id").select("event_id", "id")

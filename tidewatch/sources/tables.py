@@ -39,6 +39,21 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.withColumn("split", F.explode("splits")).drop("splits").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_csv_splits(df: DataFrame, path: str) -> None:
+    """One pass: CSV files with a header in a folder for each split; a row may be in several (column splits: array), or in none."""
+    df.withColumn("split", F.explode("splits")).drop("splits").write.mode("overwrite").partitionBy("split").csv(path, header=True)
+
+
+def read_csv_split(spark: SparkSession, path: str, split: str, schema: str) -> DataFrame:
+    """The rows of one split with declared types; only its folder is read. A split without rows is an error."""
+    if isinstance(schema, str):
+        schema = f"{schema}, split string"
+    df = spark.read.schema(schema).csv(path, header=True).filter(F.col("split") == split).drop("split")
+    if df.isEmpty():
+        raise ValueError(f"no rows in split {split} of {path}")
+    return df
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """One JSON object a row."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
