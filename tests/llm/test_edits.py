@@ -1,6 +1,7 @@
 """Edit similarity in bits against the plain recurrence, and hashes of words against their bytes."""
 
 import random
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,10 @@ def test_distances_by_hand(monkeypatch):
     for size in (edits._BYTES, 3000):
         monkeypatch.setattr(edits, "_BYTES", size)
         assert list(edits._characters(x, y)) == want
-        assert list(edits._words([list(a) for a in x], [list(b) for b in y])) == want
-    monkeypatch.setattr(edits, "CHARACTERS", 1000)
-    for percent in (80, 95):
+    for most in (0, 1, 7, 40, 400):
+        assert [edits.bounded_distance(a, b, most) for a, b in zip(x, y, strict=True)] == [min(d, most + 1) for d in want]
+    for percent, size in product((80, 95), (0, 1000)):
+        monkeypatch.setattr(edits, "CHARACTERS", size)
         assert list(edits.alike(x, y, percent)) == [100 * d <= (100 - percent) * max(len(a), len(b)) for a, b, d in zip(x, y, want, strict=True)]
 
 
@@ -56,6 +58,35 @@ def test_long_texts():
     assert list(edits.alike([" ".join(base)], [" ".join(base[:4000])], 80)) == [False]
 
 
+@pytest.mark.parametrize("size", [200, 300, 1500, 2500])
+def test_one_measure_at_every_length(size):
+    rng = random.Random(size)
+    letters = "abcdefgh ijé☃" + "".join(chr(0x4E00 + k) for k in range(300 if size == 1500 else 0))
+    x, y = [], []
+    for share in (0.01, 0.1, 0.19, 0.2, 0.22, 0.6):
+        a = [rng.choice(letters) for _ in range(size)]
+        x.append("".join(a))
+        y.append("".join(changed(rng, a, int(size * share * 1.4), letters)))
+    words = [f"w{k}" for k in range(size // 5)]
+    x.append(" ".join(words))
+    y.append(" ".join(rng.sample(words, len(words))))  # the same words in another order
+    want = [distance(a, b) for a, b in zip(x, y, strict=True)]
+    assert list(edits.alike(x, y, 80)) == [5 * d <= max(len(a), len(b)) for a, b, d in zip(x, y, want, strict=True)]
+    assert not edits.alike(x[-1:], y[-1:], 80)[0]
+
+
+def test_very_long_texts():
+    rng = random.Random(8)
+    a = [rng.choice("abcdefghijklmnop ") for _ in range(20_000)]
+    b = a[:]
+    for at in range(0, 20_000, 8):
+        b[at] = "#"  # one letter of eight: 87.5 %
+    c = [v for at, v in enumerate(a) if at % 4]  # 75 %
+    a, b, c = "".join(a), "".join(b), "".join(c)
+    assert edits.bounded_distance(a, b, 4000) == 2500 and edits.bounded_distance(b, a, 2499) == 2500 and edits.bounded_distance(a, c, 4000) == 4001
+    assert edits.bounded_distance(a, c, 5000) == 5000 and edits.bounded_distance(a, a, 0) == 0 and edits.bounded_distance(a, a[:-1], 0) == 1
+
+
 def test_hashes_are_of_bytes():
     rng = random.Random(5)
     each = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 7, 8, 9, 16, 17, 63, 64, 65, 80, 300]))) for _ in range(400)]

@@ -422,6 +422,20 @@ def test_lines_with_other_figures_stay(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: 1, 2: 0, 3: 1}
 
 
+def test_lines_of_the_same_words_in_another_order_stay(spark):
+    """With the parameters of the query: permutations of 300 words stay, a line with one letter of each word changed goes, short or long."""
+    rng = random.Random(11)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrs')}{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.sample(words, 300))) for i in range(20)]
+    rows += [(100 + i, " ".join(words)) for i in range(2)]
+    for n in (30, 60, 200):
+        line = [f"wo{rng.randrange(10**8):08d}rd" for _ in range(n)]
+        rows += [(1000 + n, " ".join(line)), (2000 + n, " ".join(line[: n - n // 10] + ["x" + w[1:] for w in line[n - n // 10 :]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in lines.without_repeated_lines(docs, figures=True).collect()}
+    assert got == {i: int(i == 101 or 2000 <= i) for i, _ in rows}
+
+
 def test_near_classes(spark):
     rng = random.Random(12)
     fresh = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(3000))

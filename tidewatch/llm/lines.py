@@ -11,7 +11,7 @@ One changed word in ten moves some ten of the 64 bits, far more than pigeonhole
 are candidates too if they share a band: the words that come first under 4 random orders, in which words of 4 bytes and
 more are 8 times as likely to come first. A candidate then needs sizes that the similarity allows and a SimHash distance of at
 most `far`, both tested where buckets are joined, and is verified: edit distance of the normal forms at most
-(100 - percent) % of the longer one (edits.alike: over characters, in lines beyond 256 characters over words). Without bands only pairs within `blocks - together` bits are candidates. Groups
+(100 - percent) % of the longer one (edits.alike: over characters, at any length). Without bands only pairs within `blocks - together` bits are candidates. Groups
 come from components.linked_groups; of each group the first line by (id, line number) stays.
 
 Null texts have no lines and stay null. Rows of equal ids count as rows of one document: their lines are ordered by
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
 from .components import linked_groups
-from .edits import CHARACTERS, WORDS, distances
+from .edits import distances
 from .storage import discard, free_names, lean, text_key, written
 from .words import Words, mix, signed, slices
 
@@ -245,7 +245,7 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield linked(pa.Table.from_batches(held))
 
     def linked(pairs: pa.Table) -> pa.RecordBatch:
-        distance, longer, unit = distances(pairs["x"].to_pylist(), pairs["y"].to_pylist())
+        distance, longer, unit = distances(pairs["x"].to_pylist(), pairs["y"].to_pylist(), percent)
         keep = 100 * distance <= (100 - percent) * longer
         return pa.record_batch([pairs["a"].combine_chunks(), pairs["b"].combine_chunks(), *map(pa.array, (keep, distance, unit))], ["a", "b", "linked", "distance", "unit"])
 
@@ -253,9 +253,8 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         pairs = candidates.join(forms.select(F.col("item").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("item").alias("b"), F.col("form").alias("y")), "b")
         return pairs.select("a", "b", "x", "y").mapInArrow(lean(near), "a long, b long, linked boolean, distance long, unit long")
 
-    # by the triangle inequality, where all three pairs count the same: place is the number of words
-    unit = f"CASE WHEN greatest(x.size, y.size) <= {CHARACTERS} THEN 0 WHEN least(x.place, y.place) <= {WORDS} THEN 1 ELSE 2 END"
-    apart = f"x.unit = y.unit AND x.unit = {unit} AND 100 * abs(x.distance - y.distance) > {100 - percent} * if(x.unit = 0, greatest(x.size, y.size), greatest(x.place, y.place))"
+    # by the triangle inequality, where both distances are known
+    apart = f"x.unit = 0 AND y.unit = 0 AND 100 * abs(x.distance - y.distance) > {100 - percent} * greatest(x.size, y.size)"
     groups = linked_groups(entries, verify, f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) AND bit_count(x.sketch ^ y.sketch) <= {most_bits}", apart)
     out = items.join(groups, "item", "left").filter("one AND (root IS NOT NULL OR times > 1)").withColumn("root", F.coalesce("root", "item"))
     out = written(out.select("item", "root", F.col(f"first.{id_column}").alias(id_column), F.col("first.n").alias("n")))
