@@ -121,6 +121,18 @@ def test_jaccard_groups(spark, k, percent, small):
     assert collections.Counter(map(tuple, got)) == groups_by_hand(rows, k, percent)
 
 
+@pytest.mark.parametrize("size", [1, 1 << 10])
+def test_maybe_among(spark, size):
+    from tidewatch.llm.storage import maybe_among
+
+    rows = spark.range(4000).selectExpr("id - 2000 AS item", "id AS hashed", "CAST(id AS string) AS text")
+    keys = rows.filter("item % 20 = 0").select("item")
+    got = maybe_among(rows, keys.union(spark.sql("SELECT CAST(null AS long)")), "item", size)
+    assert got.columns == rows.columns and got.join(keys, "item", "left_semi").count() == 200
+    assert size == 1 or got.count() < 400
+    assert maybe_among(rows, keys.limit(0), "item", size).count() == 0 and maybe_among(rows.limit(0), keys, "item", size).count() == 0
+
+
 def test_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (3, text + " x"), (3, text + " x"), (9, "other words here that are alone"), (8, None), (8, None)]

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,30 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, times: str, share
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """rows less most of those whose key isn't among keys, where they are read and before any shuffle; rows whose key is among them all stay, so an exact join must follow.
+
+    A filter of 64 * words bits, 2 MB whatever the number of keys, is all that reaches the driver and the tasks; with
+    more keys than bits it lets more rows pass.
+    """
+    hashed = F.xxhash64(key)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed, F.lit(64)).cast("int"))
+    filled = keys.groupBy(F.pmod(F.shiftright(hashed, 6), F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    bits = np.zeros(words, np.int64)
+    for word, value in filled:
+        bits[word] = value
+    held, schema = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64)), rows.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(batch.num_columns - 1).to_numpy()
+            there = held.value[(hashes >> 6) % words] >> (hashes % 64).astype(np.uint64) & np.uint64(1)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(there.astype(bool)))
+
+    (name,) = free_names(rows, "hashed")
+    return rows.withColumn(name, hashed).mapInArrow(lean(keep), schema)
+
+
 def free_names(frame: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of frame has it (whatever the case)."""
     taken, out = {c.lower() for c in frame.columns}, []
