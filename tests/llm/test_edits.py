@@ -75,6 +75,31 @@ def test_one_measure_at_every_length(size):
     assert not edits.alike(x[-1:], y[-1:], 80)[0]
 
 
+def test_common_ends_and_bounds(monkeypatch):
+    rng = random.Random(12)
+    x, y = [], []
+    for size in [1, 2, 3, 9, 40, 130, 200] * 12:
+        a = "".join(rng.choice("ab é") for _ in range(size))
+        x.append(a)
+        y.append("".join(changed(rng, a, rng.choice([0, 1, 2, size // 3, size]), "ab é")))
+    x += ["aa", "aba", "abab", "a" * 300]
+    y += ["aaa", "ababa", "ab", "a" * 200]
+    want = [distance(a, b) for a, b in zip(x, y, strict=True)]
+    for a, b, d in zip(x, y, want, strict=True):
+        left, right = edits.without_common_ends(a, b)
+        assert distance(left, right) == d and not (left and right and (left[0] == right[0] or left[-1] == right[-1]))
+        assert edits.integer_distance(a, b, 1000) == d
+        for most in (0, 3, 30):
+            found = edits.integer_distance(a, b, most)
+            assert found == d if d <= most else most < found <= d
+    for batch, integers in ((128, 16_384), (0, 16_384), (0, 0)):
+        monkeypatch.setattr(edits, "CHARACTERS", batch)
+        monkeypatch.setattr(edits, "INTEGERS", integers)
+        out, size, least = edits.distances(x, y, 80)
+        for d, found, longer, more in zip(want, out.tolist(), size.tolist(), least.tolist(), strict=True):
+            assert (5 * longer < 25 * found <= 25 * d) if more else found == d
+
+
 def test_very_long_texts():
     rng = random.Random(8)
     a = [rng.choice("abcdefghijklmnop ") for _ in range(20_000)]

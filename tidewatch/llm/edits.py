@@ -1,16 +1,19 @@
 """Edit similarity of many pairs at once: Levenshtein distances over characters, whatever the length.
 
-Texts of up to CHARACTERS characters take bits (Myers, in blocks of 64 as Hyyro has them), each numpy operation for all
-pairs of a batch; the more pairs come at once, the less each one costs: 16,000 do well. Longer ones go by diagonals
-(Ukkonen, Landau and Vishkin): after e edits it is kept how far each diagonal reaches, so the cost grows with the
-length and the square of the distance, and ends where the distance is more than the similarity allows.
+What a pair has in common at its beginning and its end is cut off first, which changes no distance. What is left, of up
+to CHARACTERS characters, takes bits (Myers, in blocks of 64 as Hyyro has them), each numpy operation for all pairs of a
+batch; the more pairs come at once, the less each one costs: 16,000 do well. Up to INTEGERS characters a column of bits is
+one Python integer, which costs the same whatever comes with it. Longer ones go by diagonals (Ukkonen, Landau and
+Vishkin): after e edits it is kept how far each diagonal reaches, so the cost grows with the length and the square of the
+distance. Both of these end where the distance is known to be too much.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CHARACTERS = 1024
+CHARACTERS = 128
+INTEGERS = 16_384
 _BYTES = 16_000_000
 _ONE = np.uint64(1)
 _TOP = np.uint64(63)
@@ -127,17 +130,79 @@ def bounded_distance(x: str, y: str, most: int) -> int:
     return most + 1
 
 
+def integer_distance(x: str, y: str, most: int) -> int:
+    """The distance of two texts, or where it is more than most a number above most that it isn't less than."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not x:
+        return len(y)
+    places: dict[str, int] = {}
+    bit = 1
+    for c in x:
+        places[c] = places.get(c, 0) | bit
+        bit <<= 1
+    full, last = bit - 1, bit >> 1
+    plus, minus, score = full, 0, len(x)
+    for left, c in enumerate(y, 1 - len(y)):  # minus the characters that are left after this one
+        equal = places.get(c, 0)
+        same = (((equal & plus) + plus) ^ plus | equal | minus) & full
+        up, down = minus | full ^ (same | plus), same & plus
+        if up & last:
+            score += 1
+        elif down & last:
+            score -= 1
+        if score + left > most:  # each of them takes off one at best
+            return score + left
+        up = up << 1 | 1
+        plus, minus = (down << 1 | full ^ (same | up) & full) & full, up & same
+    return score
+
+
+def _alike_until(x: str, y: str) -> int:
+    """How many characters two texts of one length have in common at their beginning, by halves."""
+    low, high = 0, len(x)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def without_common_ends(x: str, y: str) -> tuple[str, str]:
+    shorter = min(len(x), len(y))
+    first = _alike_until(x[:shorter], y[:shorter])
+    x, y = x[first:], y[first:]
+    shorter -= first
+    last = _alike_until(x[len(x) - shorter :][::-1], y[len(y) - shorter :][::-1])
+    return x[: len(x) - last], y[: len(y) - last]
+
+
 def distances(x: list[str], y: list[str], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of texts (none empty) the distance, the longer one's length, and 1 where the distance is only known to be that or more, which is too much for percent."""
+    """Of each pair of texts (none empty) the distance, the longer one's length, and 1 where the distance is only known to be that or more, which is too much for percent.
+
+    Up to INTEGERS characters a distance is known up to twice of what percent allows, so that with a third text that is
+    alike to one of the pair the triangle inequality says that it isn't alike to the other.
+    """
     size = np.array([max(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64)
     out, least = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-    short = np.flatnonzero(size <= CHARACTERS)
-    if len(short):
-        out[short] = _characters([x[i] for i in short], [y[i] for i in short])
-    for i in np.flatnonzero(size > CHARACTERS):
-        most = (100 - percent) * int(size[i]) // 100
-        out[i] = bounded_distance(x[i], y[i], most) if min(len(x[i]), len(y[i])) + most >= size[i] else most + 1
-        least[i] = out[i] > most
+    cut = [without_common_ends(a, b) for a, b in zip(x, y, strict=True)]
+    batch = []
+    for i, (a, b) in enumerate(cut):
+        longer, most = max(len(a), len(b)), (100 - percent) * int(size[i]) // 100
+        if not a or not b:
+            out[i] = longer
+        elif longer <= CHARACTERS:
+            batch.append(i)
+        elif longer <= INTEGERS:
+            out[i] = integer_distance(a, b, 2 * most)
+            least[i] = out[i] > 2 * most
+        else:
+            out[i] = bounded_distance(a, b, most) if abs(len(a) - len(b)) <= most else most + 1
+            least[i] = out[i] > most
+    if batch:
+        out[batch] = _characters([cut[i][0] for i in batch], [cut[i][1] for i in batch])
     return out, size, least
 
 

@@ -253,8 +253,9 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         pairs = candidates.join(forms.select(F.col("item").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("item").alias("b"), F.col("form").alias("y")), "b")
         return pairs.select("a", "b", "x", "y").mapInArrow(lean(near), "a long, b long, linked boolean, distance long, unit long")
 
-    # by the triangle inequality, where both distances are known
-    apart = f"x.unit = 0 AND y.unit = 0 AND 100 * abs(x.distance - y.distance) > {100 - percent} * greatest(x.size, y.size)"
+    # by the triangle inequality: a distance that is known against one that is as much or more
+    too_far = f"{100 - percent} * greatest(x.size, y.size)"
+    apart = f"(x.unit = 0 AND 100 * (y.distance - x.distance) > {too_far} OR y.unit = 0 AND 100 * (x.distance - y.distance) > {too_far})"
     groups = linked_groups(entries, verify, f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) AND bit_count(x.sketch ^ y.sketch) <= {most_bits}", apart)
     out = items.join(groups, "item", "left").filter("one AND (root IS NOT NULL OR times > 1)").withColumn("root", F.coalesce("root", "item"))
     out = written(out.select("item", "root", F.col(f"first.{id_column}").alias(id_column), F.col("first.n").alias("n")))
