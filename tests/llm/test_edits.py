@@ -121,3 +121,55 @@ def test_hashes_are_of_bytes():
     assert h[:400] == h[400:]
     assert len(set(h)) == len(set(each))
     assert np.unique(words.Words(data, offsets).hashes(8)).size == len(set(each)) and set(h).isdisjoint(words.Words(data, offsets).hashes(8).tolist())
+
+
+def test_line_groups_with_the_parameters_of_the_query(spark, monkeypatch):
+    """Crowded buckets, settled in cells of a few lines each, against all pairs that share a key."""
+    from tidewatch.llm import lines
+
+    monkeypatch.setattr(lines, "BLOCK", 4)
+    rng = random.Random(21)
+    stock = [f"word{k}" for k in range(60)]
+    texts = []
+    for _ in range(4):
+        base = [rng.choice(stock) for _ in range(rng.choice([9, 14, 30]))]
+        for _ in range(45):
+            line = base[:]
+            for at in rng.sample(range(len(line)), rng.randint(0, len(line) // 3)):
+                line[at] = rng.choice(stock)
+            texts.append(" ".join(line[: len(line) - rng.choice([0, 0, 0, 2])]))
+    texts += ["", "...", texts[0], texts[0] + "!", "17 18 19 20", "17 18 19 21"]
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = lines.described_lines(docs, blocks=3, together=2, bands=10, figures=True)
+    forms = {r.item: r for r in kept.collect() if r.keys is not None}
+    text_of = {r.item: " ".join(texts[r.doc_id].replace(".", " ").replace("!", " ").split()) for r in kept.collect()}
+    order = sorted(text_of)
+    keys = {item: np.frombuffer(forms[item].keys, np.uint64) for item in order}
+    links = []
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if (keys[a] == keys[b]).any() and 5 * distance(text_of[a], text_of[b]) <= max(len(text_of[a]), len(text_of[b])):
+                links.append((a, b, bin((forms[a].simhash ^ forms[b].simhash) & (1 << 64) - 1).count("1")))
+
+    def groups(far):
+        root = {item: item for item in order}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b, bits in links:
+            if bits <= far:
+                root[top(a)] = top(b)
+        return {item: top(item) for item in order}
+
+    # the line that a crowded bucket is held against may link with lines beyond the SimHash distance
+    least, most = groups(20), groups(64)
+    found = {r.item: r.root for r in lines.line_groups(docs, blocks=3, together=2, bands=10, figures=True).collect()}
+    found = {item: found.get(item, item) for item in order}
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            assert least[a] != least[b] or found[a] == found[b]
+            assert found[a] != found[b] or most[a] == most[b]
+    assert len(set(least.values())) < len(order) - 60 and len(set(most.values())) > 5

@@ -84,14 +84,16 @@ def connected(links: DataFrame, most_rounds: int = 200, one_task: int = 200_000)
     return pairs.select(F.col("b").alias("item"), "root").union(roots.select("item", F.col("item").alias("root")))
 
 
-def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed_sql: str, apart_sql: str = "false") -> DataFrame:
+def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed_sql: str = "true", apart_sql: str = "false", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(item, root) of every item with a link. A written table.
 
     entries: a written table from buckets.shared_buckets. verify: candidate pairs (a, b) to (a, b, linked, distance,
     unit) of those that may be linked. allowed_sql (over x.place, x.size, x.sketch, y.place and so on; symmetric) says
     whether a bucket allows a pair at all, as the function given to shared_buckets does; each linked pair must be
     allowed in one bucket at least. apart_sql (over these, x.distance, x.unit and so on) says whether two items that
-    were held against the same one can't be linked by the distances to it alone.
+    were held against the same one can't be linked by the distances to it alone. settle: instead of the join over
+    allowed_sql and apart_sql, from the rows of buckets that still hold several groups (bucket, item, root, size,
+    sketch, near, distance, unit) to links (a, b) that join all groups which a pair of such a bucket links.
     """
     asked = written(first_candidates(entries))
     checked = written(verify(asked))
@@ -100,10 +102,13 @@ def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
     left = known.join(mixed, "bucket").withColumns({"a": F.least("item", "near"), "b": F.when(F.col("near").isNotNull(), F.greatest("item", "near"))})
     left = written(left.join(checked.select("a", "b", "distance", "unit"), ["a", "b"], "left").drop("a", "b", "crowd", "also"))
-    x, y = left.alias("x"), left.alias("y")
-    ordered = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND x.item < y.item AND {allowed_sql} AND NOT coalesce(x.near = y.near AND {apart_sql}, false)")
-    across = x.join(y, ordered).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
-    second = verify(across.join(asked, ["a", "b"], "left_anti")).filter("linked")
+    if settle:
+        second = settle(left)
+    else:
+        x, y = left.alias("x"), left.alias("y")
+        ordered = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND x.item < y.item AND {allowed_sql} AND NOT coalesce(x.near = y.near AND {apart_sql}, false)")
+        across = x.join(y, ordered).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
+        second = verify(across.join(asked, ["a", "b"], "left_anti")).filter("linked")
     stars = first.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b"))
     out = written(connected(stars.union(second.select("a", "b"))))
     discard(asked, checked, first, left)

@@ -206,6 +206,16 @@ def distances(x: list[str], y: list[str], percent: int) -> tuple[np.ndarray, np.
     return out, size, least
 
 
+def are_alike(x: str, y: str, percent: int) -> bool:
+    """Of one pair, what alike() says."""
+    longer = max(len(x), len(y))
+    most = (100 - percent) * longer // 100
+    if longer - min(len(x), len(y)) > most:
+        return False
+    x, y = without_common_ends(x, y)
+    return (integer_distance if max(len(x), len(y)) <= INTEGERS else bounded_distance)(x, y, most) <= most
+
+
 def alike(x: list[str], y: list[str], percent: int) -> np.ndarray:
     """Of each pair, whether the distance is at most (100 - percent) % of the longer one."""
     distance, longer, _ = distances(x, y, percent)

@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
+from .cells import CELL, CELL_SQL, by_cell, dealt_to_cells, sides
 from .components import linked_groups
-from .edits import distances
+from .edits import are_alike, distances
 from .storage import discard, free_names, lean, text_key, written
 from .words import Words, mix, signed, slices
 
@@ -50,6 +51,10 @@ _ODD3 = {(0xE2, 0x80): np.arange(256) >= 128, (0xE2, 0x81): (np.arange(256) >= 1
 _LANE = 30_000
 _SPREAD = np.array([sum(((b >> k) & 1) << (16 * k) for k in range(4)) for b in range(16)], np.uint64)
 _BAND_WORDS = 4
+#: Lines of a block of a bucket, each pair of which may take up to a millisecond.
+BLOCK = 256
+#: And their characters, where lines are long: 1 MB.
+CHARACTERS = 1 << 20
 
 
 def cleaned(data: np.ndarray, figures: bool) -> np.ndarray:
@@ -207,6 +212,75 @@ def _forms(docs: DataFrame, asked: DataFrame, text_column: str, figures: bool, b
     return out
 
 
+class _Cell:
+    """The lines of two blocks of a bucket: for each of one block (first) those of the other that are of another class and may be linked with it.
+
+    A pair that shares several buckets is looked at in the smallest of them alone, and not again where it was held
+    together at first. By the triangle inequality, over the line that both were held against, most pairs can't be links:
+    a distance that is known against one that is as much or more.
+    """
+
+    def __init__(self, table: pa.Table, percent: int, most_bits: int):
+        self.table, self.percent, self.most_bits = table, percent, most_bits
+        self.apart, self.first, self.second = sides(table)
+        self.item, self.root, self.size, self.sketch = (table.column(k).to_numpy() for k in ("item", "root", "size", "sketch"))
+        self.near, self.distance = (table.column(k).fill_null(-1).to_numpy() for k in ("near", "distance"))
+        self.exact = pc.equal(table.column("unit"), 0).fill_null(False).to_numpy()
+        lists = table.column("buckets").combine_chunks()
+        counts = pc.list_value_length(lists).to_numpy()
+        self.buckets = np.full((len(counts), int(counts.max())), np.iinfo(np.int64).max)
+        self.buckets[np.arange(self.buckets.shape[1]) < counts[:, None]] = lists.flatten().to_numpy()
+        self.bucket = table.column("bucket")[0].as_py()
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row of first, rows of second)."""
+        for i in self.first:
+            j = self.second[(self.root[self.second] != self.root[i]) & (self.apart | (self.item[self.second] > self.item[i]))]
+            longer = np.maximum(self.size[i], self.size[j])
+            j = j[(100 * np.minimum(self.size[i], self.size[j]) >= self.percent * longer) & (np.bitwise_count((self.sketch[i] ^ self.sketch[j]).view(np.uint64)) <= self.most_bits)]
+            j = j[(self.near[j] != self.item[i]) & (self.item[j] != self.near[i])]
+            more = self.distance[j] - self.distance[i]
+            least = np.where(self.exact[i] & (more > 0), more, np.where(self.exact[j] & (more < 0), -more, 0))
+            hub = (self.near[j] == self.near[i]) & (self.near[i] >= 0) & (self.distance[i] >= 0) & (self.distance[j] >= 0)
+            j = j[~hub | (100 * least <= (100 - self.percent) * np.maximum(self.size[i], self.size[j]))]
+            if len(j):
+                shared = np.where(np.isin(self.buckets[j], self.buckets[i]), self.buckets[j], np.iinfo(np.int64).max).min(1)
+                j = j[shared == self.bucket]
+            if len(j):
+                yield i, j
+
+    def undecided(self) -> Iterator[pa.RecordBatch]:
+        """The rows that have a candidate."""
+        some = np.zeros(len(self.item), bool)
+        for i, j in self.candidates():
+            some[i] = some[j] = True
+        yield from self.table.select(_KNOWN).filter(pa.array(some)).to_batches()
+
+    def links(self) -> Iterator[pa.RecordBatch]:
+        """(a, b): enough of the links to join all classes that are linked here."""
+        forms = self.table.column("form").to_pylist()
+        up = {r: r for r in self.root.tolist()}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        root, found = self.root.tolist(), []
+        for i, others in self.candidates():
+            for j in others.tolist():
+                if top(root[i]) != top(root[j]) and are_alike(forms[i], forms[j], self.percent):
+                    up[top(root[i])] = top(root[j])
+                    found.append((i, j))
+        if found:
+            a, b = self.item[np.array(found).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+_KNOWN = [*CELL, "size", "sketch", "near", "distance", "unit", "buckets"]
+_KNOWN_SQL = CELL_SQL + ", size long, sketch long, near long, distance long, unit long, buckets array<long>"
+
+
 def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", blocks: int = 5, together: int = 2, percent: int = 80, broadcast_rows: int = 400_000, lines: DataFrame | None = None, bands: int = 0, figures: bool = False, far: int = 20) -> DataFrame:
     """(item, root, id, n): of each different normal form (item: 64 bits of it) its group and its first line; forms that occur once and link with nothing are left out. lines: described_lines with the same parameters, where it is known. Without bands, only pairs within the SimHash distance are linked. A written table."""
     seen = lines if lines is not None else described_lines(docs, id_column, text_column, blocks, together, bands, figures)
@@ -253,10 +327,16 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         pairs = candidates.join(forms.select(F.col("item").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("item").alias("b"), F.col("form").alias("y")), "b")
         return pairs.select("a", "b", "x", "y").mapInArrow(lean(near), "a long, b long, linked boolean, distance long, unit long")
 
-    # by the triangle inequality: a distance that is known against one that is as much or more
-    too_far = f"{100 - percent} * greatest(x.size, y.size)"
-    apart = f"(x.unit = 0 AND 100 * (y.distance - x.distance) > {too_far} OR y.unit = 0 AND 100 * (x.distance - y.distance) > {too_far})"
-    groups = linked_groups(entries, verify, f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) AND bit_count(x.sketch ^ y.sketch) <= {most_bits}", apart)
+    def settle(left: DataFrame) -> DataFrame:
+        buckets = left.groupBy("item").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most one for each key
+        known = left.select("bucket", "item", "size", "sketch", "near", "distance", "unit").join(buckets, "item")
+        cells = dealt_to_cells(left.select("bucket", "item", "root", F.col("size").alias("n")), BLOCK, CHARACTERS)
+        undecided = written(by_cell(cells.join(known, ["bucket", "item"]), lambda cell: _Cell(cell, percent, most_bits).undecided(), _KNOWN_SQL))
+        links = written(by_cell(undecided.join(forms, "item").select(*_KNOWN, "form"), lambda cell: _Cell(cell, percent, most_bits).links(), "a long, b long").distinct())
+        discard(undecided)
+        return links
+
+    groups = linked_groups(entries, verify, settle=settle)
     out = items.join(groups, "item", "left").filter("one AND (root IS NOT NULL OR times > 1)").withColumn("root", F.coalesce("root", "item"))
     out = written(out.select("item", "root", F.col(f"first.{id_column}").alias(id_column), F.col("first.n").alias("n")))
     discard(entries, items, asked, forms, groups, *[seen] * (lines is None))

@@ -19,7 +19,7 @@ smallest id: component_id is null only where all ids of the component are. Other
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import CELL, CELL_SQL, by_cell, dealt_to_cells, sides
 from .components import connected
 from .storage import discard, distinct_texts, joined_by_key, lean, text_key, written
 from .words import Words, mix, signed, slices, window_hashes
@@ -181,27 +182,14 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, words: int) -> DataFram
     return distinct_texts(docs, text).join(wanted, "key").select("item", "text").mapInArrow(lean(members), "item long, members binary")
 
 
-def _cells(members: DataFrame, block: int, size: int) -> DataFrame:
-    """members (bucket, item, root, n) of buckets with several classes, dealt to cells (bucket, x, y) in which block x meets block y; in_block says which of the two a row is of. A block has about `block` members or `size` shingles."""
-    classes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
-    shape = classes.groupBy("bucket").agg(F.max_by(F.struct("root", "rows", "n"), F.struct("rows", "root")).alias("major"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    blocks = lambda rows, n: F.expr(f"int(greatest(ceil(({rows}) / {block}), ceil(({n}) / {size})))")
-    shape = shape.select("bucket", "major.root", blocks("major.rows", "major.n").alias("m"), blocks("rows - major.rows", "n - major.n").alias("r")).withColumnRenamed("root", "major")
-    dealt = members.join(shape, "bucket").withColumn("in_block", F.expr("CASE WHEN root = major THEN pmod(xxhash64(item), m) ELSE m + pmod(xxhash64(item), r) END"))
-    others = "CASE WHEN root = major THEN sequence(m, m + r - 1) ELSE sequence(0, m + r - 1) END"
-    return dealt.withColumn("other", F.explode(F.expr(others))).select("bucket", F.least("in_block", "other").alias("x"), F.greatest("in_block", "other").alias("y"), "in_block", "item", "root")
-
-
 class _Cell:
     """The members of two blocks: for each of one block (first), those of the other that are of another class and that the comparison of signatures doesn't drop."""
 
     def __init__(self, table: pa.Table, needed: tuple[int, ...]):
         self.table, self.needed = table, needed
-        x, y, block, self.item, self.root = (table.column(k).to_numpy() for k in ("x", "y", "in_block", "item", "root"))
-        self.places, self.apart = _bytes(table.column("signature"), PLACES), x[0] != y[0]
-        first = np.flatnonzero(block == x[0])
-        second = np.flatnonzero(block == y[0]) if self.apart else first
-        self.first, self.second = (first, second) if len(first) <= len(second) else (second, first)
+        self.item, self.root = (table.column(k).to_numpy() for k in ("item", "root"))
+        self.places = _bytes(table.column("signature"), PLACES)
+        self.apart, self.first, self.second = sides(table)
 
     def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row of first, rows of second, places that agree)."""
@@ -230,7 +218,7 @@ class _Cell:
         some = np.zeros(len(self.item), bool)
         for i, stay, _ in self.candidates():
             some[i] = some[stay] = True
-        yield from self.table.select(_IN_CELL).filter(pa.array(some)).to_batches()
+        yield from self.table.select(CELL).filter(pa.array(some)).to_batches()
 
     def links(self, percent: int) -> Iterator[pa.RecordBatch]:
         """(a, b): each member with one linked member of each other class, by the full sets."""
@@ -253,31 +241,6 @@ class _Cell:
             yield self._pairs(np.full(len(one), i), one)
 
 
-_IN_CELL = ["bucket", "x", "y", "in_block", "item", "root"]
-_IN_CELL_SQL = "bucket long, x long, y long, in_block long, item long, root long"
-
-
-def _by_cell(rows: DataFrame, needed: tuple[int, ...], what: Callable[[_Cell], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What each cell of rows says."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in ("bucket", "x", "y")])
-            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))) if batch.num_rows else []
-            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                key = tuple(keys[:, i])
-                if key != now and held:
-                    yield from what(_Cell(pa.Table.from_batches(held).combine_chunks(), needed))
-                    held = []
-                now = key
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from what(_Cell(pa.Table.from_batches(held).combine_chunks(), needed))
-
-    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), schema)
-
-
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: float = 1e-6, id: str = "doc_id", text: str = "text", block: int = BLOCK, rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: size of its set, smallest id of all rows reachable by links, whether that is its own.
 
@@ -303,17 +266,17 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, miss: fl
     marks = items.select("item", "signature")
     for step in range(rounds + 1):
         members = shared.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
-        cells = _cells(members, block, SHINGLES).join(marks, "item").select(*_IN_CELL, "signature")
+        cells = dealt_to_cells(members, block, SHINGLES).join(marks, "item").select(*CELL, "signature")
         discard(more)
         if step < rounds:
-            across = written(_by_cell(cells, needed, _Cell.nearest, "a long, b long").distinct().join(asked, ["a", "b"], "left_anti"))
+            across = written(by_cell(cells, lambda cell: _Cell(cell, needed).nearest(), "a long, b long").distinct().join(asked, ["a", "b"], "left_anti"))
             more = linked(across)
             asked, done = written(asked.union(across)), asked
             discard(across, done)
         else:
-            open_rows = written(_by_cell(cells, needed, _Cell.undecided, _IN_CELL_SQL))
-            whole = open_rows.join(marks, "item").join(sets, "item").select(*_IN_CELL, "signature", "members")
-            more = written(_by_cell(whole, needed, lambda cell: cell.links(percent), "a long, b long").distinct())
+            open_rows = written(by_cell(cells, lambda cell: _Cell(cell, needed).undecided(), CELL_SQL))
+            whole = open_rows.join(marks, "item").join(sets, "item").select(*CELL, "signature", "members")
+            more = written(by_cell(whole, lambda cell: _Cell(cell, needed).links(percent), "a long, b long").distinct())
             discard(open_rows)
         before, roots = roots, written(connected(roots.filter("item <> root").select(F.col("root").alias("a"), F.col("item").alias("b")).union(more)))
         discard(before)
