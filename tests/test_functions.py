@@ -400,3 +400,18 @@ def test_counted_ids(spark):
     assert [r.name.split("-")[2] for r in got] == [str(i + 1) for i in range(5000)]
     assert got[0].name.startswith("form-") and int(got[0].name.split("-")[1], 36) == 1735689600000
     assert ids.counted(df.limit(0), "ts").collect() == []
+
+
+def test_display_by_hand(spark):
+    from tidewatch.functions import display
+    from pyspark.sql import functions as F
+
+    rows = [(0.945, ["A_B<i>&", 'say "x"\u00a0y'], ["PASSWORD", "OTP"]), (0.004, [], []), (None, None, None)]
+    df = spark.createDataFrame(rows, "c double, reasons array<string>, kinds array<string>")
+    c = F.col("c")
+    got = df.select(display.percent(c), display.bar_width(c), display.joined(F.col("kinds")), display.reason_items(F.col("reasons"))).collect()
+    assert [tuple(r) for r in got] == [
+        (95, 94.5, "PASSWORD, OTP", '<li>A B&lt;i&gt;&amp;</li><li>say "x"&nbsp;y</li>'),
+        (0, 5.0, "None detected", ""),
+        (None, None, "None detected", None),
+    ]

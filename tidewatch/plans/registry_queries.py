@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions import display
 from tidewatch.operators import store
 from tidewatch.sources.tables import table
 
@@ -90,12 +91,27 @@ def scan_verdict(spark, sf_dir):
     return total.select(F.when(F.col("issues") > 0, "FAIL").when(F.col("warnings") > 0, "PASS WITH WARNINGS").otherwise("PASS").alias("verdict"), "files", "issues", "warnings")
 
 
-@register("SELECT event_id, upper(replace(event_type, '_', ' ')) AS level, round(value, 2) AS score, round(value)::BIGINT AS percent, CASE WHEN event_id % 3 = 0 THEN 'None detected' ELSE event_type || ', ' || user_id END AS categories FROM events")
+_REASON = "event_type || '_<' || user_id || '>_&'"
+
+
+@register(f"""SELECT event_id, upper(replace(event_type, '_', ' ')) AS level, round(value, 2) AS score, floor(value / 1000 * 100 + 0.5)::BIGINT AS percent, greatest(5.0::DOUBLE, value / 1000 * 100) AS bar_width,
+ CASE WHEN event_id % 3 = 0 THEN 'None detected' ELSE event_type || ', ' || user_id END AS categories, CASE WHEN event_id % 5 = 0 THEN 'Unknown Domain' ELSE 'u' || user_id END AS domain,
+ '<li>' || replace(replace(replace(replace({_REASON}, '_', ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</li><li>' || replace(upper(event_type), '_', ' ') || '</li>' AS reasons FROM events""")
 def display_format(spark, sf_dir):
-    """C23."""
-    asked = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type", F.col("user_id").cast("string")))
-    shown = F.when(F.size(asked) == 0, "None detected").otherwise(F.array_join(asked, ", "))
-    return table(spark, sf_dir, "events").select("event_id", F.upper(F.replace("event_type", F.lit("_"), F.lit(" "))).alias("level"), F.round("value", 2).alias("score"), F.round("value").cast("long").alias("percent"), shown.alias("categories"))
+    """What the user interface shows of each event, whose value over 1000 is the confidence."""
+    confidence, user = F.col("value") / 1000, F.col("user_id").cast("string")
+    asked = F.when(F.col("event_id") % 3 != 0, F.array("event_type", user))
+    domain = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("u"), user))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.upper(display.spaced(F.col("event_type"))).alias("level"),
+        F.round("value", 2).alias("score"),
+        display.percent(confidence).alias("percent"),
+        display.bar_width(confidence).alias("bar_width"),
+        display.joined(asked).alias("categories"),
+        F.coalesce(domain, F.lit("Unknown Domain")).alias("domain"),
+        display.reason_items(F.array(F.expr(_REASON), F.upper("event_type"))).alias("reasons"),
+    )
 
 
 _PATH = "p_brand || '/' || p_type || '/' || p_size || '/' || p_partkey || '.csv'"
