@@ -30,8 +30,8 @@ def dealt_to_cells(members: DataFrame, block: int, size: int) -> DataFrame:
     return dealt.withColumn("other", F.explode(F.expr(others))).select("bucket", F.least("in_block", "other").alias("x"), F.greatest("in_block", "other").alias("y"), "in_block", "item", "root")
 
 
-def by_cell(rows: DataFrame, what: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What each cell of rows says."""
+def by_cell(rows: DataFrame, what: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, tasks: int | None = None) -> DataFrame:
+    """What each cell of rows says. tasks: where cells take long for their bytes, how many tasks they are dealt to, whatever the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -48,7 +48,8 @@ def by_cell(rows: DataFrame, what: Callable[[pa.Table], Iterator[pa.RecordBatch]
         if held:
             yield from what(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), schema)
+    dealt = rows.repartition(tasks, "bucket", "x", "y") if tasks else rows.repartition("bucket", "x", "y")
+    return dealt.sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), schema)
 
 
 def sides(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:

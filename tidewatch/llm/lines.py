@@ -332,7 +332,8 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         known = left.select("bucket", "item", "size", "sketch", "near", "distance", "unit").join(buckets, "item")
         cells = dealt_to_cells(left.select("bucket", "item", "root", F.col("size").alias("n")), BLOCK, CHARACTERS)
         undecided = written(by_cell(cells.join(known, ["bucket", "item"]), lambda cell: _Cell(cell, percent, most_bits).undecided(), _KNOWN_SQL))
-        links = written(by_cell(undecided.join(forms, "item").select(*_KNOWN, "form"), lambda cell: _Cell(cell, percent, most_bits).links(), "a long, b long").distinct())
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), undecided.count() // (8 * BLOCK))
+        links = written(by_cell(undecided.join(forms, "item").select(*_KNOWN, "form"), lambda cell: _Cell(cell, percent, most_bits).links(), "a long, b long", tasks).distinct())
         discard(undecided)
         return links
 
