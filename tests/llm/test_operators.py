@@ -464,6 +464,27 @@ def test_near_classes(spark):
     assert found >= 57 and all(got[200 + i].class_id in (200 + i % 8, 200 + i) for i in range(60))
 
 
+def test_fingerprint_query_has_classes(spark, tmp_path):
+    """Against every pair of fingerprints, and the edit response by itself."""
+    rng = random.Random(3)
+    fresh = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(120)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(fresh)] + [(20 + i, t[: 40 * i] + "#" + t[40 * i :]) for i, t in enumerate(fresh)] + [(50, None), (51, ""), (52, fresh[0]), (52, fresh[1]), (None, fresh[2])]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_fingerprints(spark, str(tmp_path)).collect()
+    plain = fingerprints.edit_response(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert collections.Counter(tuple(r)[:-1] for r in got) == collections.Counter(map(tuple, plain.collect())) and len(got) == len(rows)
+    marks = fingerprints.as_samples([r.fingerprint for r in got])
+    reach = {k: {k} for k in range(len(got))}
+    for i in range(len(got)):
+        like = fingerprints.likeness(np.repeat(marks[[i]], len(got), 0), marks)
+        for j in np.flatnonzero(like >= 0.8):
+            if reach[i] is not reach[int(j)]:
+                both = reach[i] | reach[int(j)]
+                reach.update(dict.fromkeys(both, both))
+    assert [r.class_id for r in got] == [min((got[j].doc_id for j in reach[i] if got[j].doc_id is not None)) for i in range(len(got))]
+    assert len({r.class_id for r in got}) < 20  # of 29 rows: classes do join texts
+
+
 @pytest.mark.parametrize("size", [5, 8, 12, 20, 35, 60, 100, 140, 200, 270, 530, 1050])
 def test_bands_of_near_texts(size):
     rng = random.Random(size)

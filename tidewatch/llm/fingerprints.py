@@ -217,8 +217,9 @@ def with_classes(marked: DataFrame, id_column: str = "doc_id", least: float = 0.
     share the empty fingerprint, a class of its own.
     """
     name = free_names(marked, "item")[0]
-    rows = written(marked.withColumn(name, F.xxhash64("fingerprint")))
-    items = written(rows.groupBy(F.col(name).alias("item")).agg(F.first("fingerprint").alias("fingerprint"), F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("times")))
+    # digits of hashes, which zstd halves and snappy leaves as they are; the shuffle of texts behind marked ends here
+    rows = written(marked.withColumn(name, F.xxhash64("fingerprint")), "zstd")
+    items = written(rows.groupBy(F.col(name).alias("item")).agg(F.first("fingerprint").alias("fingerprint"), F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("times")), "zstd")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,7 +55,7 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df, computed once and read back from Parquet in the shared folder: later plans start there, and a lost executor loses nothing of it.
 
     The shuffle files of this one execution go as soon as it ends, not when the driver happens to collect garbage.
@@ -65,7 +65,7 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
