@@ -5,7 +5,7 @@ on if bit (j, symbol) is set. Texts of small edit distance fall into step again
 strings' Hamming distance follows the edit distance (Chakraborty, Goldenberg and Koucky). A fingerprint samples the
 embedded string at shared random steps: `SAMPLES` for each doubling of the steps, so texts of any length share
 positions, each as 4 bits that hash 4 consecutive symbols; "x" stands behind the end. likeness() weighs samples by the
-steps they stand for and takes off what agrees by chance. near_classes() bands the samples, and verifies.
+steps they stand for and takes off what agrees by chance. near_classes() bands sampled places of them, and verifies.
 
 Null and empty texts have the empty fingerprint, alike to each other (1) and to nothing else (0).
 """
@@ -13,7 +13,8 @@ Null and empty texts have the empty fingerprint, alike to each other (1) and to
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
+from .cells import CELL, by_cell, dealt_to_cells, sides
 from .components import linked_groups
 from .ordering import in_descending_runs
 from .storage import discard, free_names, joined_by_key, lean, written
+from .words import mix
 
-SAMPLES = 32
+SAMPLES, BANDS, BLOCK = 32, 16, 1024  # samples of a scale, bands of a level, members of a block of a cell
 _PERIOD, _RUN, _FIRST = 4093, 4, 6  # steps after which bits repeat; symbols in a sample; the first scale has 2 ** 6 steps
 _RNG = np.random.default_rng(1847)
 _MOVE = _RNG.integers(0, 2, (_PERIOD, 256), dtype=np.int64)
@@ -190,17 +193,76 @@ def edit_response(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return runs.mapInArrow(lean(respond), schema)
 
 
-def band_keys(fingerprint: str, band: int) -> list[str]:
-    """Keys of runs of `band` samples of all scales, where none is behind the end, and of shorter runs for short texts.
+@cache
+def sampled_places(level: int, width: int) -> np.ndarray:
+    """BANDS draws of `width` of the first `level` samples, each as likely as the steps it stands for; half of them where there are fewer than twice as many."""
+    rng, weight = np.random.default_rng((1849, level)), weights(-(-level // SAMPLES))[:level]
+    return np.stack([rng.choice(level, min(width, level // 2), replace=False, p=weight / weight.sum()) for _ in range(BANDS)])
 
-    A text of under 96 samples has too few runs of 8: up to 160 samples runs of 4 are added (from 24 on), up to 40 runs
-    of 2. The ranges overlap, so two texts of like length have one kind in common.
+
+def bands_of(samples: np.ndarray, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every band of each row of samples; width at most 8.
+
+    A row with `held` samples before the end has the bands of the two largest levels that are not above held, so two
+    rows whose lengths allow a likeness of 0.8 have a level in common. Fewer than 4 samples have no band: rows of 5 and
+    fewer are alike at 0.8 only if they are equal.
     """
-    held = len(fingerprint) - fingerprint.count("x")
-    widths = [band] + [4] * (24 <= held <= 160) + [2] * (held <= 40)
-    runs = ((w, at, fingerprint[at : at + w]) for w in widths for at in range(0, len(fingerprint) - w + 1, w))
-    keys = [f"{w}:{at}:{run}" for w, at, run in runs if "x" not in run]
-    return keys if held >= 6 else [*keys, *(f"1:{at}:{x}" for at, x in enumerate(fingerprint) if x != "x")]
+    held = (samples != END).sum(1)
+    ladder = np.array([4, 8, 12, 16, 24, *range(32, samples.shape[1] + 1, 16)])
+    last = np.searchsorted(ladder, held, "right") - 1
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for k, level in enumerate(ladder.tolist()):
+        at = np.flatnonzero((last == k) | (last == k + 1))
+        places = sampled_places(level, width)
+        names = (level * BANDS + np.arange(BANDS, dtype=np.uint64)) << np.uint64(32)
+        value = (samples[at][:, places].astype(np.uint64) << (4 * np.arange(places.shape[1], dtype=np.uint64))).sum(2)
+        rows.append(np.repeat(at, BANDS))
+        keys.append(mix(value | names).ravel())
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def band_keys(fingerprint: str, band: int) -> list[int]:
+    """The keys of one fingerprint, of bands of `band` samples."""
+    return bands_of(as_samples([fingerprint]), band)[1].tolist()
+
+
+def _may_be_alike(least: float) -> Callable[..., np.ndarray]:
+    """Whether steps before the end (size) and the first 16 samples (sketch) of two items allow a likeness of `least`; exact for items of 16 samples and fewer."""
+    raw = least * 15 / 16 + 1 / 16 - 1e-9
+
+    def allowed(_: np.ndarray, x: np.ndarray, x_first: np.ndarray, __: np.ndarray, y: np.ndarray, y_first: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        other = (x_first ^ y_first).view(np.uint64)
+        other = (other | other >> np.uint64(1) | other >> np.uint64(2) | other >> np.uint64(3)) & np.uint64(0x1111111111111111)
+        common = np.minimum(low // 2, 16).astype(np.uint64)  # a sample of the first scale stands for 2 steps
+        other &= np.where(common > 0, np.uint64(2**64 - 1) >> (np.uint64(4) * (np.uint64(16) - np.maximum(common, np.uint64(1)))), np.uint64(0))
+        return low - np.where(high <= 32, 2 * np.bitwise_count(other).astype(np.int64), 0) >= raw * high
+
+    return allowed
+
+
+def _links_of_cell(cell: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): enough of the links of a cell to join all classes that are linked there."""
+    apart, first, second = sides(cell)
+    item, root = cell.column("item").to_numpy(), cell.column("root").to_numpy()
+    samples = as_samples(cell.column("fingerprint").to_pylist())
+    up, found = {r: r for r in root.tolist()}, []
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    for i in first.tolist():
+        j = second[(root[second] != root[i]) & (apart | (item[second] > item[i]))]
+        for k in j[likeness(np.broadcast_to(samples[i], (len(j), samples.shape[1])), samples[j]) >= least].tolist():
+            a, b = top(int(root[i])), top(int(root[k]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append((min(item[i], item[k]), max(item[i], item[k])))
+    if found:
+        a, b = np.array(found).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.8, band: int = 8) -> DataFrame:
@@ -211,10 +273,11 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def with_classes(marked: DataFrame, id_column: str = "doc_id", least: float = 0.8, band: int = 8) -> DataFrame:
     """marked (id, fingerprint, ...) with class_id: the smallest id that links lead to, null only if all are.
 
-    Rows of equal fingerprints are one item. Items that share a band are candidates; a link is a likeness of `least` or
-    more. Two texts of that likeness share a band with a probability that grows with it (12 bands of 8 samples: 0.9 at
-    an agreement of 0.8, over 0.99 at 0.9), which is the method's recall; shorter texts have shorter bands. Empty texts
-    share the empty fingerprint, a class of its own.
+    Rows of equal fingerprints are one item. Items that share a band (bands_of: `band` sampled places) are candidates;
+    a link is a likeness of `least` or more. Two texts of likeness 0.8 share a band of 8 samples with a probability over
+    0.9, which is the method's recall; it grows with the likeness. Buckets that still hold several groups after a first
+    round are settled in cells of two blocks, from which only links leave. Empty texts share the empty fingerprint, a
+    class of its own.
     """
     name = free_names(marked, "item")[0]
     # digits of hashes, which zstd halves and snappy leaves as they are; the shuffle of texts behind marked ends here
@@ -223,17 +286,17 @@ def with_classes(marked: DataFrame, id_column: str = "doc_id", least: float = 0.
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(f, band) for f in batch.column(1).to_pylist()]
-            out = np.zeros(sum(map(len, keys)), ENTRY)
-            out["bucket"] = [int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "little") for each in keys for k in each]
-            out["item"] = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            samples = as_samples(batch.column(1).to_pylist())
+            row, key = bands_of(samples, band)
+            out = np.zeros(len(row), ENTRY)
+            out["bucket"], out["item"] = key, batch.column(0).to_numpy()[row]
+            out["size"] = np.minimum((samples != END) @ weights(samples.shape[1] // SAMPLES), np.iinfo(np.int32).max)[row]
+            first = widened(samples, max(16, samples.shape[1]))[:, :16].astype(np.uint64) % np.uint64(END)
+            out["sketch"] = (first << (4 * np.arange(16, dtype=np.uint64))).sum(1).view(np.int64)[row]
             yield packed(out, parts)
 
-    def every(x: np.ndarray, *_: np.ndarray) -> np.ndarray:
-        return np.ones(len(x), bool)
-
-    parts = parts_for(items.count() * 24)
-    entries = written(shared_buckets(items.select("item", "fingerprint").mapInArrow(lean(bands), PACKED), every))
+    parts = parts_for(items.count() * 2 * BANDS)
+    entries = written(shared_buckets(items.select("item", "fingerprint").mapInArrow(lean(bands), PACKED), _may_be_alike(least)))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +311,13 @@ def with_classes(marked: DataFrame, id_column: str = "doc_id", least: float = 0.
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(alike), "a long, b long").selectExpr("a", "b", "true linked", "cast(null AS long) distance", "cast(null AS long) unit")
 
-    groups = linked_groups(entries, verify, "true")
+    def settle(left: DataFrame) -> DataFrame:
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.count() // (8 * BLOCK))
+        cells = dealt_to_cells(left.select("bucket", "item", "root", F.lit(1).alias("n")), BLOCK, BLOCK)
+        known = cells.join(items.select("item", "fingerprint"), "item").select(*CELL, "fingerprint")
+        return written(by_cell(known, lambda cell: _links_of_cell(cell, least), "a long, b long", tasks).distinct())
+
+    groups = linked_groups(entries, verify, settle=settle)
     rooted = items.join(groups, "item", "left").select("item", "first_id", "times", F.coalesce("root", "item").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = written(rooted.join(least_id, "root").select(F.col("item").alias(name), "class_id", "times"))
