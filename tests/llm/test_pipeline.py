@@ -1,6 +1,7 @@
 """The stages of the pipeline on the smallest tables, and their effect."""
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tidewatch.llm.storage import written  # noqa: E402
@@ -26,6 +27,25 @@ def test_stages(spark, sf):
     assert out.filter("n_tokens <> size(ids)").count() == 0
 
 
+CLASHES = ["score", "predicted", "held_out", "n_lines", "n_removed", "size", "source_size", "target", "taken", "repeats", "_time", "time", "_text", "_meta", "meta", "key", "ids", "own_score", "item", "root", "component_id"]
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_keep_columns_of_any_name(spark, sf, empty):
+    """Whole and empty tables with nulls, repeated rows and columns named like results: columns come back with their values."""
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = base.limit(4).withColumn("doc_id", F.lit(10**9) + F.monotonically_increasing_id() % 2)
+    odd = odd.withColumn("text", F.when(F.col("doc_id") == 10**9, F.lit(None)).otherwise("")).withColumn("source", F.lit(None).cast("string"))
+    docs = base.unionByName(base.limit(5)).unionByName(odd).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES}).filter(F.lit(not empty))
+    docs = written(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, sf))
+        assert out.columns == docs.columns, name
+        assert out.isEmpty() == empty and out.filter(" OR ".join(f"`{c}` IS DISTINCT FROM '{c}' || doc_id" for c in CLASHES)).isEmpty(), name
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id", "n_tokens").collect()
+    assert len(coded) == docs.count() and all(r.n_tokens == 0 for r in coded if r.doc_id >= 10**9)
+
+
 def test_run_decodes(spark, sf, monkeypatch):
     import hashlib
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import class_sizes, labelled_sample, remainder
-from .storage import lean
+from .storage import free_names, lean
 from .words import Words, slices
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "bar": b"|", "mark": b"#*$%&<>", "stop": b".,;:", "loud": b"!?", "break": b"\n", "other": range(128, 256)}
@@ -142,15 +142,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     machine = fit(x[:, :k], x[:, k:], y, weight, rank)
 
     if keep:
-        rows = docs.drop("held_out", "score", "predicted").withColumns({"_text": F.col(text_column).cast("string"), "_meta": F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")})
+        plain = docs.drop("held_out", "score", "predicted")
+        at_text, at_meta = free_names(plain, "_text", "_meta")
+        rows = plain.withColumns({at_text: F.col(text_column).cast("string"), at_meta: F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")})
     else:
-        rows = source.withColumnsRenamed({"text": "_text", "meta": "_meta"})
-    names = [c for c in rows.columns if c not in ("_text", "_meta")]
+        at_text, at_meta = free_names(source.select(id_column), "_text", "_meta")
+        rows = source.toDF(id_column, at_text, at_meta)
+    names = [c for c in rows.columns if c not in (at_text, at_meta)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column("_text")):
-                p = machine.score(*raw_features(data, offsets, batch.column("_meta").slice(i, j - i).to_numpy(zero_copy_only=False), buckets))
+            for i, j, data, offsets in slices(batch.column(at_text)):
+                p = machine.score(*raw_features(data, offsets, batch.column(at_meta).slice(i, j - i).to_numpy(zero_copy_only=False), buckets))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(p)], [*names, "score"])
 
     out = rows.mapInArrow(lean(scored), type(rows.schema)([f for f in rows.schema if f.name in names]).add("score", "double"))

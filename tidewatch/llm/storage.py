@@ -128,6 +128,13 @@ def free_names(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(frame: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """frame with those of its columns that have one of names (whatever the case) renamed to free ones, and the way back for withColumnsRenamed."""
+    clash = [c for c in frame.columns if c.lower() in {n.lower() for n in names}]
+    held = dict(zip(free_names(frame, *(f"own_{c}" for c in clash)), clash, strict=True))
+    return frame.withColumnsRenamed({c: h for h, c in held.items()}), held
+
+
 def text_key(text: str | Column = "text") -> Column:
     """16 bytes that identify a text; null counts as empty."""
     column = F.col(text) if isinstance(text, str) else text
