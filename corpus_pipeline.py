@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 applies them in turn, each written as Parquet in the shared folder and read again, so a lost executor costs no more
 than the stage at hand. SQL can't express the classifier, the fuzzy lines or BPE, so ORACLE_SQL is None; the stages
 are tested against brute force.
+
+Every stage gives back all columns of its input, also those that have a name which its operator uses for a result
+(score, size, taken and so on), and an empty table for an empty one. Null and empty texts are scored as any other by
+the classifier, have no lines and no shingles, are taken 0 times by the mix, and have no ids.
 """
 
 from __future__ import annotations
@@ -17,25 +21,27 @@ from tidewatch.llm.lines import without_repeated_lines
 from tidewatch.llm.mixing import mixed
 from tidewatch.llm.quality_model import quality_scores
 from tidewatch.llm.queries import tokenizer_path
-from tidewatch.llm.storage import small_batches, text_key, written
+from tidewatch.llm.storage import free_names, set_aside, small_batches, text_key, written
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold go."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_scores(docs, labels, keep=True).filter("predicted = 1").select(*docs.columns)
+    plain, own = set_aside(docs, "held_out", "score", "predicted")
+    return quality_scores(plain, labels, keep=True).filter("predicted = 1").select(*plain.columns).withColumnsRenamed(own)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which they were all. n_chars follows the text."""
     small_batches(spark)
-    out = without_repeated_lines(docs, figures=True)
+    plain, own = set_aside(docs, "n_lines", "n_removed")
+    out = without_repeated_lines(plain, figures=True)
     out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*plain.columns).withColumnsRenamed(own)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +53,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each time."""
     small_batches(spark)
-    names = docs.columns
-    taken = mixed(docs)
-    return taken.filter("repeats > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*names)
+    plain, own = set_aside(docs, "size", "source_size", "target", "taken", "repeats")
+    (time,) = free_names(plain, "time")
+    taken = mixed(plain).filter("repeats > 0").withColumn(time, F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return taken.select(*plain.columns).withColumnsRenamed(own)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str, decode: bool = False) -> DataFrame:
