@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +38,31 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+@cache
+def _allocator() -> ctypes.CDLL | None:
+    """The worker's C library, once told to give blocks of 1 MB and more back as soon as they are freed; Arrow takes its memory there too, not from a pool that keeps it. None where it is another library."""
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows to 32 MB with use
+        library.malloc_trim(0)
+    except (OSError, AttributeError):
+        return None
+    pa.set_memory_pool(pa.system_memory_pool())
+    return library
+
+
 def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """function for mapInArrow, after which the worker, which Spark keeps for later tasks, gives its free memory back."""
+    """function for mapInArrow in a worker that keeps no freed memory: Spark keeps workers for later tasks."""
 
     @wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = _allocator()
         try:
             yield from function(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            if library is not None:
+                library.malloc_trim(0)
 
     return run
 
