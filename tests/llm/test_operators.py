@@ -121,6 +121,20 @@ def test_jaccard_groups(spark, k, percent, small):
     assert collections.Counter(map(tuple, got)) == groups_by_hand(rows, k, percent)
 
 
+def test_jaccard_bucket_of_two_groups(spark):
+    """Two sets with one prefix are a group; a third that only one of them links with shares buckets with this group alone."""
+    rows = []
+    for t in range(20):
+        names = [f"t{t}w{i}" for i in range(36)]
+        ((_, _, data, offsets),) = list(words.slices(pa.array(names)))
+        row, value = jaccard.shingle_sets(data, offsets, 1)
+        ordered = [names[i] for i in row[np.argsort(value)]]
+        prefix, tails = ordered[:4], (ordered[4:20], ordered[20:])
+        rows += [(10 * t, " ".join(prefix + tails[0])), (10 * t + 1, " ".join(prefix + tails[1])), (10 * t + 2, " ".join(prefix[1:] + tails[1])), (10 * t + 3, " ".join(prefix[1:] + tails[1]))]
+    got = jaccard.jaccard_groups(docs(spark, rows), words=1, percent=85, least=1 << 40).collect()
+    assert collections.Counter(map(tuple, got)) == groups_by_hand(rows, 1, 85)
+
+
 @pytest.mark.parametrize("size", [1, 1 << 10])
 def test_maybe_among(spark, size):
     from tidewatch.llm.storage import maybe_among

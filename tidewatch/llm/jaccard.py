@@ -227,14 +227,17 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = written(connected(linked))
     rooted = written(items.select("item", "group").join(first, "item", "left").withColumn("root", F.coalesce("root", "item")))
     classes = rooted.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
-    # a bucket of two groups of one member each has no other pair
-    known = entries.join(classes, "group").filter("crowd > 2 OR members > 1").drop("near", "also")
+    # a bucket of two groups has no other pair of groups than the one that was held, whose members may be more than those checked
+    few = first_candidates(entries.filter("crowd = 2").withColumnRenamed("group", "item")).withColumnsRenamed({"a": "g", "b": "h"})
+    side = lambda g: classes.select(F.col("group").alias(g), *(F.col(c).alias(f"{g}_{c}") for c in ("low", "high", "members")))
+    two = few.join(side("g"), "g").join(side("h"), "h").filter("(g_members > 1 OR h_members > 1) AND NOT (g_low = h_high AND g_high = h_low)").select("g", "h")
+    known = entries.filter("crowd > 2").join(classes, "group").drop("near", "also")
     mixed = known.groupBy("bucket").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("bucket")
     left = written(known.join(mixed, "bucket"))
     x, y = left.alias("x"), left.alias("y")
     meet = F.expr("x.bucket = y.bucket AND x.group < y.group AND NOT (x.low = y.high AND x.high = y.low) AND " + allowed_sql)
     own = classes.filter("low < high").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    across = x.join(y, meet).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct().union(own)
+    across = x.join(y, meet).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).union(two).distinct().union(own)
     of = lambda g, item, root: rooted.select(F.col("group").alias(g), F.col("item").alias(item), F.col("root").alias(root))
     expanded = across.join(of("g", "x", "x_root"), "g").join(of("h", "y", "y_root"), "h").filter("x_root <> y_root").select(*pair("x", "y")).distinct()
     second = verify(expanded.join(asked, ["a", "b"], "left_anti"))
