@@ -346,6 +346,21 @@ def test_import_graph(spark):
     assert imports.reachable(inside, spark.createDataFrame([], "path string")).collect() == []
 
 
+def test_imports_are_merged(spark, monkeypatch):
+    """No table that grows with the sources is broadcast by way of the driver."""
+    from tidewatch.operators import imports
+
+    plans, cut = [], imports.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(imports, "cut", lambda df: plan(df) or cut(df))
+    files = spark.range(12).selectExpr("'/m' || id || '.js' AS path", "'import \"./m' || (id + 1) || '.js\"' AS text")
+    edges = imports.import_edges(files)
+    plan(edges)
+    got = imports.reachable(edges.filter("resolvable"), spark.createDataFrame([("/m9.js",)], "path string"))
+    assert {r.path: r.round for r in got.collect()} == {"/m9.js": 0, "/m10.js": 1, "/m11.js": 2}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     from tidewatch.sources import snapshots
 

@@ -32,13 +32,14 @@ def reachable(edges: DataFrame, roots: DataFrame, source: str = "base", target:
     """(target, round) of all that can be reached from roots (target) over edges, and in how many steps.
 
     A round joins only what the one before found; each is a checkpoint, so plans stay short and a lost executor costs a
-    round. Rounds are as many as the longest shortest path; only their row counts reach the driver.
+    round. Rounds are as many as the longest shortest path; only whether one found anything reaches the driver. Steps and
+    what was seen grow with the sources and are estimated too small, so they are merged, never broadcast.
     """
     steps = cut(edges.select(F.col(source).alias("_from"), F.col(target)).distinct())
     seen = frontier = cut(roots.select(target).distinct().withColumn("round", F.lit(0)))
     for n in range(1, most_rounds + 1):
-        ahead = frontier.select(F.col(target).alias("_from")).join(steps, "_from").select(target).distinct()
-        frontier = ahead.join(seen, target, "left_anti").withColumn("round", F.lit(n))
+        ahead = frontier.select(F.col(target).alias("_from")).join(steps.hint("merge"), "_from").select(target).distinct()
+        frontier = ahead.join(seen.hint("merge"), target, "left_anti").withColumn("round", F.lit(n))
         frontier = cut(frontier)
         if frontier.isEmpty():
             return seen
@@ -51,13 +52,13 @@ def resolved_imports(found: DataFrame, files: DataFrame, key: str, base: str = "
 
     A specifier that starts with neither ./ nor ../ is external and resolvable as it stands (as a null one is). Of the
     others the first candidate among the files counts; without one, path is the plain path. One shuffle of four
-    candidates a relative import against the different files.
+    candidates a relative import against the different files, merged: neither side fits a broadcast at every size.
     """
     s = F.col(specifier)
     relative = F.coalesce(s.startswith("./") | s.startswith("../"), F.lit(False))
     direct = urls.without_dots(F.concat(F.regexp_replace(base, "[^/]*$", ""), s))
     placed = found.withColumn("direct", F.when(relative, F.regexp_replace(direct, "(?<=.)/$", "")))
     tried = placed.filter("direct IS NOT NULL").select(key, F.posexplode(F.array(*[F.concat("direct", F.lit(e)) for e in ENDINGS])).alias("turn", "tried"))
-    hits = tried.join(files.select(F.col(path).alias("tried")), "tried", "left_semi").groupBy(key).agg(F.min_by("tried", "turn").alias("hit"))
-    out = placed.join(hits, key, "left")
+    hits = tried.join(files.select(F.col(path).alias("tried")).hint("merge"), "tried", "left_semi").groupBy(key).agg(F.min_by("tried", "turn").alias("hit"))
+    out = placed.join(hits.hint("merge"), key, "left")
     return out.select(*found.columns, F.col("direct").isNull().alias("is_external"), (F.col("direct").isNull() | F.col("hit").isNotNull()).alias("resolvable"), F.coalesce("hit", "direct", specifier).alias("path"))
