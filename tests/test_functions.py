@@ -283,6 +283,14 @@ def test_tables_are_created_once(spark, tmp_path):
         spark.sql("DROP DATABASE store_test CASCADE")
 
 
+def test_grid_reads_made_samples(spark, sf):
+    """The features of pages are made once, not in each pass of each fit."""
+    from tidewatch.plans import study_queries
+
+    plan = study_queries._labelled(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "FileScan" not in plan
+
+
 def test_grid_and_saved_models(spark, tmp_path):
     rows = [(i, i % 2, i % 3, float(i % 2 == 0), i % 4 == 3 or i % 8 == 2) for i in range(64)]
     df = spark.createDataFrame(rows, "k int, seen int, noise int, label double, is_test boolean").withColumn("label", F.col("label").cast("int"))

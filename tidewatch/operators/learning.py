@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -88,20 +91,27 @@ def generalization(df: DataFrame, vector: str, label: str, splits: dict[str, Col
     return rates(confusion(out, "model", "split"))
 
 
-def grid(df: DataFrame, groups: dict[str, list[str]], label: str, is_test: str, balanced: bool = False) -> DataFrame:
+def grid(df: DataFrame, groups: dict[str, list[str]], label: str, is_test: str, balanced: bool = False, at_once: int = 4) -> DataFrame:
     """(group, model, n_features, metrics): each model fitted on each group's features of the rows that aren't is_test and scored on the others.
 
-    The fits are few whatever the rows; each reads df anew, as written or cached by the caller.
+    The fits are few whatever the rows; each reads df anew, as written or cached by the caller. at_once: how many fits
+    run side by side, since each is many short jobs that leave cores idle.
     """
-    out = None
+    fits = []
     for group, names in groups.items():
         data = assembled(df, names).select("features", F.col(label).alias("label"), F.col(is_test).alias("is_test"))
         train, test = data.filter(~F.col("is_test")), data.filter("is_test")
         if balanced:
             train = balanced_weights(train, "label")
-        for name, estimator in models(train.count(), "label", balanced).items():
-            scored = predicted(estimator.fit(train), test).select("label", "predicted", F.lit(group).alias("group"), F.lit(name).alias("model"), F.lit(len(names)).alias("n_features"))
-            out = scored if out is None else out.unionByName(scored)
+        if not fits:
+            rows = train.count()  # the same for every group
+        fits += [(group, names, train, test, name, estimator) for name, estimator in models(rows, "label", balanced).items()]
+    with ThreadPool(at_once) as pool:
+        fitted = pool.map(inheritable_thread_target(df.sparkSession)(lambda fit: fit[5].fit(fit[2])), fits, chunksize=1)
+    out = None
+    for (group, names, _, test, name, _), model in zip(fits, fitted, strict=True):
+        scored = predicted(model, test).select("label", "predicted", F.lit(group).alias("group"), F.lit(name).alias("model"), F.lit(len(names)).alias("n_features"))
+        out = scored if out is None else out.unionByName(scored)
     return rates(confusion(out, "group", "model", "n_features"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import features, lexical
 from tidewatch.operators import decisions, imports, learning
+from tidewatch.operators.lineage import cut
 from tidewatch.sources.tables import table
 
 from .evidence_queries import _ACTED, _REASONS, _flags
@@ -48,7 +49,8 @@ def ui_messages(spark, sf_dir):
 def _labelled(spark, sf_dir):
     """Samples whose label is what only group E sees, one in four held out."""
     df = features.sample_features(_samples(spark, sf_dir), keep=("page_id",))
-    return df.withColumns({"label": F.col("deceptive_collection_indicator").cast("int"), "is_test": F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0})
+    df = df.withColumns({"label": F.col("deceptive_collection_indicator").cast("int"), "is_test": F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0})
+    return cut(df.select(*features.GROUPS["E"], "label", "is_test"))  # each fit reads it several times
 
 
 @register()
