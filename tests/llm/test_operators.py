@@ -83,6 +83,35 @@ def test_substring_dedup(spark, window, seed_words):
         assert collections.Counter(map(tuple, got)) == removed_by_hand(rows, window)
 
 
+def test_substring_dedup_around_a_common_passage(spark):
+    """Of pieces around one minimiser only a few rows each are made, not one for every window, and no repeat is lost."""
+    window, seed_words = 35, 6
+    common = [f"s{i}" for i in range(60)]
+    texts = [[*(f"a{k}_{i}" for i in range(k % 40)), *common, *(f"b{k}_{i}" for i in range(k % 37))] for k in range(60)]
+    texts += [["x", "y", "x"] * 30, ["y", "x"] * 40 + common[:20] + ["x", "y"] * 20, *([f"c{k}", *common, "x", "y", "x", "x", f"d{k % 2}"] for k in range(10))]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for hot in (2, 5, 1000):
+        got = substrings.substring_dedup(docs(spark, rows), hot=hot).collect()
+        assert collections.Counter(map(tuple, got)) == removed_by_hand(rows, window)
+    pieces, least = [], []
+    for _, _, data, offsets in words.slices(pa.array([t for _, t in rows])):
+        of = words.Words(data, offsets)
+        start, count, m = substrings.super_kmers(of, of.hashes(substrings._SEED), window, seed_words)
+        flat = data.tobytes()
+        pieces += [flat[of.start[a] : of.end[a + n + window - 2]] for a, n in zip(start, count, strict=True)]
+        least += words.signed(m).tolist()
+    batch = pa.record_batch({"m": pa.array(least, pa.int64()), "packed": pa.array(pieces, pa.binary())})
+    core_of, n_windows, n_parts = {}, 0, 0
+    for row, core, first, windows in substrings._kinds(batch, window, seed_words, 6):
+        for r, c, f, w in zip(row.to_pylist(), core.to_pylist(), first.to_pylist(), windows.to_pylist(), strict=True):
+            n_parts += 1
+            for k in range(len(w) // 16):
+                n_windows += 1
+                assert core_of.setdefault(tuple(pieces[r].split()[f + k : f + k + window]), c) == c
+    assert n_windows == sum(len(p.split()) - window + 1 for p in pieces)
+    assert n_parts < n_windows / 2
+
+
 def groups_by_hand(rows, k, percent):
     sets = []
     for _, t in rows:

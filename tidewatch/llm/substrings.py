@@ -6,7 +6,9 @@ minimisers are shuffled at first. The super-k-mers of the others travel, each as
 their minimiser; equal strings are combined on the way, so a passage in a third of all rows is one row with a count.
 In a bucket the windows are sorted by 128 bits of hash of their words and their occurrences added up. A minimiser that
 occurs over `hot` times may have as many different super-k-mers (a common passage with other words around it each
-time), so its bucket is dealt out anew by the windows' own hashes, combined before the shuffle. Each different text is
+time), so its bucket is dealt out anew: each super-k-mer is divided by where in the window the minimiser first occurs,
+in runs of some sqrt(window) places whose windows share a core of words. Equal parts are combined, parts whose core
+occurs once go, and only the windows of the others meet, one row each, by their own hashes. Each different text is
 shuffled once, whatever its number of copies.
 
 Words are runs of other than ASCII white space, unchanged. Null texts have none. Repeated rows are copies of a text
@@ -16,6 +18,7 @@ and repeat each other. Other columns are never read. An empty table gives no row
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,15 +157,30 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
         if held:
             yield _tally(pa.Table.from_batches(held), window)
 
+    step = math.isqrt(window - seed_words) + 1
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, core, first, windows in _kinds(batch, window, seed_words, step):
+                yield pa.record_batch({"core": core, "windows": windows, "piece": batch.column("piece").take(piece), "first": first, "copies": batch.column("copies").take(piece)})
+
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, one, two, row, at = _windows(pa.Table.from_batches([batch]), window)
-            yield pa.record_batch({"one": pa.array(signed(one)), "two": pa.array(signed(two)), "piece": batch.column("piece").take(pa.array(row)), "at": pa.array(at), "copies": batch.column("copies").take(pa.array(row))})
+            windows = batch.column("windows")
+            size = pa.compute.binary_length(windows).to_numpy() // 16
+            pair = np.frombuffer(b"".join(windows.to_pylist()), np.int64).reshape(-1, 2)
+            row = pa.array(np.repeat(np.arange(len(size)), size))
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.record_batch({"one": pa.array(pair[:, 0]), "two": pa.array(pair[:, 1]), "windows": windows.take(row), "at": pa.array(at), "copies": batch.column("copies").take(row)})
 
     cold = different.filter("NOT hot").select("m", "packed", "copies").repartition("m").sortWithinPartitions("m").mapInArrow(lean(counted), "piece binary, ranges array<long>")
-    each = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(lean(exploded), "one long, two long, piece binary, at long, copies long")
+    parts = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(lean(divided), "core long, windows binary, piece binary, first long, copies long")
+    kinds = parts.groupBy("core", "windows").agg(F.sum("copies").alias("copies"))
+    cores = kinds.groupBy("core").agg(F.sum("copies").alias("n")).filter("n > 1").select("core")
+    each = kinds.join(cores, "core", "left_semi").select("windows", "copies").mapInArrow(lean(exploded), "one long, two long, windows binary, at long, copies long")
     twice = each.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter("n > 1").select("one", "two")
-    places = each.select("one", "two", "piece", "at").join(twice, ["one", "two"], "left_semi").groupBy("piece").agg(F.collect_set("at").alias("at"))  # at most a piece's own
+    again = each.select("one", "two", "windows", "at").join(twice, ["one", "two"], "left_semi").groupBy("windows").agg(F.collect_set("at").alias("at"))  # at most `step`
+    places = parts.select("windows", "piece", "first").join(again, "windows").select("piece", F.transform("at", lambda a: a + F.col("first")).alias("at")).groupBy("piece").agg(F.flatten(F.collect_list("at")).alias("at"))  # at most a piece's own
     found = cold.union(places.select("piece", F.flatten(F.transform("at", lambda a: F.array(a, a + window))).alias("ranges")))
     placed = pieces.select("key", "first", F.unhex(F.md5("packed")).alias("piece")).join(found, "piece")
     spans = placed.select("key", F.transform("ranges", lambda r: r + F.col("first")).alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's own
@@ -185,6 +203,24 @@ def _windows(table: pa.Table, window: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(k) if k else np.empty(0, kind) for k, kind in zip(keys, kinds, strict=True))
 
 
+def _kinds(batch: pa.RecordBatch, window: int, seed_words: int, step: int) -> Iterator[tuple[pa.Array, ...]]:
+    """(row, core, first window, windows) of the parts of each packed string: consecutive windows that have their minimiser's first occurrence in the same `step` places. windows: 16 bytes of hash for each; core: a hash of the words that all windows with the minimiser there share."""
+    m = batch.column("m").to_numpy().view(np.uint64)
+    for i, _, data, offsets in slices(batch.column("packed").cast(pa.string(), safe=False), most_rows=1 << 30):
+        words = Words(data, offsets)
+        h, left = words.hashes(_SEED), words.left()
+        seeds = np.flatnonzero((left >= seed_words) & (window_hashes(h, seed_words) == m[i + words.row]))
+        at = np.flatnonzero(left >= window)
+        seed = seeds[np.searchsorted(seeds, at)]
+        core = seed - (seed - at) // step * step
+        first = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (seed[1:] != seed[:-1])))
+        pair = np.stack([window_hashes(h, window)[at], window_hashes(words.hashes(_SEED + 1), window)[at]], axis=1)
+        ends = (16 * np.append(first, len(at))).astype(np.int32)
+        windows = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pair.tobytes())])
+        row = words.row[at[first]]
+        yield pa.array(i + row), pa.array(signed(window_hashes(h, window - step + 1)[core[first]])), pa.array(at[first] - words.first[:-1][row]), windows
+
+
 def _tally(table: pa.Table, window: int) -> pa.RecordBatch:
     """Of whole buckets of different pieces: the pieces with repeated windows, and what these cover in them."""
     table = table.combine_chunks()
