@@ -173,3 +173,29 @@ def test_line_groups_with_the_parameters_of_the_query(spark, monkeypatch):
             assert least[a] != least[b] or found[a] == found[b]
             assert found[a] != found[b] or most[a] == most[b]
     assert len(set(least.values())) < len(order) - 60 and len(set(most.values())) > 5
+
+
+def test_forms_leave_their_texts_alone(spark):
+    """Of texts that hold an asked line, the line alone is shuffled, whatever the number of asked lines."""
+    from tidewatch.llm import lines
+    from tidewatch.llm.storage import text_key
+
+    draw = np.random.default_rng(5)
+    long = [draw.bytes(40_000).hex() for _ in range(20)]
+    texts = [f"{t}\nLine  Nr. {k}, É!\n" for k, t in enumerate(long)] + ["Again here\n\nAgain here", "Again here\n\nAgain here", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    named = docs.select("doc_id", text_key("text").alias("key")).collect()
+    asked = [(r.doc_id, bytes(r.key), 1) for r in named if r.doc_id < 20] + [(99, bytes(next(r.key for r in named if r.doc_id == 20)), 2)]
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        return store.executorList(False).apply(0).totalShuffleWrite()
+
+    frame = spark.createDataFrame(asked, "item long, key binary, n long").cache()
+    frame.count()
+    before = shuffled()
+    got = [tuple(r) for r in lines._forms(docs, frame, "text", True).select("item", "form").collect()]
+    assert sorted(got) == [*((k, f"line nr {k} é") for k in range(20)), (99, "again here")]
+    assert shuffled() - before < 200_000 < sum(map(len, long))

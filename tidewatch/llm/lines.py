@@ -35,7 +35,7 @@ from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
 from .cells import CELL, CELL_SQL, by_cell, dealt_to_cells, sides
 from .components import linked_groups
 from .edits import are_alike, distances
-from .storage import discard, free_names, lean, text_key, written
+from .storage import discard, free_names, lean, maybe_among, text_key, written
 from .words import Words, mix, signed, slices
 
 #: First and last code points of what is no word character beyond ASCII: C1 controls to the inverted question mark less letters and digits, times and division signs, general and CJK punctuation.
@@ -186,30 +186,22 @@ def described_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return written(source.mapInArrow(lean(describe), f"`{id_column}` {source.dtypes[0][1]}, key binary, n long, item long, other long, simhash long, size long, words long, keys binary"))
 
 
-def _forms(docs: DataFrame, asked: DataFrame, text_column: str, figures: bool, broadcast_rows: int) -> DataFrame:
-    """(item, form) of the asked lines (item, key, n): only texts that hold one are read on, and of these only such lines."""
-    places = written(asked.groupBy("key").agg(F.collect_list(F.struct("n", "item")).alias("places")))  # at most a text's lines
-    few = asked.count() <= broadcast_rows  # 16 bytes each and 40 for each text
-    texts = docs.select(text_key(text_column).alias("key"), F.col(text_column).cast("string").alias("text"))
-    met = texts.join(F.broadcast(places) if few else places, "key").select("text", "places")
+def _forms(docs: DataFrame, asked: DataFrame, text_column: str, figures: bool) -> DataFrame:
+    """(item, form) of the asked lines (item, key, n): texts are read on where they are, and only lines that may be asked for leave them."""
+    size = 1 << max(18, min(21, (asked.count() // 8).bit_length()))  # 8 bits a line or more, up to 17 million lines
+    place = F.struct("key", "n").alias("place")
+    texts = docs.select(text_key(text_column).alias("key"), F.col(text_column).cast("string").alias("text"))  # one key for a text, not one for a line
+    lines = texts.select("key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).withColumn("n", F.col("n").cast("long"))
+    # copies of a text are combined before the shuffle
+    maybe = maybe_among(lines.select(place, "line"), asked.select(place), "place", size).groupBy("place").agg(F.first("line").alias("line"))
+    met = maybe.select("place.*", "line").join(asked, ["key", "n"]).select("item", "line")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            lines, items = [], []
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = [p for p in places if p["item"] not in seen]
-                if new:
-                    split = text.split("\n")
-                    lines += [split[p["n"]] for p in new]
-                    items += [p["item"] for p in new]
-                    seen.update(p["item"] for p in new)
-            for i, j, data, offsets in slices(pc.utf8_lower(pa.array(lines, pa.string()))):
-                yield pa.record_batch({"item": pa.array(items[i:j], pa.int64()), "form": pa.array(Lines(data, offsets, figures).forms(), pa.string())})
-
-    out = written(met.mapInArrow(lean(take), "item long, form string").groupBy("item").agg(F.first("form").alias("form")))
-    discard(places)
-    return out
+            for i, j, data, offsets in slices(pc.utf8_lower(batch.column(1))):
+                yield pa.record_batch({"item": batch.column(0).slice(i, j - i), "form": pa.array(Lines(data, offsets, figures).forms(), pa.string())})
+
+    return written(met.mapInArrow(lean(take), "item long, form string"))
 
 
 class _Cell:
@@ -281,7 +273,7 @@ _KNOWN = [*CELL, "size", "sketch", "near", "distance", "unit", "buckets"]
 _KNOWN_SQL = CELL_SQL + ", size long, sketch long, near long, distance long, unit long, buckets array<long>"
 
 
-def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", blocks: int = 5, together: int = 2, percent: int = 80, broadcast_rows: int = 400_000, lines: DataFrame | None = None, bands: int = 0, figures: bool = False, far: int = 20) -> DataFrame:
+def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", blocks: int = 5, together: int = 2, percent: int = 80, lines: DataFrame | None = None, bands: int = 0, figures: bool = False, far: int = 20) -> DataFrame:
     """(item, root, id, n): of each different normal form (item: 64 bits of it) its group and its first line; forms that occur once and link with nothing are left out. lines: described_lines with the same parameters, where it is known. Without bands, only pairs within the SimHash distance are linked. A written table."""
     seen = lines if lines is not None else described_lines(docs, id_column, text_column, blocks, together, bands, figures)
     most_bits = far if bands else blocks - together
@@ -306,7 +298,7 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     at = F.min(F.struct("key", "n")).alias("at")
     items = written(seen.groupBy("item").agg(first, at, F.count(F.lit(1)).alias("times"), (F.min("other") == F.max("other")).alias("one")))
     asked = written(items.join(entries.select("item").distinct(), "item", "left_semi").select("item", "at.key", "at.n"))
-    forms = _forms(docs, asked, text_column, figures, broadcast_rows)
+    forms = _forms(docs, asked, text_column, figures)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size = [], 0, 0

@@ -108,15 +108,14 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, times: str, share
 def maybe_among(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
     """rows less most of those whose key isn't among keys, where they are read and before any shuffle; rows whose key is among them all stay, so an exact join must follow.
 
-    A filter of 64 * words bits, 2 MB whatever the number of keys, is all that reaches the driver and the tasks; with
+    A filter of 64 * words bits, 2 MB unless words says more, is all that reaches the driver and the tasks; with
     more keys than bits it lets more rows pass.
     """
     hashed = F.xxhash64(key)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed, F.lit(64)).cast("int"))
-    filled = keys.groupBy(F.pmod(F.shiftright(hashed, 6), F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    filled = keys.groupBy(F.pmod(F.shiftright(hashed, 6), F.lit(words)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(words, np.int64)
-    for word, value in filled:
-        bits[word] = value
+    bits[filled["word"].to_numpy()] = filled["bits"].to_numpy()
     held, schema = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64)), rows.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
