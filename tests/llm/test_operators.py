@@ -83,6 +83,26 @@ def test_substring_dedup(spark, window, seed_words):
         assert collections.Counter(map(tuple, got)) == removed_by_hand(rows, window)
 
 
+def test_parts_are_one_row_for_all_pieces_that_hold_them():
+    """Of 40 pieces around a common passage, the parts that all hold are one row each, and a piece that holds one many times is named once."""
+    from tidewatch.llm.words import Words, signed, window_hashes
+
+    common = [f"c{i}" for i in range(8)]
+    pieces = [" ".join([f"a{n}", *common, f"z{n}"] if n else common * 5) for n in range(40)]
+    raw = " ".join(common).encode()
+    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    m = int(signed(window_hashes(words.hashes(substrings._SEED), 3))[3])
+    batch = pa.record_batch({"m": pa.array([m] * 40), "packed": pa.array([p.encode() for p in pieces]), "copies": pa.array([2] * 40), "piece": pa.array([b"%d" % n for n in range(40)])})
+    rows = [r for x in substrings._divided(batch, window=8, seed_words=3, step=1) for r in x.to_pylist()]
+    parts = {}
+    for n, piece in enumerate(pieces):
+        split = piece.split()
+        for i in range(len(split) - 7):
+            parts.setdefault(" ".join(split[i : i + 8]), {}).setdefault(b"%d" % n, []).append(i)
+    assert len(rows) == len(parts) == sum(len(split.split()) - 7 for split in pieces[1:]) - 38 + 7
+    assert sorted((r["copies"], sorted((h["piece"], h["firsts"]) for h in r["held"])) for r in rows) == sorted((2 * sum(map(len, held.values())), sorted(held.items())) for held in parts.values())
+
+
 def test_substring_dedup_around_a_common_passage(spark):
     """Of pieces around one minimiser only a few rows each are made, not one for every window, and no repeat is lost."""
     window, seed_words = 35, 6

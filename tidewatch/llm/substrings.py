@@ -7,8 +7,9 @@ their minimiser; equal strings are combined on the way, so a passage in a third
 In a bucket the windows are sorted by 128 bits of hash of their words and their occurrences added up. A minimiser that
 occurs over `hot` times may have as many different super-k-mers (a common passage with other words around it each
 time), so its bucket is dealt out anew: each super-k-mer is divided by where in the window the minimiser first occurs,
-in runs of some sqrt(window) places whose windows share a core of words. Equal parts are combined, parts whose core
-occurs once go, and only the windows of the others meet, one row each, by their own hashes. Each different text is
+in runs of some sqrt(window) places whose windows share a core of words. Equal parts are combined, those of one batch
+before they are rows; parts whose core occurs once go, and only the windows of the others meet, one row each, by their
+own hashes. Each different text is
 shuffled once, whatever its number of copies.
 
 Words are runs of other than ASCII white space, unchanged. Null texts have none. Repeated rows are copies of a text
@@ -161,8 +162,7 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
 
     def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, core, first, windows in _kinds(batch, window, seed_words, step):
-                yield pa.record_batch({"core": core, "windows": windows, "piece": batch.column("piece").take(piece), "first": first, "copies": batch.column("copies").take(piece)})
+            yield from _divided(batch, window, seed_words, step)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +174,14 @@ def repeated_windows(docs: DataFrame, text_column: str = "text", window: int = 3
             yield pa.record_batch({"one": pa.array(pair[:, 0]), "two": pa.array(pair[:, 1]), "windows": windows.take(row), "at": pa.array(at), "copies": batch.column("copies").take(row)})
 
     cold = different.filter("NOT hot").select("m", "packed", "copies").repartition("m").sortWithinPartitions("m").mapInArrow(lean(counted), "piece binary, ranges array<long>")
-    parts = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(lean(divided), "core long, windows binary, piece binary, first long, copies long")
+    parts = different.filter("hot").select("m", "packed", "copies", F.unhex(F.md5("packed")).alias("piece")).mapInArrow(lean(divided), "core long, windows binary, copies long, held array<struct<piece:binary,firsts:array<long>>>")
     kinds = parts.groupBy("core", "windows").agg(F.sum("copies").alias("copies"))
     cores = kinds.groupBy("core").agg(F.sum("copies").alias("n")).filter("n > 1").select("core")
     each = kinds.join(cores, "core", "left_semi").select("windows", "copies").mapInArrow(lean(exploded), "one long, two long, windows binary, at long, copies long")
     twice = each.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter("n > 1").select("one", "two")
     again = each.select("one", "two", "windows", "at").join(twice, ["one", "two"], "left_semi").groupBy("windows").agg(F.collect_set("at").alias("at"))  # at most `step`
-    places = parts.select("windows", "piece", "first").join(again, "windows").select("piece", F.transform("at", lambda a: a + F.col("first")).alias("at")).groupBy("piece").agg(F.flatten(F.collect_list("at")).alias("at"))  # at most a piece's own
+    holders = parts.select("windows", "held").join(again, "windows").select("at", F.inline("held"))
+    places = holders.select("piece", F.flatten(F.transform("firsts", lambda f: F.transform("at", lambda a: a + f))).alias("at")).groupBy("piece").agg(F.flatten(F.collect_list("at")).alias("at"))  # at most a piece's own
     found = cold.union(places.select("piece", F.flatten(F.transform("at", lambda a: F.array(a, a + window))).alias("ranges")))
     placed = pieces.select("key", "first", F.unhex(F.md5("packed")).alias("piece")).join(found, "piece")
     spans = placed.select("key", F.transform("ranges", lambda r: r + F.col("first")).alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's own
@@ -221,6 +222,25 @@ def _kinds(batch: pa.RecordBatch, window: int, seed_words: int, step: int) -> It
         yield pa.array(i + row), pa.array(signed(window_hashes(h, window - step + 1)[core[first]])), pa.array(at[first] - words.first[:-1][row]), windows
 
 
+def _divided(batch: pa.RecordBatch, window: int, seed_words: int, step: int) -> Iterator[pa.RecordBatch]:
+    """(core, windows, copies, held) of the different parts of a batch's packed strings. held: the pieces with that part and its first windows in each, so a part that all pieces of a batch hold, or one many times, is one row."""
+    found = list(_kinds(batch, window, seed_words, step))
+    if not sum(len(x[0]) for x in found):
+        return
+    piece, core, first, windows = (pa.concat_arrays(x) for x in zip(*found, strict=True))
+    coded = windows.dictionary_encode()
+    part, piece, core, first = (x.to_numpy() for x in (coded.indices, piece, core, first))
+    order = np.lexsort((first, piece, part))
+    part, piece, core, first = part[order], piece[order], core[order], first[order]
+    parts = np.append(True, part[1:] != part[:-1])
+    pieces = np.append(True, parts[1:] | (piece[1:] != piece[:-1]))
+    at, own = np.flatnonzero(parts), np.flatnonzero(pieces)
+    holders = pa.StructArray.from_arrays([batch.column("piece").take(pa.array(piece[own])), _lists(first, np.diff(np.append(own, len(first))), pa.int64())], ["piece", "firsts"])
+    ends = np.append(np.searchsorted(own, at), len(own)).astype(np.int32)
+    copies = np.add.reduceat(batch.column("copies").to_numpy()[piece], at)
+    yield pa.record_batch({"core": pa.array(core[at]), "windows": coded.dictionary, "copies": pa.array(copies), "held": pa.ListArray.from_arrays(pa.array(ends), holders)})
+
+
 def _tally(table: pa.Table, window: int) -> pa.RecordBatch:
     """Of whole buckets of different pieces: the pieces with repeated windows, and what these cover in them."""
     table = table.combine_chunks()
