@@ -230,6 +230,16 @@ def test_bpe_equals_the_library(spark):
         assert r.decoded == whole.decode(found.ids, skip_special_tokens=False)
 
 
+def test_encoder_forgets_its_words_when_a_task_ends():
+    """Idle workers stay with their executor, so what they remember adds up."""
+    with bpe.encoding(queries.tokenizer_path()) as code:
+        ids = [x.tolist() for x in code.encode(["some words, some more"])]
+        assert code.memory
+    assert not bpe.encoder(queries.tokenizer_path()).memory
+    with bpe.encoding(queries.tokenizer_path()) as code:
+        assert [x.tolist() for x in code.encode(["some words, some more"])] == ids
+
+
 def test_bpe_of_a_tokenizer_that_joins_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -37,10 +38,10 @@ _SPACE[[9, 10, 13, 32]] = True
 #: Characters for which str.lower() and Python's classes agree with the tokenizer's, and that NFC leaves alone.
 _PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-įı-ɏ]*")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
-#: Words whose ids a Python worker remembers at most (some 120 bytes each).
-REMEMBERED = 400_000
+#: Words whose ids a task remembers at most (some 120 bytes each).
+REMEMBERED = 200_000
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 
 
 def _parts(sequence: object, name: str) -> list[str]:
@@ -164,6 +165,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The worker's encoder, which knows no word any more once the task ends: an executor keeps idle workers, whose memories would add up."""
+    code = encoder(path)
+    try:
+        yield code
+    finally:
+        code.forget()
+
+
 @lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
     return Decoder(path)
@@ -239,54 +250,54 @@ def encode_texts(docs: DataFrame, path: str, text_column: str = "text", bits: in
     texts = distinct_texts(docs, text_column)  # read twice below, with the same columns: Spark shuffles it once
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch in batches:
-            own = batch.column("own").to_pylist()
-            for i, _, data, offsets in slices(batch.column("text"), AT_ONCE):
-                raw, spans = data.tobytes(), []
-                for r, found in enumerate(cores(data, offsets, bits, least, most)):
-                    spans += [found[n] for n in own[i + r]]
-                ids = code.encode([raw[a:b].decode() for a, b in spans])
-                yield pa.record_batch({"h": pa.array([_core_hash(raw, s) for s in spans], pa.binary()), "core_ids": pa.array(ids, pa.list_(pa.int32()))})
+        with encoding(path) as code:
+            for batch in batches:
+                own = batch.column("own").to_pylist()
+                for i, _, data, offsets in slices(batch.column("text"), AT_ONCE):
+                    raw, spans = data.tobytes(), []
+                    for r, found in enumerate(cores(data, offsets, bits, least, most)):
+                        spans += [found[n] for n in own[i + r]]
+                    ids = code.encode([raw[a:b].decode() for a, b in spans])
+                    yield pa.record_batch({"h": pa.array([_core_hash(raw, s) for s in spans], pa.binary()), "core_ids": pa.array(ids, pa.list_(pa.int32()))})
 
     encoded = texts.join(owners, "key").select("key", "copies", "text", "own").mapInArrow(lean(once), "h binary, core_ids array<int>")
     given = seen.join(encoded, "h").groupBy("key").agg(F.collect_list(F.struct("n", "core_ids")).alias("given"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch in batches:
-            given = batch.column("given")
-            for i, j, data, offsets in slices(batch.column("text"), AT_ONCE):
-                raw, pieces, plan = data.tobytes(), [], []  # plan: of each row, its parts in order: ids, or numbers of pieces
-                cuts: list = []  # row, and a text's end and start at each of its joins
-                for r, found in enumerate(cores(data, offsets, bits, least, most)):
-                    have = given[i + r].values
-                    have = {} if have is None else {x["n"].as_py(): x["core_ids"].values.to_numpy() for x in have}
-                    parts, pending = [], int(offsets[r])
-                    for n, (a, b) in enumerate(found):
-                        if n in have:  # what lies before it, join or unshared core, is one piece
-                            if a > pending:
-                                parts.append(len(pieces))
-                                pieces.append(raw[pending:a].decode())
-                            parts.append(have[n])
-                            pending = b
-                            if not code.by_word:
-                                cuts += [(r, *_around(raw, int(offsets[r]), at, int(offsets[r + 1]))) for at in (a, b)]
-                    at = int(offsets[r + 1])
-                    if at > pending:
-                        parts.append(len(pieces))
-                        pieces.append(raw[pending:at].decode())
-                    plan.append(parts)
-                # a text whose parts disagree at a join is encoded anew as a whole
-                for r in {c[0] for c, good in zip(cuts, code.agree([c[1] for c in cuts], [c[2] for c in cuts]), strict=True) if not good} if cuts else ():
-                    plan[r] = [len(pieces)]
-                    pieces.append(raw[offsets[r] : offsets[r + 1]].decode())
-                ids = code.encode(pieces)
-                rows = [[ids[p] if isinstance(p, int) else p for p in parts] for parts in plan]
-                flat = [x for row in rows for x in row]
-                ends = np.concatenate([[0], np.cumsum([sum(map(len, row)) for row in rows])]).astype(np.int32)
-                values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), batch.column("copies").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), values)], ["key", "copies", "ids"])
+        with encoding(path) as code:
+            for batch in batches:
+                given = batch.column("given")
+                for i, j, data, offsets in slices(batch.column("text"), AT_ONCE):
+                    raw, pieces, plan = data.tobytes(), [], []  # plan: of each row, its parts in order: ids, or numbers of pieces
+                    cuts: list = []  # row, and a text's end and start at each of its joins
+                    for r, found in enumerate(cores(data, offsets, bits, least, most)):
+                        have = given[i + r].values
+                        have = {} if have is None else {x["n"].as_py(): x["core_ids"].values.to_numpy() for x in have}
+                        parts, pending = [], int(offsets[r])
+                        for n, (a, b) in enumerate(found):
+                            if n in have:  # what lies before it, join or unshared core, is one piece
+                                if a > pending:
+                                    parts.append(len(pieces))
+                                    pieces.append(raw[pending:a].decode())
+                                parts.append(have[n])
+                                pending = b
+                                if not code.by_word:
+                                    cuts += [(r, *_around(raw, int(offsets[r]), at, int(offsets[r + 1]))) for at in (a, b)]
+                        at = int(offsets[r + 1])
+                        if at > pending:
+                            parts.append(len(pieces))
+                            pieces.append(raw[pending:at].decode())
+                        plan.append(parts)
+                    # a text whose parts disagree at a join is encoded anew as a whole
+                    for r in {c[0] for c, good in zip(cuts, code.agree([c[1] for c in cuts], [c[2] for c in cuts]), strict=True) if not good} if cuts else ():
+                        plan[r] = [len(pieces)]
+                        pieces.append(raw[offsets[r] : offsets[r + 1]].decode())
+                    ids = code.encode(pieces)
+                    rows = [[ids[p] if isinstance(p, int) else p for p in parts] for parts in plan]
+                    flat = [x for row in rows for x in row]
+                    ends = np.concatenate([[0], np.cumsum([sum(map(len, row)) for row in rows])]).astype(np.int32)
+                    values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), batch.column("copies").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), values)], ["key", "copies", "ids"])
 
     return texts.join(given, "key", "left").select("key", "copies", "text", "given").mapInArrow(lean(whole), "key binary, copies long, ids array<int>")
 

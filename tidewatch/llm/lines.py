@@ -354,9 +354,13 @@ def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colu
     right = gone.select(F.col("id").alias(id_of), F.col("key").alias(key_of), F.col("gone").alias(cut))
     met = plain.withColumn(key, text_key(text_column)).join(right, F.col(id_column).eqNullSafe(F.col(id_of)) & (F.col(key) == F.col(key_of)), "left")
 
-    @F.pandas_udf("string")
-    def left(texts, numbers):
-        return texts.combine(numbers, lambda text, n: None if text is None else "\n".join(np.delete(np.array(text.split("\n"), object), n).tolist()))
+    @F.arrow_udf("string")  # workers need no pandas, 22 MB each
+    def left(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for text, n in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
+            go = set(n or ())
+            out.append(None if text is None else "\n".join([line for i, line in enumerate(text.split("\n")) if i not in go]))
+        return pa.array(out, pa.string())
 
     source = F.col(text_column).cast("string")
     text = F.when(F.col(cut).isNull(), F.col(text_column)).otherwise(left(F.when(F.col(cut).isNotNull(), source), F.col(cut)))
