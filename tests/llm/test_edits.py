@@ -199,3 +199,17 @@ def test_forms_leave_their_texts_alone(spark):
     got = [tuple(r) for r in lines._forms(docs, frame, "text", True).select("item", "form").collect()]
     assert sorted(got) == [*((k, f"line nr {k} é") for k in range(20)), (99, "again here")]
     assert shuffled() - before < 200_000 < sum(map(len, long))
+
+
+def test_many_longer_pairs_are_measured_together(monkeypatch):
+    """Lines of 129 to 512 characters have the same distances in batches as one by one, and many of them never go one by one."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(140, 500))) for _ in range(100)]
+    other = ["".join(c if rng.random() > 0.2 else rng.choice("xyz") for c in t) for t in base]
+    want = [edits.integer_distance(a, b, 10**6) for a, b in zip(base, other, strict=True)]
+    few = edits.distances(base[:10], other[:10], 80)[0].tolist()
+    monkeypatch.setattr(edits, "integer_distance", None)
+    monkeypatch.setattr(edits, "_POINTS", 7000)
+    found, longer, unit = edits.distances(base, other, 80)
+    assert found.tolist() == want and few == want[:10] and not unit.any()
+    assert longer.tolist() == [max(len(a), len(b)) for a, b in zip(base, other, strict=True)]

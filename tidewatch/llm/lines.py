@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
 from .cells import CELL, CELL_SQL, by_cell, dealt_to_cells, sides
 from .components import linked_groups
-from .edits import are_alike, distances
+from .edits import alike, distances
 from .storage import discard, free_names, lean, maybe_among, text_key, written
 from .words import Words, mix, signed, slices
 
@@ -55,6 +55,8 @@ _BAND_WORDS = 4
 BLOCK = 256
 #: And their characters, where lines are long: 1 MB.
 CHARACTERS = 1 << 20
+#: Pairs of a cell that are compared at once.
+AT_ONCE = 2048
 
 
 def cleaned(data: np.ndarray, figures: bool) -> np.ndarray:
@@ -259,11 +261,26 @@ class _Cell:
             return r
 
         root, found = self.root.tolist(), []
-        for i, others in self.candidates():
-            for j in others.tolist():
-                if top(root[i]) != top(root[j]) and are_alike(forms[i], forms[j], self.percent):
+        most = 1  # pairs that are compared at once: twice as many each time that none of them was a link
+
+        def compare(pairs: list[tuple[int, int]]) -> bool:
+            before = len(found)
+            for (i, j), linked in zip(pairs, alike([forms[i] for i, _ in pairs], [forms[j] for _, j in pairs], self.percent).tolist(), strict=True):
+                if linked and top(root[i]) != top(root[j]):
                     up[top(root[i])] = top(root[j])
                     found.append((i, j))
+            return len(found) > before
+
+        held: list[tuple[int, int]] = []
+        for i, others in self.candidates():
+            for j in others.tolist():
+                if top(root[i]) != top(root[j]):
+                    held.append((i, j))
+                if len(held) >= most:
+                    some = compare(held)
+                    most, held = 1 if some else min(2 * most, AT_ONCE), []
+        if held:
+            compare([(i, j) for i, j in held if top(root[i]) != top(root[j])])
         if found:
             a, b = self.item[np.array(found).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
