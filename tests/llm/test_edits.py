@@ -213,3 +213,52 @@ def test_many_longer_pairs_are_measured_together(monkeypatch):
     found, longer, unit = edits.distances(base, other, 80)
     assert found.tolist() == want and few == want[:10] and not unit.any()
     assert longer.tolist() == [max(len(a), len(b)) for a, b in zip(base, other, strict=True)]
+
+
+def test_lines_beyond_512_characters_are_measured_together(monkeypatch):
+    """Few of many pairs of 520 to 1,000 characters go one by one, and what is known of their distances is right."""
+    rng = random.Random(6)
+    x = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(520, 1000))) for _ in range(200)]
+    y = ["".join(changed(rng, list(t), int(len(t) * rng.choice([0.02, 0.1, 0.25, 0.3, 0.7])), "abcdefgh ")) for t in x]
+    want = np.array([edits.integer_distance(a, b, 10**6) for a, b in zip(x, y, strict=True)])
+    alone, one = [], edits.integer_distance
+    monkeypatch.setattr(edits, "integer_distance", lambda a, b, most: alone.append(len(b)) or one(a, b, most))
+    for beyond in (1, 2):
+        found, longer, unit = edits.distances(x, y, 80, beyond)
+        most = 20 * longer // 100
+        assert ((found <= most) == (want <= most)).all() and 40 < (want <= most).sum() < 160
+        assert (found[unit == 0] == want[unit == 0]).all()
+        assert (found[unit == 1] <= want[unit == 1]).all() and (found[unit == 1] > beyond * most[unit == 1]).all()
+        assert (found[unit == 2] >= want[unit == 2]).all() and (found[unit == 2] <= most[unit == 2]).all()
+    assert sum(size > 512 for size in alone) < 40
+
+
+def test_cells_are_compared_together(monkeypatch):
+    """Small cells share a comparison; each finds the links that join its classes, and bounds of either kind rule nothing out that may be a link."""
+    from tidewatch.llm import lines
+
+    rng = random.Random(9)
+    rows = []
+    for bucket in range(40):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(80))
+        for k in range(6):  # the classes 3 to 5 are alike, the others are not
+            form = "".join(changed(rng, list(base), 3, "abcdefgh ")) if k > 2 else "".join(rng.choice("abcdefgh ") for _ in range(80))
+            rows.append({"bucket": bucket, "x": 0, "y": bucket % 2, "in_block": k % 2 if bucket % 2 else 0, "item": 10 * bucket + k, "root": 10 * bucket + k, "size": len(form), "sketch": 0, "near": 1000 + bucket, "distance": 30, "unit": k % 3, "buckets": [bucket], "form": form})
+    calls, alike = [], lines.alike
+    monkeypatch.setattr(lines, "alike", lambda a, b, percent: (calls.append(len(a)), alike(a, b, percent))[1])
+    cells = lines._Cells(pa.Table.from_pylist(rows), 80, 20)
+    links = {(a, b) for batch in cells.links() for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)}
+    root = {r["item"]: r["root"] for r in rows}
+    form, block = {r["item"]: r["form"] for r in rows}, {r["item"]: r["in_block"] for r in rows}
+    want = [(a, b) for bucket in range(40) for a in range(10 * bucket, 10 * bucket + 6) for b in range(a + 1, 10 * bucket + 6) if (bucket % 2 == 0 or block[a] != block[b]) and 5 * distance(form[a], form[b]) <= max(len(form[a]), len(form[b]))]
+    assert links <= set(want)
+
+    def top(item):
+        while root[item] != item:
+            item = root[item]
+        return item
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    assert len(links) == 80 and all(top(a) == top(b) for a, b in want)
+    assert len(calls) <= 3 < 40

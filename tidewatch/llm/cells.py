@@ -52,6 +52,29 @@ def by_cell(rows: DataFrame, what: Callable[[pa.Table], Iterator[pa.RecordBatch]
     return dealt.sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), schema)
 
 
+def by_cells(rows: DataFrame, what: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most_rows: int, most_bytes: int, tasks: int | None = None) -> DataFrame:
+    """As by_cell, but what gets whole cells of a task, in order, as one table, until they have most_rows rows or most_bytes bytes: most cells have a few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, size, key = [], 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in ("bucket", "x", "y")])
+            if count >= most_rows or size >= most_bytes:
+                other = np.flatnonzero((keys != key[:, None]).any(0))
+                if len(other):
+                    yield from what(pa.Table.from_batches([*held, batch.slice(0, other[0])]).combine_chunks())
+                    batch, held, count, size = batch.slice(other[0]), [], 0, 0
+            key = keys[:, -1]
+            held, count, size = [*held, batch], count + batch.num_rows, size + batch.nbytes
+        if held:
+            yield from what(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = rows.repartition(tasks, "bucket", "x", "y") if tasks else rows.repartition("bucket", "x", "y")
+    return dealt.sortWithinPartitions("bucket", "x", "y").mapInArrow(lean(run), schema)
+
+
 def sides(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:
     """Of a cell's rows: whether its blocks are two, and the rows of the one with fewer and of the other."""
     x, y, block = (table.column(k).to_numpy() for k in ("x", "y", "in_block"))

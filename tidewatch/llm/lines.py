@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import ENTRY, PACKED, packed, parts_for, shared_buckets
-from .cells import CELL, CELL_SQL, by_cell, dealt_to_cells, sides
+from .cells import CELL, CELL_SQL, by_cells, dealt_to_cells
 from .components import linked_groups
 from .edits import alike, distances
 from .storage import discard, free_names, lean, maybe_among, text_key, written
@@ -47,16 +47,22 @@ _MASKED = np.arange(256, dtype=np.uint8)
 _MASKED[48:58] = 48
 _ODD2 = {lead: np.array([any(a <= (lead & 31) << 6 | b & 63 <= z for a, z in _PUNCTUATION) and 128 <= b < 192 for b in range(256)]) for lead in (0xC2, 0xC3)}
 _ODD3 = {(0xE2, 0x80): np.arange(256) >= 128, (0xE2, 0x81): (np.arange(256) >= 128) & (np.arange(256) <= 0xAF), (0xE3, 0x80): np.arange(256) >= 128}
-#: Words of a line that are summed up in 16 bits.
-_LANE = 30_000
-_SPREAD = np.array([sum(((b >> k) & 1) << (16 * k) for k in range(4)) for b in range(16)], np.uint64)
+#: Words of a line that are summed up in 8 bits, with their pairs.
+_LANE = 127
+_SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
+#: Bytes of text that are described at once: arrays of 8 bytes a word stay below the megabyte from which `lean` workers map memory anew.
+_AT_ONCE_BYTES = 400_000
 _BAND_WORDS = 4
 #: Lines of a block of a bucket, each pair of which may take up to a millisecond.
 BLOCK = 256
 #: And their characters, where lines are long: 1 MB.
 CHARACTERS = 1 << 20
-#: Pairs of a cell that are compared at once.
-AT_ONCE = 2048
+#: Pairs of a cell that are compared at once, at first and at most; of several cells twice as many.
+FIRST_PAIRS, AT_ONCE = 64, 2048
+#: Pairs of which numbers are compared at once.
+PAIRS = 1 << 16
+#: Rows and bytes of cells that are compared together.
+TOGETHER, TOGETHER_BYTES = 2000, 8 << 20
 
 
 def cleaned(data: np.ndarray, figures: bool) -> np.ndarray:
@@ -123,11 +129,12 @@ def simhashes(words: Words, h: np.ndarray) -> np.ndarray:
     bits = np.empty((len(full), 64), bool)
     h8, pair8 = h.view(np.uint8).reshape(-1, 8), pair.view(np.uint8).reshape(-1, 8)
     for k in range(8):
-        for half in (0, 4):
-            sums = np.add.reduceat(_SPREAD[(h8[:, k] >> half) & 15] + _SPREAD[(pair8[:, k] >> half) & 15], starts).view(np.uint16).reshape(-1, 4)
-            if len(starts) > len(full):
-                sums = np.add.reduceat(sums.astype(np.int64), begin, axis=0)
-            bits[:, 8 * k + half : 8 * k + half + 4] = sums > count[:, None]
+        both = _SPREAD.take(h8[:, k])
+        both += _SPREAD.take(pair8[:, k])
+        sums = np.add.reduceat(both, starts).view(np.uint8).reshape(-1, 8)
+        if len(starts) > len(full):
+            sums = np.add.reduceat(sums.astype(np.int64), begin, axis=0)
+        bits[:, 8 * k : 8 * k + 8] = sums > count[:, None]
     out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -155,7 +162,10 @@ def band_keys(lines: Lines, bands: int) -> np.ndarray:
     for b in range(bands):
         key = np.full(len(lines.first), b + 1, np.uint64)
         for factor in factors[b * _BAND_WORDS : (b + 1) * _BAND_WORDS]:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(((lines.hash ^ factor >> np.uint64(7)) * factor) >> sooner, lines.first))
+            order = lines.hash ^ factor >> np.uint64(7)
+            order *= factor
+            order >>= sooner
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(order, lines.first))
         out[:, b] = mix(key ^ np.uint64(0xB5AD4ECEDA1CE2A9))
     return out
 
@@ -167,7 +177,7 @@ def described_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for i, _, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
+            for i, _, data, offsets in slices(pc.utf8_lower(batch.column("text")), _AT_ONCE_BYTES):
                 lines = Lines(data, offsets, figures)
                 item, other = lines.names()
                 new = []
@@ -200,14 +210,14 @@ def _forms(docs: DataFrame, asked: DataFrame, text_column: str, figures: bool) -
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(pc.utf8_lower(batch.column(1))):
+            for i, j, data, offsets in slices(pc.utf8_lower(batch.column(1)), _AT_ONCE_BYTES):
                 yield pa.record_batch({"item": batch.column(0).slice(i, j - i), "form": pa.array(Lines(data, offsets, figures).forms(), pa.string())})
 
     return written(met.mapInArrow(lean(take), "item long, form string"))
 
 
-class _Cell:
-    """The lines of two blocks of a bucket: for each of one block (first) those of the other that are of another class and may be linked with it.
+class _Cells:
+    """Cells, each with the lines of two blocks of a bucket: for each of one block those of the other that are of another class and may be linked with it.
 
     A pair that shares several buckets is looked at in the smallest of them alone, and not again where it was held
     together at first. By the triangle inequality, over the line that both were held against, most pairs can't be links:
@@ -215,33 +225,53 @@ class _Cell:
     """
 
     def __init__(self, table: pa.Table, percent: int, most_bits: int):
-        self.table, self.percent, self.most_bits = table, percent, most_bits
-        self.apart, self.first, self.second = sides(table)
-        self.item, self.root, self.size, self.sketch = (table.column(k).to_numpy() for k in ("item", "root", "size", "sketch"))
+        self.percent, self.most_bits = percent, most_bits
+        bucket, x, y, block, item = (table.column(k).to_numpy() for k in ("bucket", "x", "y", "in_block", "item"))
+        order = np.lexsort((item, block != x, y, x, bucket))
+        self.table = table = table.take(pa.array(order)).combine_chunks()
+        self.bucket, self.item, x, y, block = bucket[order], item[order], x[order], y[order], block[order]
+        self.root, self.size, self.sketch = (table.column(k).to_numpy() for k in ("root", "size", "sketch"))
         self.near, self.distance = (table.column(k).fill_null(-1).to_numpy() for k in ("near", "distance"))
-        self.exact = pc.equal(table.column("unit"), 0).fill_null(False).to_numpy()
+        self.at_most, self.at_least = (pc.is_in(table.column("unit"), pa.array(known)).to_numpy() for known in ([0, 2], [0, 1]))
         lists = table.column("buckets").combine_chunks()
         counts = pc.list_value_length(lists).to_numpy()
         self.buckets = np.full((len(counts), int(counts.max())), np.iinfo(np.int64).max)
         self.buckets[np.arange(self.buckets.shape[1]) < counts[:, None]] = lists.flatten().to_numpy()
-        self.bucket = table.column("bucket")[0].as_py()
-
-    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(row of first, rows of second)."""
-        for i in self.first:
-            j = self.second[(self.root[self.second] != self.root[i]) & (self.apart | (self.item[self.second] > self.item[i]))]
-            longer = np.maximum(self.size[i], self.size[j])
-            j = j[(100 * np.minimum(self.size[i], self.size[j]) >= self.percent * longer) & (np.bitwise_count((self.sketch[i] ^ self.sketch[j]).view(np.uint64)) <= self.most_bits)]
-            j = j[(self.near[j] != self.item[i]) & (self.item[j] != self.near[i])]
+        start = np.flatnonzero(np.append(True, (self.bucket[1:] != self.bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        rows = np.diff(np.append(start, len(x)))
+        self.cell = np.repeat(np.arange(len(start)), rows)
+        # of each row, from where to where the rows are that it meets: the second block, or what comes later of the only one
+        self.low = np.where(x != y, (start + np.add.reduceat((block == x).astype(np.int64), start))[self.cell], np.arange(len(x)) + 1)
+        self.meets = np.where((x != y) & (block != x), 0, (start + rows)[self.cell] - self.low)
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows, in order of the first."""
+        ends, at = np.cumsum(self.meets), 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            meets = self.meets[at:stop]
+            i = np.repeat(np.arange(at, stop), meets)
+            j = np.arange(len(i)) + np.repeat(self.low[at:stop] - (ends[at:stop] - meets - before), meets)
+            at = stop
+            size, other = self.size[i], self.size[j]
+            stay = (100 * np.minimum(size, other) >= self.percent * np.maximum(size, other)) & (self.root[i] != self.root[j])
+            i, j = i[stay], j[stay]
+            stay = np.bitwise_count((self.sketch[i] ^ self.sketch[j]).view(np.uint64)) <= self.most_bits
+            i, j = i[stay], j[stay]
             more = self.distance[j] - self.distance[i]
-            least = np.where(self.exact[i] & (more > 0), more, np.where(self.exact[j] & (more < 0), -more, 0))
+            least = np.where(self.at_most[i] & self.at_least[j] & (more > 0), more, np.where(self.at_most[j] & self.at_least[i] & (more < 0), -more, 0))
             hub = (self.near[j] == self.near[i]) & (self.near[i] >= 0) & (self.distance[i] >= 0) & (self.distance[j] >= 0)
-            j = j[~hub | (100 * least <= (100 - self.percent) * np.maximum(self.size[i], self.size[j]))]
-            if len(j):
-                shared = np.where(np.isin(self.buckets[j], self.buckets[i]), self.buckets[j], np.iinfo(np.int64).max).min(1)
-                j = j[shared == self.bucket]
-            if len(j):
-                yield i, j
+            met = (self.near[j] == self.item[i]) | (self.item[j] == self.near[i])
+            stay = ~met & (~hub | (100 * least <= (100 - self.percent) * np.maximum(self.size[i], self.size[j])))
+            i, j = i[stay], j[stay]
+            smaller = np.zeros(len(i), bool)  # whether they share a smaller bucket
+            for k in range(self.buckets.shape[1]):
+                mine = self.buckets[i, k]
+                some = np.flatnonzero(mine < self.bucket[i])
+                smaller[some] |= (self.buckets[j[some]] == mine[some, None]).any(1)
+            if not smaller.all():
+                yield i[~smaller], j[~smaller]
 
     def undecided(self) -> Iterator[pa.RecordBatch]:
         """The rows that have a candidate."""
@@ -251,41 +281,64 @@ class _Cell:
         yield from self.table.select(_KNOWN).filter(pa.array(some)).to_batches()
 
     def links(self) -> Iterator[pa.RecordBatch]:
-        """(a, b): enough of the links to join all classes that are linked here."""
-        forms = self.table.column("form").to_pylist()
-        up = {r: r for r in self.root.tolist()}
-
-        def top(r: int) -> int:
-            while up[r] != r:
-                up[r] = r = up[up[r]]
-            return r
-
-        root, found = self.root.tolist(), []
-        most = 1  # pairs that are compared at once: twice as many each time that none of them was a link
-
-        def compare(pairs: list[tuple[int, int]]) -> bool:
-            before = len(found)
-            for (i, j), linked in zip(pairs, alike([forms[i] for i, _ in pairs], [forms[j] for _, j in pairs], self.percent).tolist(), strict=True):
-                if linked and top(root[i]) != top(root[j]):
-                    up[top(root[i])] = top(root[j])
-                    found.append((i, j))
-            return len(found) > before
-
-        held: list[tuple[int, int]] = []
-        for i, others in self.candidates():
-            for j in others.tolist():
-                if top(root[i]) != top(root[j]):
-                    held.append((i, j))
-                if len(held) >= most:
-                    some = compare(held)
-                    most, held = 1 if some else min(2 * most, AT_ONCE), []
-        if held:
-            compare([(i, j) for i, j in held if top(root[i]) != top(root[j])])
-        if found:
-            a, b = self.item[np.array(found).T]
+        """(a, b): of each cell enough of the links to join all classes that are linked in it. Cells take turns together, as many pairs at once cost less each."""
+        found = list(self.candidates())
+        if not found:
+            return
+        i, j = (np.concatenate(side) for side in zip(*found, strict=True))
+        forms, root = self.table.column("form").to_pylist(), self.root.tolist()
+        starts = np.flatnonzero(np.append(True, self.cell[i[1:]] != self.cell[i[:-1]]))
+        waiting = [_Open(root, i[a:b], j[a:b]) for a, b in zip(starts, [*starts[1:], len(i)], strict=True)]
+        links: list[tuple[int, int]] = []
+        while waiting:
+            held, later, count = [], [], 0
+            for n, cell in enumerate(waiting):
+                if count >= 2 * AT_ONCE:
+                    later = waiting[n:]
+                    break
+                if pairs := cell.next_pairs():
+                    held.append((cell, pairs))
+                    count += len(pairs)
+            both = [pair for _, pairs in held for pair in pairs]
+            linked, at = alike([forms[a] for a, _ in both], [forms[b] for _, b in both], self.percent).tolist() if both else [], 0
+            for cell, pairs in held:
+                links += cell.learn(pairs, linked[at : at + len(pairs)])
+                at += len(pairs)
+            waiting = later + [cell for cell, _ in held]
+        if links:
+            a, b = self.item[np.array(links).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+class _Open:
+    """A cell whose candidates (rows of root) are being compared, some at a time: those of classes that no link has joined yet."""
+
+    def __init__(self, root: list[int], i: np.ndarray, j: np.ndarray):
+        self.root, self.up = root, {}
+        self.pairs = (pair for at in range(0, len(i), AT_ONCE) for pair in zip(i[at : at + AT_ONCE].tolist(), j[at : at + AT_ONCE].tolist(), strict=True))
+        self.most = FIRST_PAIRS  # four times as many each time that none of them was a link
+
+    def top(self, row: int) -> int:
+        up, r = self.up, self.root[row]
+        while (higher := up.get(r, r)) != r:
+            up[r] = up.get(higher, higher)
+            r = higher
+        return r
+
+    def next_pairs(self) -> list[tuple[int, int]]:
+        return list(islice((pair for pair in self.pairs if self.top(pair[0]) != self.top(pair[1])), self.most))
+
+    def learn(self, pairs: list[tuple[int, int]], linked: list[bool]) -> list[tuple[int, int]]:
+        """The pairs whose links join two classes."""
+        self.most, out = FIRST_PAIRS if any(linked) else min(4 * self.most, AT_ONCE), []
+        for (i, j), link in zip(pairs, linked, strict=True):
+            a, b = self.top(i), self.top(j)
+            if link and a != b:
+                self.up[a] = b
+                out.append((i, j))
+        return out
+
+
 _KNOWN = [*CELL, "size", "sketch", "near", "distance", "unit", "buckets"]
 _KNOWN_SQL = CELL_SQL + ", size long, sketch long, near long, distance long, unit long, buckets array<long>"
 
@@ -340,9 +393,9 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         buckets = left.groupBy("item").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most one for each key
         known = left.select("bucket", "item", "size", "sketch", "near", "distance", "unit").join(buckets, "item")
         cells = dealt_to_cells(left.select("bucket", "item", "root", F.col("size").alias("n")), BLOCK, CHARACTERS)
-        undecided = written(by_cell(cells.join(known, ["bucket", "item"]), lambda cell: _Cell(cell, percent, most_bits).undecided(), _KNOWN_SQL))
+        undecided = written(by_cells(cells.join(known, ["bucket", "item"]), lambda cells: _Cells(cells, percent, most_bits).undecided(), _KNOWN_SQL, 8 * TOGETHER, TOGETHER_BYTES))
         tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), undecided.count() // (8 * BLOCK))
-        links = written(by_cell(undecided.join(forms, "item").select(*_KNOWN, "form"), lambda cell: _Cell(cell, percent, most_bits).links(), "a long, b long", tasks).distinct())
+        links = written(by_cells(undecided.join(forms, "item").select(*_KNOWN, "form"), lambda cells: _Cells(cells, percent, most_bits).links(), "a long, b long", TOGETHER, TOGETHER_BYTES, tasks).distinct())
         discard(undecided)
         return links
 
